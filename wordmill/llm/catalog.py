@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wordmill.llm import pii
+from wordmill.llm import mixing, pii
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op6_mixing": mixing.op6_mixing,
 }
 ORACLES: dict[str, str] = {}
