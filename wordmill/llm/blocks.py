@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 PIECE = 1 << 21
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_P = np.uint64(FIRST)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 # what str.lower does to A-Z, and the bytes that end a word
@@ -30,21 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0][0]) < n + 1:
-        m = max(n + 1, PIECE + 1)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, _P, np.uint64)]))
-            down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, _P_INVERSE, np.uint64)]))
-        if m > 4 * PIECE:
-            return up, down
-        _powers[0] = (up, down)
-    return _powers[0]
+def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base, and of its inverse, modulo 2**64."""
+    if base in _powers and len(_powers[base][0]) > n:
+        return _powers[base]
+    m = max(n, PIECE) + 1
+    both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
+    if m <= 2 * PIECE:  # longer ones, for a single very long text, aren't kept
+        _powers[base] = both
+    return both
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = FIRST) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]]; equal slices have equal hashes wherever they stand."""
-    up, down = _power(len(data))
+    up, down = _power(len(data), base)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wordmill.llm import jaccard, lines, mixing, pii
+from wordmill.llm import bpe, jaccard, lines, mixing, pii
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
 }
