@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, jaccard, lines, mixing, pii
+from wordmill.llm import bpe, jaccard, licenses, lines, mixing, pii
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLES: dict[str, str] = {}
