@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, jaccard, licenses, lines, mixing, pii
+from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, pii, topk, toxicity
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_pii": pii.op2_pii,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op8_language": langid.op8_language,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_licenses": licenses.op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": topk.ORACLE,
+}
