@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, pii, topk, toxicity
+from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, neardup, pii, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_neardup": neardup.op7_neardup,
     "op8_language": langid.op8_language,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_licenses": licenses.op10_licenses,
