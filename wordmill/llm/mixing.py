@@ -109,7 +109,7 @@ def plan(sizes: DataFrame, bins: int = BINS, weights: Sequence[float] = WEIGHTS,
 
     def diffuse(acc: Column, x: Column) -> Column:
         owed = acc["owed"] + F.col("part") * x["words"]
-        take = owed * 2 >= x["words"]
+        take = (x["words"] > 0) & (owed * 2 >= x["words"])
         return F.struct(
             F.when(take, owed - x["words"]).otherwise(owed).alias("owed"),
             F.concat(acc["bits"], F.repeat(F.lit("0"), x["bin"] - F.length(acc["bits"])), F.when(take, "1").otherwise("0")).alias("bits"),
