@@ -56,8 +56,10 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,hot,least", [(1, 1 << 18, 16), (2, 1 << 18, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, hot, least):
+@pytest.mark.parametrize("seed,hot,least,small", [(1, 1 << 18, 16, 64), (2, 1 << 18, 2, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, hot, least, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 8 * small)
     monkeypatch.setattr(jaccard, "HOT_LEAST", least)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "s", 5) for d, t in rows], "doc_id long, text string, component_id string, n long").repartition(7)

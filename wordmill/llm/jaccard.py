@@ -10,6 +10,9 @@ in size-banded tiles with bitmap signatures:
    sizes, from threshold to 1, is compared. The order of n-grams is by hash, but
    n-grams that very many documents share come last, the most frequent at the end.
    Any one order gives exact results; this one keeps tiles small.
+   Large tiles (over ``SMALL`` classes) with the same smallest class are put together,
+   cut into bands of sizes and those into blocks of ``BLOCK``, and compared by bitmaps
+   before any pair leaves the tile.
 3. A pair of a tile goes on if the counts of bits in which the hashed bitmaps of both
    sets differ leave room for the overlap that it needs: |A & B| <= (|A| + |B| - bits) / 2.
 4. What is left is compared exactly, on sorted arrays of hashes.
@@ -50,6 +53,8 @@ WORDS, PART, WHOLE = 5, 80, 100
 HOT, HOT_LEAST = 1 << 18, 16
 #: Keys of the first round for each class, and n-grams of prefixes that a bucket of tiles holds on average.
 STARS, BUCKET = 8, 400_000
+#: Classes of a tile that is compared at once, and of a block of a larger one.
+SMALL, BLOCK = 64, 2048
 #: Bits of the filter of doc_ids that need their sets; a full filter lets all pass, to the join behind it.
 FILTER_BITS = 1 << 23
 
@@ -95,7 +100,7 @@ def frequent(docs: DataFrame, k: int, most: int, least: int) -> np.ndarray:
 def bitmap(hashes: np.ndarray) -> bytes:
     """One bit for each hash, in as many bits as hold the set sparsely: a power of two, 64 at least."""
     width = 64
-    while width < 2 * len(hashes):
+    while width < 4 * len(hashes):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(hashes >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -236,13 +241,17 @@ def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: in
         count = 0
         for i in mixed.tolist():
             s, e = int(starts[i]), int(ends[i])
+            if e - s > SMALL:
+                held.append(np.stack([np.full(e - s, ids[s:e].min()), ids[s:e], np.ones(e - s, np.int64)]))
+                count += e - s
+                continue
             g, z, d = groups[s:e], sizes[s:e], ids[s:e]
             last = np.searchsorted(z, z * whole // part, side="right")
             for j in range(e - s - 1):
                 to = int(last[j])
                 other = np.flatnonzero(g[j + 1 : to] != g[j]) + j + 1
                 if len(other):
-                    held.append(np.stack([np.minimum(d[j], d[other]), np.maximum(d[j], d[other])]))
+                    held.append(np.stack([np.minimum(d[j], d[other]), np.maximum(d[j], d[other]), np.zeros(len(other), np.int64)]))
                     count += len(other)
                     if count > 1_000_000:
                         yield _pairs(held)
@@ -251,12 +260,51 @@ def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: in
             yield _pairs(held)
 
     dealt_rows = feats.join(group, "doc_id").select("doc_id", "n", "component_id", "prefix").mapInArrow(dealt, "bucket long, keys binary, ids binary, gaps binary, sizes binary")
-    return dealt_rows.groupBy("bucket").applyInArrow(met, "a long, b long").distinct()
+    return dealt_rows.groupBy("bucket").applyInArrow(met, "a long, b long, large long").distinct()
+
+
+def banded(members: DataFrame, feats: DataFrame, group: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs(a, b) of large tiles, given as members(lead, doc_id), whose bitmaps leave room for the overlap they need."""
+    ratio = whole / part
+    own = feats.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(group, "doc_id").join(members, "doc_id")
+    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9))
+    own = written(feats.sparkSession, own, "members")
+    again = feats.sparkSession.read.schema(own.schema).parquet(own._wordmill_path)  # a cogroup's sides need columns of their own
+    sizes = own.groupBy("lead", "band").count()
+    # a tile has the classes of one band on the left, and those of this band and the next on the right
+    tile = sizes.union(sizes.select("lead", F.col("band") - 1, "count")).groupBy("lead", "band").agg(F.ceil(F.max("count") / BLOCK).cast("int").alias("g"))
+    spot = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    columns = ["lead", "tile", "i", "j", "doc_id", "n", "bits", "component_id", "band"]
+    left = own.join(tile, ["lead", "band"]).withColumn("tile", F.col("band")).withColumn("i", spot).withColumn("j", every()).select(columns)
+    right = again.withColumn("of", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(tile, ["lead", "band"])
+    right = right.withColumn("tile", F.col("band")).withColumn("band", F.col("of")).withColumn("i", every()).withColumn("j", spot).select(columns)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        if left.num_rows and right.num_rows:
+            x, y = ([np.frombuffer(b, np.uint8) for b in t.column("bits").to_pylist()] for t in (left, right))
+            width = min(map(len, x + y))
+            x, y = (np.stack([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in z]).view(np.uint64) for z in (x, y))
+            ids, n, groups, band = (right.column(c).to_numpy() for c in ("doc_id", "n", "component_id", "band"))
+            for k, (doc_id, size, g, own_band) in enumerate(zip(*(left.column(c).to_pylist() for c in ("doc_id", "n", "component_id", "band")))):
+                both = size + n
+                open_ = (groups != g) & ((band > own_band) | (ids > doc_id)) & (whole * np.minimum(n, size) >= part * np.maximum(n, size))
+                at = np.flatnonzero(open_)
+                if len(at):
+                    differ = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
+                    at = at[(whole + part) * (both[at] - differ) >= 2 * part * both[at]]
+                    out.append(np.stack([np.minimum(ids[at], doc_id), np.maximum(ids[at], doc_id)]))
+        found = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+
+    key = ["lead", "tile", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
 
 
 def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
     both = np.unique(np.concatenate(held, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b", "large"])
 
 
 def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE, hot: int = HOT) -> DataFrame:
@@ -286,6 +334,8 @@ def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rest = written(spark, tiles(sets, group, part, whole, max(48, total // BUCKET)), "tiles")
     released(spark)
+    large = banded(rest.where("large = 1").select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), sets, group, part, whole)
+    rest = rest.where("large = 0").select("a", "b").union(written(spark, large, "large")).distinct()
     more = verified(spark, docs, rest, sets, k, part, whole)
     found = components(spark, near.union(more).union(tied))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"))
@@ -300,4 +350,5 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stand for their group (the smallest doc_id), all others dropped; rows without an id stay."""
     found = groups(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["gone"], "left_anti")
+    # nothing bounds what goes, so it is never broadcast, however little it is
+    return docs.hint("merge").join(found, docs["doc_id"] == found["gone"], "left_anti")
