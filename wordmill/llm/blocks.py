@@ -1,8 +1,7 @@
 """Words and word hashes of many texts at once, on numpy arrays.
 
 Texts are joined into one byte array; prefix sums of a polynomial give the hash of any
-slice, so that no Python loop runs over words. Work is cut into pieces of a few
-megabytes, which bounds memory whatever the texts' lengths; only a single longer text
+slice, so that no Python loop runs over words. Work is cut into pieces of a megabyte, which bounds memory whatever the texts' lengths; only a single longer text
 makes a longer piece.
 """
 
@@ -12,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _P = np.uint64(FIRST)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

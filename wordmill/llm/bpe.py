@@ -147,15 +147,16 @@ def word_table(docs: DataFrame, ranks, kinds) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(_cut(blocks.encoded(batch.column("text")), kinds.value))
-            if not any(len(p.distinct) for _, _, p in parts):
+            # of each piece, only its text and where its distinct pre-tokens stand are kept
+            parts = [(p.text, p.distinct, p.counts, p.starts[p.example].astype(np.int32), p.ends[p.example].astype(np.int32)) for _, _, p in _cut(blocks.encoded(batch.column("text")), kinds.value)]
+            if not any(len(p[1]) for p in parts):
                 continue
-            hashes = np.concatenate([p.distinct for _, _, p in parts])
-            source = np.concatenate([np.full(len(p.distinct), i) for i, (_, _, p) in enumerate(parts)])
-            place = np.concatenate([np.arange(len(p.distinct)) for _, _, p in parts])
+            hashes = np.concatenate([p[1] for p in parts])
+            source = np.concatenate([np.full(len(p[1]), i, np.int32) for i, p in enumerate(parts)])
             _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-            n = np.bincount(which, np.concatenate([p.counts for _, _, p in parts])).astype(np.int64)
-            found = [parts[s][2].word(i) for s, i in zip(source[at].tolist(), place[at].tolist())]
+            n = np.bincount(which, np.concatenate([p[2] for p in parts])).astype(np.int64)
+            starts, ends = (np.concatenate([p[k] for p in parts])[at] for k in (3, 4))
+            found = [parts[s][0][i:j] for s, i, j in zip(source[at].tolist(), starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["word", "n"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def encode(docs: DataFrame, vocabulary: bytes, most: int = HEAD, longest: int =
     released(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
         for batch in batches:
             home = batch.column("block").to_numpy()
             order = np.argsort(home, kind="stable")
