@@ -16,6 +16,9 @@ from wordmill.sources import words
 #: The form id of a word that isn't inflected.
 PLAIN_FORM = 255
 
+# Other names of code pages.
+CODE_PAGES = {"win": "cp1251", "win-1251": "cp1251", "ansi": "cp1251", "dos": "cp866", "oem": "cp866", "koi8": "koi8-r", "koi": "koi8-r", "iso": "iso8859-5", "mac": "mac-cyrillic"}
+
 
 def article_lines(spark: SparkSession, paths: str | list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Lines of article files, or of the lexicon that comes with the package."""
@@ -23,7 +26,10 @@ def article_lines(spark: SparkSession, paths: str | list[str] | None = None, enc
         return spark.createDataFrame([(x,) for x in words.lines()], "line string")
     if encoding.upper() == "UTF-8":
         return spark.read.text(paths).withColumnRenamed("value", "line")
-    return spark.read.options(encoding=encoding, sep="\u0001", quote="").schema("line string").csv(paths)
+    # bytes as Latin-1, then each of the upper half by the code page
+    upper = bytes(range(128, 256))
+    read = spark.read.options(encoding="iso-8859-1", sep="\u0001", quote="").schema("line string").csv(paths)
+    return read.select(F.translate("line", upper.decode("latin-1"), upper.decode(CODE_PAGES.get(encoding.lower(), encoding), "replace")).alias("line"))
 
 
 def parse(lines: DataFrame) -> DataFrame:

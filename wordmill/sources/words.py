@@ -48,7 +48,7 @@ def lines() -> list[str]:
     add(5000, "A", [f"{w}|0|er|est" for w in ADJECTIVES.split()])
     add(5500, "A", ["red|0|der|dest", "larg|e|er|est", "free|0|r|st", "blu|e|er|est"])
     add(6000, "ADV", ["f|ar|arther/urther|arthest/urthest", "soon|0|er|est"])
-    add(7000, "NAME", ["Andrew|0|'s|-|-", "Anna|0|'s|-|-", "New-York|0|'s", "Stoke-on-Trent|0|'s", "TPC|0|'s"])
+    add(7000, "NAME", ["Andrew|0|'s|-|-", "Anna|0|'s|-|-", "New-York|0|'s", "Stoke-on-Trent|0|'s", "TPC|0"])
     for k, (tag, words) in enumerate(PLAIN.items()):
         add(8000 + 100 * k, tag, words.split())
     return out
