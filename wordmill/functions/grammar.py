@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 REFLEXIVE, CASE, PLURAL, GENDER, SHORT, COMPARATIVE, PARTICIPLE, ADVERB, PERSON, TENSE = 0x8000, 0x7000, 0x0800, 0x0600, 0x0100, 0x0080, 0x0060, 0x0040, 0x0018, 0x0007
 ANIMATE, INANIMATE, HARD, JOINING = 1, 2, 4, 8
 PLURAL_ONLY, SUPERLATIVE, COUNTABLE, INFORMAL, OBSCENE = 0x0040, 0x0080, 0x0100, 0x0200, 0x0400
+INFINITIVE, IMPERATIVE, FUTURE, PRESENT, PAST = 1, 2, 3, 4, 5
+# Kinds of alternation, by number.
+VERB_MIX, MASCULINE, MASCULINE_ANIMATE, MASCULINE_MIXED, FEMININE, FEMININE_ANIMATE, FEMININE_MIXED, ADJECTIVE_MIX = range(1, 9)
 # Parts of speech that are adjectives, and those whose lexemes are capitalized at least (1) or throughout (2).
 ADJECTIVES = (25, 26, 27, 28, 34, 36, 42)
 NAMES, ABBREVIATION = (37, 47), 59
@@ -45,24 +48,47 @@ def min_capitals(wd: Column) -> Column:
 
 
 def case_number(gr: Column, flags: Column) -> Column:
-    """0 nominative to 2 dative as packed; the accusative is 3, or 4 if animate; later cases follow one higher."""
+    """0 nominative to 2 dative as packed; the accusative is 3 if it may be inanimate, else 4; later cases follow one higher."""
     c = bits(gr, CASE)
-    return F.when(c < 3, c).when(c == 3, F.when(x_and(flags, ANIMATE) != 0, 4).otherwise(3)).otherwise(c + 1)
+    return F.when(c < 3, c).when(c == 3, F.when(x_and(flags, INANIMATE) != 0, 3).otherwise(4)).otherwise(c + 1)
 
 
 def pack_noun(gr: Column, flags: Column) -> Column:
     return case_number(gr, flags) + 10 * bits(gr, PLURAL)
 
 
+def gender_number(gr: Column) -> Column:
+    """0 masculine, 1 feminine, 2 neuter, 3 plural."""
+    return F.when(bits(gr, PLURAL) != 0, 3).otherwise(bits(gr, GENDER) - 1)
+
+
+def _declined(gr: Column, flags: Column) -> Column:
+    return gender_number(gr) * 8 + F.when(bits(gr, SHORT) != 0, 7).otherwise(case_number(gr, flags))
+
+
 def pack_adjective(gr: Column, flags: Column) -> Column:
-    gender = F.when(bits(gr, PLURAL) != 0, 3).otherwise(bits(gr, GENDER))
-    form = gender * 8 + F.when(bits(gr, SHORT) != 0, 7).otherwise(case_number(gr, flags)) + 32 * bits(gr, REFLEXIVE)
-    return F.when(bits(gr, COMPARATIVE) != 0, 64).when(bits(gr, ADVERB) != 0, 65).otherwise(form)
+    return F.when(bits(gr, ADVERB) != 0, 65).when(bits(gr, COMPARATIVE) != 0, 64).otherwise(_declined(gr, flags) + 32 * bits(gr, REFLEXIVE))
+
+
+def pack_verb(gr: Column, flags: Column) -> Column:
+    """Blocks of form ids by tense: infinitive 0, imperative 2, future 6, present 18 and its participles 30, past 128 and its participles 136."""
+    reflexive, kind, tense = bits(gr, REFLEXIVE), bits(gr, PARTICIPLE), bits(gr, TENSE)
+    number = reflexive * 2 + bits(gr, PLURAL)
+    personal = (bits(gr, PERSON) - 1) * 4 + number
+    participle = F.when(kind == 1, reflexive * 32 + _declined(gr, flags)).when(kind == 2, 64 + _declined(gr, flags)).otherwise(96 + reflexive)
+    return (
+        F.when(tense == INFINITIVE, reflexive)
+        .when(tense == IMPERATIVE, 2 + number)
+        .when(tense == FUTURE, 6 + personal)
+        .when(tense == PRESENT, F.when(kind == 0, 18 + personal).otherwise(30 + participle))
+        .when(tense == PAST, F.when(kind == 0, 128 + reflexive * 4 + gender_number(gr)).otherwise(136 + participle))
+        .otherwise(255)
+    )
 
 
 def pack(wd: Column, gr: Column, flags: Column) -> Column:
-    """The form id of a noun or an adjective."""
-    return F.when(is_adjective(wd), pack_adjective(gr, flags)).otherwise(pack_noun(gr, flags))
+    """The form id of a grammar word."""
+    return F.when(is_verb(wd), pack_verb(gr, flags)).when(is_adjective(wd), pack_adjective(gr, flags)).otherwise(pack_noun(gr, flags))
 
 
 def unpack_noun(form: Column, plural_only: Column) -> Column:
@@ -77,7 +103,7 @@ def unpack_adjective(form: Column) -> Column:
     base = form % 32
     gender, case = F.shiftright(base, 3), base % 8
     packed = F.when(case <= 3, case).otherwise(case - 1)
-    number = F.when(gender == 3, PLURAL).otherwise(F.shiftleft(gender, 9))
+    number = F.when(gender == 3, PLURAL).otherwise(F.shiftleft(gender + 1, 9))
     out = number + F.when(case == 7, SHORT).otherwise(F.shiftleft(packed, 12)) + F.when(form.between(32, 63), REFLEXIVE).otherwise(0)
     return F.when(form == 64, COMPARATIVE).when(form == 65, ADVERB).when((form < 0) | (form > 65), -1).otherwise(out)
 
@@ -91,6 +117,38 @@ def in_level(mask: Column, level: Column) -> Column:
     return (level >= 1) & (F.call_function("getbit", mask.cast("int"), F.greatest(level - 1, F.lit(0)).cast("int")) == 1)
 
 
+def swap_level(kind: Column, wd: Column, gr: Column, flags: Column) -> Column:
+    """Which level of a stem's alternation a reading takes: 1, 2 or 3."""
+    tense, verb_kind, form = bits(gr, TENSE), bits(gr, PARTICIPLE), bits(gr, CASE) * 2 + bits(gr, PLURAL)
+    passive_past = (tense == PAST) & (verb_kind == 2)
+    by_person = F.when(passive_past, 3).when((bits(gr, PERSON) == 1) & (bits(gr, PLURAL) == 0), 2).otherwise(1)
+    by_stem = F.when(passive_past, 3).when(tense.isin(PAST, INFINITIVE), 1).otherwise(2)
+    by_present = F.when(tense.isin(PRESENT, FUTURE), 2).otherwise(1)
+    sort = F.shiftright(wd.bitwiseAND(F.lit(0x1800)), 11)
+    verb = F.when(sort == 0, by_person).when(sort == 1, by_stem).when(sort == 2, by_present).otherwise(1)
+    # singular nominative is 0, singular accusative 6, plural genitive 3, plural accusative 7
+    masculine, masculine_animate = F.when(form.isin(0, 6), 1).otherwise(2), F.when(form == 0, 1).otherwise(2)
+    feminine, feminine_animate = F.when(form == 3, 2).otherwise(1), F.when(form.isin(3, 7), 2).otherwise(1)
+    live = x_and(flags, ANIMATE) != 0
+    adjective = F.when(gr == COMPARATIVE, 3).when(gr == (1 << 9 | SHORT), 2).otherwise(1)
+    return (
+        F.when(kind == VERB_MIX, verb)
+        .when((kind == MASCULINE) | ((kind == MASCULINE_MIXED) & ~live), masculine)
+        .when(kind.isin(MASCULINE_ANIMATE, MASCULINE_MIXED), masculine_animate)
+        .when((kind == FEMININE) | ((kind == FEMININE_MIXED) & ~live), feminine)
+        .when(kind.isin(FEMININE_ANIMATE, FEMININE_MIXED), feminine_animate)
+        .when(kind == ADJECTIVE_MIX, adjective)
+        .otherwise(1)
+    )
+
+
+def dictionary_form(wd: Column, gr: Column, keep_participles: bool = False) -> Column:
+    """The grammar word of the dictionary form: infinitive, masculine nominative, or plural where there is no singular."""
+    plain = F.when(is_adjective(wd), 1 << 9).otherwise(0) + F.when(x_and(wd, PLURAL_ONLY) != 0, PLURAL).otherwise(0)
+    verb = F.when(is_participle(gr), x_and(gr, TENSE | PARTICIPLE) + (1 << 9)).otherwise(INFINITIVE) if keep_participles else F.lit(INFINITIVE)
+    return F.when(is_verb(wd), verb).otherwise(plain)
+
+
 def fold_future(form: Column) -> Column:
     """Future forms of a verb count as present ones."""
     return F.when(form.between(6, 17), form + 12).otherwise(form)

@@ -371,7 +371,7 @@ def rejects(spark, sf_dir):
     return lexicon.rejects(spark.createDataFrame([(x,) for x in ("// a comment", "", "word N", "word N LID:0", "word XX LID:5", "wordLID:5")], "line string"))
 
 
-CASE_SQL = "case when c < 3 then c when c = 3 then case when f & 1 <> 0 then 4 else 3 end else c + 1 end"
+CASE_SQL = "case when c < 3 then c when c = 3 then case when f & 2 <> 0 then 3 else 4 end else c + 1 end"
 
 
 @register("gram_pack", f"with g as (select c, f, p, cast(c * 4096 + p * 2048 as integer) as gr from (select unnest(range(8)) as c), (select unnest(range(4)) as f), (select unnest(range(2)) as p)) select gr, cast(f as integer) as flags, cast({CASE_SQL} + 10 * p as integer) as form_id from g", lex=False)
@@ -390,3 +390,30 @@ def gram_unpack(spark, sf_dir):
 def level_filter(spark, sf_dir):
     base = spark.range(64).select((F.col("id") % 16).cast("int").alias("mask"), (F.floor(F.col("id") / 16) + 1).cast("int").alias("level"))
     return base.where(G.in_level(F.col("mask"), F.col("level")))
+
+
+@register(
+    "swap_level",
+    """with g as (select k, c, p, f from (select unnest(range(2, 8)) as k), (select unnest(range(8)) as c), (select unnest(range(2)) as p), (select unnest(range(4)) as f)),
+    e as (select *, case when k in (4, 7) then case when f & 1 <> 0 then k - 1 else k - 2 end else k end as u from g)
+    select cast(k as integer) as kind, cast(c * 4096 + p * 2048 as integer) as gr, cast(f as integer) as flags,
+      case u when 2 then case when p = 0 and c in (0, 3) then 1 else 2 end when 3 then case when p = 0 and c = 0 then 1 else 2 end
+        when 5 then case when p = 1 and c = 1 then 2 else 1 end else case when p = 1 and c in (1, 3) then 2 else 1 end end as level from e""",
+    lex=False,
+)
+def swap_level(spark, sf_dir):
+    base = spark.range(6 * 64).select((F.floor(F.col("id") / 64) + 2).cast("int").alias("kind"), (F.col("id") % 8 * 4096 + F.floor(F.col("id") / 8) % 2 * 2048).cast("int").alias("gr"), (F.floor(F.col("id") / 16) % 4).cast("int").alias("flags"))
+    return base.select("*", G.swap_level(F.col("kind"), F.lit(0), F.col("gr"), F.col("flags")).alias("level"))
+
+
+@register(
+    "gram_pack_verb",
+    """with g as (select t, r, p, n from (select unnest(range(1, 5)) as t), (select unnest(range(2)) as r), (select unnest(range(1, 4)) as p), (select unnest(range(2)) as n))
+    select cast(t + 8 * p + 2048 * n + 32768 * r as integer) as gr,
+      cast(case t when 1 then r when 2 then 2 + 2 * r + n when 3 then 6 + (p - 1) * 4 + 2 * r + n else 18 + (p - 1) * 4 + 2 * r + n end as integer) as form_id from g""",
+    lex=False,
+)
+def gram_pack_verb(spark, sf_dir):
+    i = F.col("id")
+    gr = (i % 4 + 1) + 8 * (F.floor(i / 4) % 3 + 1) + 2048 * (F.floor(i / 12) % 2) + 32768 * F.floor(i / 24)
+    return spark.range(48).select(gr.cast("int").alias("gr")).select("gr", G.pack(F.lit(1), F.col("gr"), F.lit(0)).cast("int").alias("form_id"))
