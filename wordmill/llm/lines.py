@@ -86,7 +86,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LON
     gone = written(spark, repeated_lines(docs.select("doc_id", "text"), window, long_words), "gone").select(F.col("doc_id").alias("of"), F.col("digest").alias("as"), "gone")
     released(spark)
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"))
-    both = whole.join(gone, whole["doc_id"].eqNullSafe(gone["of"]) & (whole["digest"] == gone["as"]), "left")
+    # nothing bounds the deletions, so they are never broadcast, however few they are
+    both = whole.hint("merge").join(gone, whole["doc_id"].eqNullSafe(gone["of"]) & (whole["digest"] == gone["as"]), "left")
     lines = F.split("text", "\n", -1)
 
     def kept(cut: Column) -> Column:
