@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
+    "op3_line_dedup": lines.ORACLE,
+    "op7_neardup": neardup.ORACLE,
 }

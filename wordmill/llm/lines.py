@@ -111,3 +111,27 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = without_repeats(docs)
     columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+ORACLE = f"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents where text is not null
+), t as (
+  select *, trim(regexp_replace(x, '[\\t\\r\\x0B\\f]+', ' ', 'g')) as s from l
+), k as (
+  select *, lead(s) over w as s2, lead(s, 2) over w as s3, lead(i) over w as i2, lead(i, 2) over w as i3 from t where s <> '' window w as (partition by doc_id order by i)
+), places as (
+  select doc_id, i as line, 'run:' || s || chr(10) || s2 || chr(10) || s3 as key, [i, i2, i3] as lines from k where s3 is not null
+  union all
+  select doc_id, i, 'line:' || s, [i] from k where len(string_split_regex(s, ' +')) >= {LONG_WORDS}
+), first as (
+  select key, min((doc_id, line)) as place from places group by key having count(*) > 1
+), gone as (
+  select distinct doc_id, unnest(lines) as i from places join first using (key) where (doc_id, line) > place
+), kept as (
+  select l.doc_id, string_agg(x, chr(10) order by l.i) filter (where gone.i is null) as text, count(*) as n_lines, count(gone.i) as n_deleted
+  from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id
+)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted
+from documents d left join kept k using (doc_id)
+"""

@@ -141,3 +141,19 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's number of links and component, and whether it is kept."""
     got = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
     return got.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE = f"""
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))) and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v as a join v as b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), reach(a, c) as (
+  select vec_id, vec_id from embeddings union select l.a, r.c from reach r join links l on l.b = r.a
+), n as (select a, count(*) as n_links from links group by a), c as (select a, min(c) as component_id from reach group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings e left join n on n.a = vec_id left join c on c.a = vec_id
+"""

@@ -120,11 +120,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as x
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
   from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) = len(list_filter(embedding, x -> x is not null and isfinite(x)))
+  where vec_id is not null and embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
 ), s as (
-  select q.vec_id as query_id, v.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.x, v.x), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, v.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])) as bigint) as score
   from v as q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x)
   where q.vec_id % 50 = 0
 ), r as (
