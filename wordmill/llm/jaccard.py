@@ -100,7 +100,7 @@ def frequent(docs: DataFrame, k: int, most: int, least: int) -> np.ndarray:
 def bitmap(hashes: np.ndarray) -> bytes:
     """One bit for each hash, in as many bits as hold the set sparsely: a power of two, 64 at least."""
     width = 64
-    while width < 4 * len(hashes):
+    while width < 8 * len(hashes):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(hashes >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -155,8 +155,11 @@ def minima(s: np.ndarray) -> np.ndarray:
     return blocks.mix(least[::2] * np.uint64(7) + least[1::2] + np.arange(STARS, dtype=np.uint64))
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """Of pairs(a, b), those similar enough: bitmaps bound the overlap from above, then sorted arrays give it."""
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: DataFrame, k: int, part: int, whole: int, bounded: DataFrame | None = None) -> DataFrame:
+    """Of pairs(a, b), those similar enough: bitmaps bound the overlap from above, then sorted arrays give it.
+
+    The pairs of ``bounded`` have passed the bitmaps before.
+    """
 
     def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +170,8 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: feats.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")).dropDuplicates([c])
-    left = written(spark, pairs.join(side("a"), "a").join(side("b"), "b").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb")).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long"), "room")
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb")).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long")
+    left = written(spark, left if bounded is None else left.union(bounded).distinct(), "room")
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
@@ -335,8 +339,7 @@ def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE
     rest = written(spark, tiles(sets, group, part, whole, max(48, total // BUCKET)), "tiles")
     released(spark)
     large = banded(rest.where("large = 1").select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), sets, group, part, whole)
-    rest = rest.where("large = 0").select("a", "b").union(written(spark, large, "large")).distinct()
-    more = verified(spark, docs, rest, sets, k, part, whole)
+    more = verified(spark, docs, rest.where("large = 0").select("a", "b"), sets, k, part, whole, written(spark, large, "large"))
     found = components(spark, near.union(more).union(tied))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(found, out["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
