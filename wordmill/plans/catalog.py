@@ -233,10 +233,11 @@ suffix_index as (select suffix || ending as key, class_id, weight as power, form
 
 
 def _fuzzy(spark):
-    extracted = fuzzy.extract(lexicon.forms(spark))
-    classed = fuzzy.classes(extracted)
-    model, ending = fuzzy.models(extracted, classed), fuzzy.endings(classed)
-    return extracted, classed, model, ending, fuzzy.suffix_index(model, ending)
+    """Tables as large as the lexicon at most; cached, since hypotheses read each several times."""
+    extracted = fuzzy.extract(lexicon.forms(spark)).cache()
+    classed = fuzzy.classes(extracted).cache()
+    model, ending = fuzzy.models(extracted, classed).cache(), fuzzy.endings(classed).cache()
+    return extracted, classed, model, ending, fuzzy.suffix_index(model, ending).cache()
 
 
 @register("class_extract", f"with {CLASSES} select lexeme_id, pos, stem, suffix, endings, sample from extracted")
