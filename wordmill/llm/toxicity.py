@@ -72,13 +72,16 @@ def sentences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return features, np.concatenate(sentences_of), owner
 
 
-def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Weights of hashed words, and last the constant: Adam on the log-loss of noisy-or."""
+def in_documents(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents, and toxic ones, each feature is."""
+    size = 1 << BITS
+    pairs = np.unique((owner[sentence] if len(sentence) else sentence) * np.int64(size) + features)
+    return np.bincount(pairs % size, minlength=size), np.bincount(pairs % size, labels[pairs // size], size)
+
+
+def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Weights of features, and last the constant: Adam on the log-loss of noisy-or."""
     size = 1 << BITS
-    document = owner[sentence] if len(sentence) else sentence
-    pairs = np.unique(document * np.int64(size) + features)
-    seen = np.bincount(pairs % size, minlength=size)
-    toxic = np.bincount(pairs % size, labels[pairs // size], size)
     rate = labels.mean() if len(labels) else 0.0
     # only features that toxic documents have far more often than chance gives are learned: rare ones would be learned by heart
     far = (toxic - seen * rate) >= FAR * np.sqrt(seen * rate * (1 - rate))
@@ -93,8 +96,8 @@ def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels:
         z = np.bincount(sentence, w[feature], len(owner)) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         total = np.bincount(owner, np.logaddexp(0, z), len(labels))
-        toxic = -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-9)
-        slope = np.where(labels > 0, toxic, 1.0)[owner] * p / n
+        missed = -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-9)
+        slope = np.where(labels > 0, missed, 1.0)[owner] * p / n
         g = np.append(np.bincount(feature, slope[sentence], len(used)), slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
@@ -112,16 +115,19 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> np.ndarr
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, labels, sentences_so_far, texts_so_far = [], [], 0, 0
+        seen, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
         for batch in batches:
-            texts = blocks.encoded(batch.column("text"))
-            labels += batch.column("toxic").to_pylist()
+            texts, marks = blocks.encoded(batch.column("text")), batch.column("toxic").to_numpy()
+            labels.append(marks)
             for first, end in blocks.pieces(texts):
                 features, sentence, owner = sentences(texts[first:end])
-                parts.append((features, sentence + sentences_so_far, owner + texts_so_far))
+                for total, x in zip((seen, toxic), in_documents(features, sentence, owner, marks[first:end])):
+                    total += x.astype(total.dtype)
+                parts.append((features.astype(np.int32), (sentence + sentences_so_far).astype(np.int32), (owner + texts_so_far).astype(np.int32)))
                 sentences_so_far += len(owner)
                 texts_so_far += end - first
         if parts:
-            weights = train(*(np.concatenate(x) for x in zip(*parts)), np.array(labels))
+            weights = train(*(np.concatenate(x) for x in zip(*parts)), np.concatenate(labels), seen, toxic)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     found = rows.coalesce(1).mapInArrow(task, "weights binary").collect()
