@@ -170,8 +170,8 @@ def word_table(docs: DataFrame, ranks, kinds) -> DataFrame:
     return written(docs.sparkSession, counts.mapInArrow(encoded, "word string, n long, ids binary"), "words")
 
 
-def head(words: DataFrame, most: int, longest: int) -> dict[str, np.ndarray]:
-    """The most frequent words' hashes and ids, at most ``most`` words."""
+def head(words: DataFrame, most: int, longest: int) -> tuple[dict[str, np.ndarray], DataFrame]:
+    """The most frequent words' hashes and ids, at most ``most`` words; and the other words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,18 +191,22 @@ def head(words: DataFrame, most: int, longest: int) -> dict[str, np.ndarray]:
             break
         total, least = total + r["count"], r["step"]
     if least is None:
-        return {"h": np.zeros(0, np.uint64), "g": np.zeros(0, np.uint64), "at": np.zeros(1, np.int64), "ids": np.zeros(0, np.uint32)}
+        return {"h": np.zeros(0, np.uint64), "g": np.zeros(0, np.uint64), "at": np.zeros(1, np.int64), "ids": np.zeros(0, np.uint32)}, words
     rows = short.where(step >= least).select("word", "ids").mapInArrow(hashed, "h long, g long, ids binary").toArrow()
     h = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    ids = [np.frombuffer(x, np.uint32) for x in rows.column("ids").take(pa.array(order)).to_pylist()]
     # hashes that two words share aren't used: those words are joined like rare ones
     h = h[order]
     single = np.ones(len(h), bool)
     single[1:] &= h[1:] != h[:-1]
     single[:-1] &= h[1:] != h[:-1]
-    ids = [x for x, s in zip(ids, single) if s]
-    return {"h": h[single], "g": rows.column("g").to_numpy().view(np.uint64)[order][single], "at": np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), "ids": np.concatenate(ids)}
+    # ids as one array, without an object for each word
+    ids = rows.column("ids").cast(pa.binary()).combine_chunks().take(pa.array(order[single]))
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32).copy()
+    others = words.where((step < least) | (F.octet_length("word") > longest)) if single.all() else words
+    top = {"h": h[single], "g": rows.column("g").to_numpy().view(np.uint64)[order][single], "at": (ends - ends[0]).astype(np.int64) // 4, "ids": flat}
+    return top, others
 
 
 def _known(piece: Piece, top: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +230,8 @@ def encode(docs: DataFrame, vocabulary: bytes, most: int = HEAD, longest: int =
     words = word_table(docs, ranks, kinds)
     size = words.agg(F.sum(F.col("n") * F.octet_length("word"))).first()[0] or 0
     n_blocks = max(1, -(-int(size) // block))
-    top = spark.sparkContext.broadcast(head(words, most, longest))
+    most_frequent, others = head(words, most, longest)
+    top = spark.sparkContext.broadcast(most_frequent)
     released(spark)
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"))
 
@@ -242,7 +247,7 @@ def encode(docs: DataFrame, vocabulary: bytes, most: int = HEAD, longest: int =
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], ["block", "word"])
 
-    joined = dealt.select("text", "block").mapInArrow(rare, "block long, word string").join(words.select("word", "ids"), "word").select("block", "word", "ids")
+    joined = dealt.select("text", "block").mapInArrow(rare, "block long, word string").join(others.select("word", "ids"), "word").select("block", "word", "ids")
     joined = written(spark, joined, "rare")
     dropped(spark, words)
     released(spark)
