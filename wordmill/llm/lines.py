@@ -18,6 +18,10 @@ So a line goes exactly if it is in a window of ``window`` lines that occurs earl
 is a long line that occurs earlier. The first occurrence is a combinable minimum, not a
 list of positions, so a window that very many documents share is no problem.
 
+With ``short_runs`` the shortest run of lines, from each starting line, that has
+``long_words`` words is a window too; runs of one line or of ``window`` lines are found
+anyway. The query and the pipeline leave it off, since the query's SQL does without.
+
 Defined cases: a null text stays null; a text of which nothing is left becomes empty;
 blank lines stay; rows with equal doc_id or a null one are told apart by a hash of their
 text, and equal rows count as one document (all keep the same lines); an empty table
@@ -35,30 +39,32 @@ from wordmill.llm.shared import released, written
 WINDOW, LONG_WORDS = 3, 50
 
 
-def _line_hashes(text: Column, long_words: int, window: int) -> Column:
-    """array<struct<line int, h long, wide boolean>> of the lines that are not blank."""
+def _line_hashes(text: Column, long_words: int, window: int, counted: bool = False) -> Column:
+    """array<struct<line int, h long, wide boolean>> of the lines that are not blank; with their words ``n``, if ``counted``."""
     lines = F.split(text, "\n", -1)
 
     def one(x: Column, i: Column) -> Column:
         t = F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]+", " "))
         wide = F.length(t) >= 2 * long_words - 1
-        return F.struct(i.alias("line"), F.xxhash64(t).alias("h"), F.when(wide, F.size(F.split(t, " +")) >= long_words).otherwise(False).alias("wide"), (t == "").alias("blank"))
+        n = [F.size(F.split(t, " +")).alias("n")] if counted else []
+        return F.struct(i.alias("line"), F.xxhash64(t).alias("h"), F.when(wide, F.size(F.split(t, " +")) >= long_words).otherwise(False).alias("wide"), (t == "").alias("blank"), *n)
 
-    return F.transform(F.filter(F.transform(lines, one), lambda x: ~x["blank"]), lambda x: F.struct(x["line"].alias("line"), x["h"].alias("h"), x["wide"].alias("wide")))
+    kept = ["line", "h", "wide"] + ["n"] * counted
+    return F.transform(F.filter(F.transform(lines, one), lambda x: ~x["blank"]), lambda x: F.struct(*[x[c].alias(c) for c in kept]))
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, short_runs: bool = False) -> DataFrame:
     """(doc_id, digest, gone): for documents of which lines go, the numbers of those lines.
 
     ``digest`` is a hash of the text that tells rows with one doc_id apart.
     """
     spark = docs.sparkSession
-    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), _line_hashes(F.col("text"), long_words, window).alias("lines"))
+    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), _line_hashes(F.col("text"), long_words, window, short_runs).alias("lines"))
     lined = written(spark, lined.where(F.size("lines") > 0), "lines")
 
     # windows: the place of the first line, a hash of all lines, and the place and hash of the selected line
-    def at(i: Column) -> Column:
-        part = F.slice("lines", i, F.lit(window))
+    def at(i: Column, n: int = window) -> Column:
+        part = F.slice("lines", i, F.lit(n))
         least = F.array_min(F.transform(part, lambda x: x["h"]))
         return F.struct(
             F.transform(part, lambda x: x["line"]).alias("lines"),
@@ -66,9 +72,17 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
             least.alias("mark"),
         )
 
-    narrow = F.when(F.size("lines") >= window, F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), at)).otherwise(F.array().cast("array<struct<lines:array<int>,whole:bigint,mark:bigint>>"))
+    none = F.array().cast("array<struct<lines:array<int>,whole:bigint,mark:bigint>>")
+
+    def run(n: int) -> Column:
+        words = lambda i, n: F.aggregate(F.slice("lines", i, F.lit(n)), F.lit(0), lambda acc, x: acc + x["n"])
+        starts = F.filter(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: (words(i, n) >= long_words) & (words(i, n - 1) < long_words))
+        return F.when(F.size("lines") >= n, F.transform(starts, lambda i: at(i, n))).otherwise(none)
+
+    narrow = F.when(F.size("lines") >= window, F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), lambda i: at(i))).otherwise(none)
+    runs = [run(n) for n in range(2, window)] if short_runs else []
     wide = F.transform(F.filter("lines", lambda x: x["wide"]), lambda x: F.struct(F.array(x["line"]).alias("lines"), F.xxhash64(x["h"], F.lit(1)).alias("whole"), x["h"].alias("mark")))
-    windows = lined.select("doc_id", "digest", F.explode(F.concat(wide, narrow)).alias("w")).select("doc_id", "digest", "w.lines", "w.whole", "w.mark")
+    windows = lined.select("doc_id", "digest", F.explode(F.concat(wide, narrow, *runs)).alias("w")).select("doc_id", "digest", "w.lines", "w.whole", "w.mark")
 
     # fingerprints that occur at more than one place: the only positions worth joining
     place = F.struct(F.col("doc_id"), F.col("digest"), F.col("lines")[0].alias("line"))
@@ -80,10 +94,10 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     return gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, short_runs: bool = False) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from ``text``; adds n_lines and n_deleted."""
     spark = docs.sparkSession
-    gone = written(spark, repeated_lines(docs.select("doc_id", "text"), window, long_words), "gone").select(F.col("doc_id").alias("of"), F.col("digest").alias("as"), "gone")
+    gone = written(spark, repeated_lines(docs.select("doc_id", "text"), window, long_words, short_runs), "gone").select(F.col("doc_id").alias("of"), F.col("digest").alias("as"), "gone")
     released(spark)
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"))
     # nothing bounds the deletions, so they are never broadcast, however few they are
