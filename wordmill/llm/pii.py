@@ -12,6 +12,11 @@ only begin where the character before cannot belong to it, or right behind the
 match before (``\\G``). This finds the same spans as the plain patterns, in time
 proportional to the text.
 
+Account numbers may be followed by capitals and digits that could belong to them. So a
+pattern only says where one may begin; it ends at a word end, after as many characters
+as its country has, or, where the country is not in the list, after the fewest that
+pass mod-97. A beginning inside a number found before is none.
+
 Defined cases: a null text counts as empty; an empty table gives an empty table;
 repeated rows give repeated rows; ``doc_id`` may be null; other columns are ignored.
 """
@@ -26,7 +31,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:[ ]?[A-Z0-9]){11})"
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+"
+# The lengths of account numbers, by the countries that have them.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 # Words that make a kind likelier when they stand just before a span, and the score without and with them.
 CONTEXT = {
@@ -90,10 +103,38 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+def accounts(text: Column) -> Column:
+    """array<struct<s int, e int>> of the account numbers in a text, none inside another."""
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_COUNTRIES.items() for c in names.split() for x in (c, n)])
+
+    def ended(x: Column) -> Column:
+        part = F.substring(text, x["s"] + 1, F.lit(4 + 2 * 30 + 1))
+
+        def valid(e: Column) -> Column:
+            code = F.regexp_replace(F.substring(part, F.lit(1), e), " ", "")
+            fits = F.coalesce(F.try_element_at(lengths, F.substring(part, 1, 2)) == F.length(code), F.lit(True))
+            at_end = ~F.substring(part, e, F.lit(1)).eqNullSafe(F.lit(" ")) & ~F.substring(part, e + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            return F.when(at_end & fits, mod97(code)).otherwise(False)
+
+        ends = F.sequence(F.lit(15), F.length(F.regexp_extract(part, IBAN_RUN, 0)))
+        return F.struct(x["s"].alias("s"), (x["s"] + F.get(F.filter(ends, valid), F.lit(0))).alias("e"))
+
+    def apart(acc: Column, x: Column) -> Column:
+        free = x["s"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(0))
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    found = F.filter(F.transform(proposed(text, IBAN), ended), lambda x: x["e"].isNotNull())
+    return F.aggregate(found, F.array().cast("array<struct<s:int,e:int>>"), apart)
+
+
 def _ip_ok(hit: Column) -> Column:
     return F.forall(F.split(hit, r"\."), lambda p: p.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+def _passing(valid):
+    return lambda x: valid(x["hit"])
+
+
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``found``: array<struct<kind, s, e, score>>, by kind in the order listed, then by place."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -102,18 +143,19 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         ("ip", IP, body.rlike(r"[0-9]\.[0-9]"), _ip_ok),
         ("card", CARD, body.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), lambda h: luhn(digits(h))),
         ("phone", PHONE, F.contains(body, F.lit("+")), lambda h: F.length(digits(h)).between(8, 15)),
-        ("iban", IBAN, body.rlike(r"[A-Z]{2}[0-9]{2}"), lambda h: mod97(F.regexp_replace(h, " ", ""))),
     ]
+    rules = [(kind, hint, F.filter(proposed(body, pattern), _passing(valid))) for kind, pattern, hint, valid in rules]
+    rules.append(("iban", body.rlike(r"[A-Z]{2}[0-9]{2}"), accounts(body)))
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
 
-    def confirmed(kind: str, pattern: str, hint: Column, valid) -> Column:
+    def confirmed(kind: str, hint: Column, places: Column) -> Column:
         words, plain, near = CONTEXT[kind]
 
         def scored(x: Column) -> Column:
             before = F.substring(body, F.greatest(x["s"] - WINDOW, F.lit(0)) + 1, F.least(x["s"], F.lit(WINDOW)))
             return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(before.rlike(words), near).otherwise(plain).cast("double").alias("score"))
 
-        return F.when(hint, F.transform(F.filter(proposed(body, pattern), lambda x: valid(x["hit"])), scored)).otherwise(none)
+        return F.when(hint, F.transform(places, scored)).otherwise(none)
 
     parts = [confirmed(*rule) for rule in rules]
     return docs.withColumn("found", F.concat(*parts))
