@@ -3,13 +3,15 @@
 Two kinds of findings:
 
 * Places where the words of a short phrase stand one after the other.
-* Text blocks (lines) that contain at least ``threshold`` of a template's distinct
-  words. Words are ordered by their frequency over the whole corpus, rare ones first.
+* Text blocks that contain at least ``threshold`` of a template's distinct words. A block
+  is a line, or a run of consecutive words, across lines, that is 1 / ``threshold`` times
+  as long as the template; every such run of a text counts. Words are ordered by their frequency over the whole corpus, rare ones first.
   A block that contains c of a template's n words must contain one of the first
   n - c + 1 (the prefix). Prefix words and lines' words are joined by equality; a pair
   goes on only if the block has enough words at all (length filter) and if the words
   that may follow the first common one are enough (positional filter); then the overlap
-  is counted exactly. So every block that meets the threshold is found.
+  is counted exactly. So every block that meets the threshold is found. Runs of words
+  are looked at only where the whole text passes this.
 
 The templates are a parameter. The tables made of them (words, prefixes) are as large as
 the templates, whatever the corpus, and may be broadcast.
@@ -36,7 +38,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases and labels of the base findings.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Short license notices, by label.
+# Short license notices, and the passages by which the usual license bodies are known, by label.
 TEMPLATES = {
     "notice-mit": "Released under the MIT License",
     "notice-apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -45,6 +47,13 @@ TEMPLATES = {
     "notice-cc-by-4.0": "Licensed under CC BY 4.0",
     "notice-bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "notice-reserved": "All rights reserved",
+    "license-mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "license-bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "license-isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "license-apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "license-gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "license-mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "license-unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
 }
 THRESHOLD = 0.8
 
@@ -57,6 +66,19 @@ def words_of(x: Column) -> Column:
     return F.regexp_extract_all(lowered(x), F.lit(WORD), F.lit(0))
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of any of the words as a whole word; common beginnings are tried once."""
+
+    def tails(words: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in filter(None, words):
+            heads.setdefault(w[0], []).append(w[1:])
+        body = "|".join(c + tails(rest) for c, rest in sorted(heads.items()))
+        return f"(?:{body})?" if heads and "" in words else f"(?:{body})" if len(heads) > 1 else body
+
+    return rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}]){tails(words)}(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])"
+
+
 def places(text: Column, phrases: dict[str, str]) -> Column:
     """array<struct<at int, label string>> of the phrases in a text."""
     none = F.array().cast("array<struct<at:int,label:string>>")
@@ -81,22 +103,40 @@ def places(text: Column, phrases: dict[str, str]) -> Column:
 
 
 def prefixes(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(word, label, n, need, place, words): each template's prefix in the order of the corpus's word frequencies.
+    """(word, label, n, need, run, place, words, prefix): each template's prefix in the order of the corpus's word frequencies.
+
+    ``run`` is the length of the runs of words that are compared with the template.
 
     Frequencies count every occurrence of a template's words in all texts.
     """
     spark = docs.sparkSession
     rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "label string, text string")
-    listed = rows.select("label", F.array_distinct(words_of(F.col("text"))).alias("words")).select("label", "words", F.explode("words").alias("word"))
+    run = F.ceil(F.size(words_of(F.col("text"))) / F.lit(threshold) - 1e-9).cast("int")
+    listed = rows.select("label", F.array_distinct(words_of(F.col("text"))).alias("words"), run.alias("run")).select("label", "words", "run", F.explode("words").alias("word"))
     known = sorted({w for v in templates.values() for w in "".join(c if c.isalnum() else " " for c in v.lower()).split()})
     # templates' words only are taken from the texts
-    pattern = rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{'|'.join(known)})(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])"
+    pattern = one_of(known)
     counts = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").count()
     counts = counts.groupBy(lowered(F.col("word")).alias("word")).agg(F.sum("count").alias("n"))
-    ranked = listed.join(counts, "word", "left").groupBy("label", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
+    ranked = listed.join(counts, "word", "left").groupBy("label", "words", "run").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
     n = F.size("ranked")
     need = F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
-    return ranked.select("label", "words", n.alias("n"), need.alias("need"), F.posexplode(F.slice("ranked", F.lit(1), n - need + 1)).alias("place", "r")).select("label", "words", "n", "need", "place", F.col("r.word").alias("word"))
+    ranked = ranked.select("label", "words", "run", n.alias("n"), need.alias("need"), F.transform(F.slice("ranked", F.lit(1), n - need + 1), lambda x: x["word"]).alias("prefix"))
+    return ranked.select("label", "words", "run", "n", "need", "prefix", F.posexplode("prefix").alias("place", "word"))
+
+
+def best_run(words: Column, own: Column, run: Column) -> Column:
+    """The most distinct words of ``own`` in ``run`` consecutive ones of ``words``; a best run begins with one of them."""
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(own, x["word"]))
+
+    def most(hits: Column) -> Column:
+        def distinct(x: Column, j: Column) -> Column:
+            near = F.filter(F.slice(hits, j + 1, run), lambda y: y["at"] < x["at"] + run)
+            return F.size(F.array_distinct(F.transform(near, lambda y: y["word"])))
+
+        return F.array_max(F.transform(hits, distinct))
+
+    return F.get(F.transform(F.array(hits), most), F.lit(0))
 
 
 def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,13 +145,20 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     table = written(spark, prefixes(docs, templates, threshold), "prefixes")
     own = [r["word"] for r in table.select("word").distinct().collect()]  # words of the templates' prefixes
     least = table.agg(F.min("need")).first()[0] or 1
-    pattern = rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{'|'.join(own)})(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])" if own else r"(?!)"
-    lines = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.xxhash64("text").alias("digest"), F.explode(F.split("text", "\n", -1)).alias("block"))
-    bags = lines.where(F.col("block").rlike(pattern)).select("doc_id", "digest", F.array_distinct(words_of(F.col("block"))).alias("bag")).where(F.size("bag") >= least)
-    probes = bags.select("doc_id", "digest", "bag", F.explode(F.array_intersect("bag", F.array(*map(F.lit, own)))).alias("word")) if own else bags.withColumn("word", F.lit("")).limit(0)
+    pattern = one_of(own) if own else r"(?!)"
+    # a text's lines, and the whole of it for runs of words across lines
+    block = lambda x, whole: F.struct(x.alias("block"), F.lit(whole).alias("whole"))
+    cut = F.concat(F.transform(F.split("text", "\n", -1), lambda x: block(x, False)), F.array(block(F.col("text"), True)))
+    lines = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.xxhash64("text").alias("digest"), F.explode(cut).alias("b")).select("doc_id", "digest", "b.block", "b.whole")
+    lines = lines.where(~F.col("whole") | F.contains("block", F.lit("\n"))).where(F.col("block").rlike(pattern))
+    bags = lines.select("doc_id", "digest", "whole", words_of(F.col("block")).alias("all")).withColumn("bag", F.array_distinct("all")).where(F.size("bag") >= least)
+    probes = bags.withColumn("word", F.explode(F.array_intersect("bag", F.array(*map(F.lit, own))))) if own else bags.withColumn("word", F.lit("")).limit(0)
     met = probes.join(F.broadcast(table), "word").where(F.size("bag") >= F.col("need")).where(F.col("n") - F.col("place") >= F.col("need"))
-    overlap = F.size(F.array_intersect("bag", "words"))
-    return met.select("doc_id", "digest", "label", "need", "n", overlap.alias("both")).where(F.col("both") >= F.col("need")).groupBy("doc_id", "digest", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
+    # once for each block and template: by the first prefix word that the block has
+    met = met.where(F.get(F.array_intersect("prefix", "bag"), F.lit(0)) == F.col("word"))
+    met = met.withColumn("both", F.size(F.array_intersect("bag", "words"))).where(F.col("both") >= F.col("need"))
+    both = F.when(F.col("whole"), best_run(F.col("all"), F.col("words"), F.col("run"))).otherwise(F.col("both"))
+    return met.select("doc_id", "digest", "label", "need", "n", both.alias("both")).where(F.col("both") >= F.col("need")).groupBy("doc_id", "digest", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
