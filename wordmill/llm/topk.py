@@ -3,8 +3,10 @@
 A query's score of a vector is the inner product of their integer components. Vectors
 are sorted by each component; a query reads each list from the end that helps its score
 (the top for its positive components, the bottom for its negative ones). What has been
-read gives each vector a lower and an upper bound; reading stops when no vector outside
-can reach the k best, and what is left open is resolved by reading on in the lists.
+read gives each vector a lower and an upper bound. They are looked at for the depths in
+``DEPTHS`` only. Queries that few vectors are left for are resolved by these vectors' own
+components; queries that are still open, by the product with all vectors of the block.
+Both are random access, and on the test data no query is closed before (see README).
 
 Queries and vectors are dealt into blocks by a hash, and every block of queries meets
 every block of vectors in a task of its own, with arrays of a fixed size. The bounds of
