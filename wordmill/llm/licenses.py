@@ -8,9 +8,9 @@ Two kinds of findings:
   as long as the template; every such run of a text counts. Words are ordered by their frequency over the whole corpus, rare ones first.
   A block that contains c of a template's n words must contain one of the first
   n - c + 1 (the prefix). Prefix words and lines' words are joined by equality; a pair
-  goes on only if the block has enough words at all (length filter) and if the words
-  that may follow the first common one are enough (positional filter); then the overlap
-  is counted exactly. So every block that meets the threshold is found. Runs of words
+  goes on only if the block has enough words at all (length filter); then the overlap is
+  counted exactly. There is no positional filter: words of a prefix stand early enough by
+  its length. So every block that meets the threshold is found. Runs of words
   are looked at only where the whole text passes this.
 
 The templates are a parameter. The tables made of them (words, prefixes) are as large as
