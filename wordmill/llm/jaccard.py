@@ -30,8 +30,8 @@ most ``HOT`` (2 MB); where there are more, those with larger counts are taken.
 
 Defined cases: a null text and one without words have an empty set and link with
 nothing; fewer words than n make one n-gram of all; repeated rows of a doc_id are rows
-of one class if their texts agree (rows that share a doc_id but not a text are compared
-by one of their texts); a null doc_id keeps its row, with a null component, and links with
+of one class if their texts agree; rows that share a doc_id but not a text are compared
+each by its own text and belong to one group; a null doc_id keeps its row, with a null component, and links with
 nothing; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -314,10 +314,50 @@ def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
 def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
-    Documents link when whole * |A & B| >= part * |A | B|.
+    Documents link when whole * |A & B| >= part * |A | B|. Each text of a doc_id that has
+    several is a document of its own here, named by a hash; doc_ids tie their groups.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select(F.col("doc_id").alias("of"))
+    several = written(spark, several, "several")
+    if several.isEmpty():
+        return _groups(docs, k, part, whole, hot)
+    # nothing bounds the doc_ids with several texts, so they are never broadcast
+    own = docs.hint("merge").join(several, docs["doc_id"] == several["of"], "left")
+    name = F.when(F.col("of").isNotNull(), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id"))
+    named = written(spark, own.select("doc_id", name.alias("name"), "text"), "named")
+    found = written(spark, _groups(named.select(F.col("name").alias("doc_id"), "text"), k, part, whole, hot).distinct(), "found")
+    found = found.select(F.col("doc_id").alias("name"), "n_shingles", "component_id")
+    rows = named.select("doc_id", "name")
+    # equal rows have equal findings; rows without an id only have their set's size
+    known = rows.where("doc_id is not null").join(found, "name")
+    known = written(spark, known.select("doc_id", "n_shingles", "component_id"), "known")
+    first = known.groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    tied = components(spark, known.join(first, "doc_id").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
+    whole_groups = known.join(tied, known["component_id"] == tied["id"], "left").select("doc_id", F.coalesce(tied["component_id"], known["component_id"]).alias("group"), "n_shingles")
+    whole_groups = written(spark, whole_groups, "whole")
+    least = whole_groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = whole_groups.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    return out.union(_groups_without_id(docs, k))
+
+
+def _groups_without_id(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of ``groups`` for the rows that have no doc_id."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = _texts(batch)
+            sizes = [len(s) for s in blocks.shingle_sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id is null").mapInArrow(sized, "doc_id long, n_shingles long, component_id long")
+
+
+def _groups(docs: DataFrame, k: int, part: int, whole: int, hot: int) -> DataFrame:
+    """``groups`` of rows of which no doc_id has several texts."""
+    spark = docs.sparkSession
     feats = written(spark, features(docs, k, part, whole, frequent(docs, k, hot, HOT_LEAST)), "features")
     sets = feats.where("n > 0 and doc_id is not null")
     # a class: documents with equal sets; a doc_id in several classes ties them together below
