@@ -11,8 +11,7 @@ in size-banded tiles with bitmap signatures:
    n-grams that very many documents share come last, the most frequent at the end.
    Any one order gives exact results; this one keeps tiles small.
    Large tiles (over ``SMALL`` classes) with the same smallest class are put together,
-   cut into bands of sizes and those into blocks of ``BLOCK``, and compared by bitmaps
-   before any pair leaves the tile.
+   cut into bands of sizes and those into blocks of ``BLOCK`` classes.
 3. A pair of a tile goes on if the counts of bits in which the hashed bitmaps of both
    sets differ leave room for the overlap that it needs: |A & B| <= (|A| + |B| - bits) / 2.
 4. What is left is compared exactly, on sorted arrays of hashes.
@@ -20,8 +19,11 @@ in size-banded tiles with bitmap signatures:
 A group of g near copies would give g * g / 2 pairs in every tile it meets in. So a
 first round links each class only to the smallest class with which it shares a minimum
 of its set (a star of a few links a class), exactly compared as above. The second
-round, over all tiles, leaves out pairs that these links already connect. What links
-connect is the result, so no link between different groups is lost.
+round, over all tiles, leaves out pairs that these links already connect. In a large
+tile the classes of its largest group meet only those outside it, not each other; steps
+3 and 4 happen inside the block, and only a spanning forest of the links found leaves
+it, at most one link a class. What links connect is the result, so no link between
+different groups is lost.
 
 Frequent n-grams are found by counts over all documents. A batch reports those that it
 has at least twice, so a count may be short by one for each batch; only the order of
@@ -54,7 +56,9 @@ HOT, HOT_LEAST = 1 << 18, 16
 #: Keys of the first round for each class, and n-grams of prefixes that a bucket of tiles holds on average.
 STARS, BUCKET = 8, 400_000
 #: Classes of a tile that is compared at once, and of a block of a larger one.
-SMALL, BLOCK = 64, 2048
+SMALL, BLOCK = 64, 512
+#: n-grams of the sets of a block, on average.
+BLOCK_GRAMS = 1 << 21
 #: Bits of the filter of doc_ids that need their sets; a full filter lets all pass, to the join behind it.
 FILTER_BITS = 1 << 23
 
@@ -155,11 +159,8 @@ def minima(s: np.ndarray) -> np.ndarray:
     return blocks.mix(least[::2] * np.uint64(7) + least[1::2] + np.arange(STARS, dtype=np.uint64))
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: DataFrame, k: int, part: int, whole: int, bounded: DataFrame | None = None) -> DataFrame:
-    """Of pairs(a, b), those similar enough: bitmaps bound the overlap from above, then sorted arrays give it.
-
-    The pairs of ``bounded`` have passed the bitmaps before.
-    """
+def roomy(pairs: DataFrame, feats: DataFrame, part: int, whole: int) -> DataFrame:
+    """Of pairs(a, b), those whose sizes and bitmaps leave room for the overlap they need."""
 
     def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,12 +171,16 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: feats.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")).dropDuplicates([c])
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb")).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long")
-    left = written(spark, left if bounded is None else left.union(bounded).distinct(), "room")
-    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb"))
+    return written(feats.sparkSession, left.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long"), "room")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the sorted set of every document in ``ids``, as bytes."""
+    spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    # a fixed number of bits says which documents may be needed; the joins below decide
+    # a fixed number of bits says which documents may be needed; the join below decides
     filled = spark.createDataFrame([(r["bucket"], bytearray(r["bits"])) for r in marks], "bucket long, bits binary")
     own = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     spot = F.bitmap_bit_position(own)
@@ -188,26 +193,34 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, feats: Data
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _texts(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in blocks.shingle_sets(texts, k)], pa.binary())], ["id", "hashes"])
+            doc_ids, texts = _texts(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([s.tobytes() for s in blocks.shingle_sets(texts, k)], pa.binary())], ["id", "hashes"])
 
     sets = needed.mapInArrow(packed, "id long, hashes binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(spark, sets, "sets")
+    return written(spark, sets, "sets")
+
+
+def alike(x: np.ndarray, y: np.ndarray, part: int, whole: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and whole * both >= part * (len(x) + len(y) - both)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Of pairs(a, b), those similar enough, compared exactly."""
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(whole * both >= part * (len(x) + len(y) - both) and both > 0)
+            both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())
+            keep = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), part, whole) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}"))
-    links = written(spark, left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "hb").mapInArrow(similar, "a long, b long"), "similar")
-    dropped(spark, left, sets)
-    released(spark)
-    return links
+    return written(pairs.sparkSession, pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "hb").mapInArrow(compared, "a long, b long"), "similar")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
 
 def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: int) -> DataFrame:
@@ -267,43 +280,66 @@ def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: in
     return dealt_rows.groupBy("bucket").applyInArrow(met, "a long, b long, large long").distinct()
 
 
-def banded(members: DataFrame, feats: DataFrame, group: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs(a, b) of large tiles, given as members(lead, doc_id), whose bitmaps leave room for the overlap they need."""
+def banded(members: DataFrame, sets: DataFrame, feats: DataFrame, group: DataFrame, part: int, whole: int) -> DataFrame:
+    """Links(a, b) that span what is similar in large tiles, given as members(lead, doc_id).
+
+    The classes of a tile's largest group are compared with those outside it only; any
+    others with all but their own group. Every pair of blocks is a task of its own.
+    """
+    spark = feats.sparkSession
     ratio = whole / part
-    own = feats.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(group, "doc_id").join(members, "doc_id")
-    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9))
-    own = written(feats.sparkSession, own, "members")
-    again = feats.sparkSession.read.schema(own.schema).parquet(own._wordmill_path)  # a cogroup's sides need columns of their own
-    sizes = own.groupBy("lead", "band").count()
-    # a tile has the classes of one band on the left, and those of this band and the next on the right
-    tile = sizes.union(sizes.select("lead", F.col("band") - 1, "count")).groupBy("lead", "band").agg(F.ceil(F.max("count") / BLOCK).cast("int").alias("g"))
-    spot = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    every = lambda: F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    columns = ["lead", "tile", "i", "j", "doc_id", "n", "bits", "component_id", "band"]
-    left = own.join(tile, ["lead", "band"]).withColumn("tile", F.col("band")).withColumn("i", spot).withColumn("j", every()).select(columns)
-    right = again.withColumn("of", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(tile, ["lead", "band"])
-    right = right.withColumn("tile", F.col("band")).withColumn("band", F.col("of")).withColumn("i", every()).withColumn("j", spot).select(columns)
+    own = feats.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(group, "doc_id").join(members, "doc_id").join(sets, F.col("doc_id") == F.col("id"))
+    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9)).drop("id")
+    own = written(spark, own, "members")
+    again = spark.read.schema(own.schema).parquet(own._wordmill_path)  # a cogroup's sides need columns of their own
+    main = own.groupBy("lead", "component_id").count().groupBy("lead").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("main"))
+    outside = own.join(main, "lead").where(F.col("component_id") != F.col("main"))
+    near = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    # a tile has outsiders of one band on the left, and all of this band and its neighbours on the right
+    tile = outside.groupBy("lead", F.col("band").alias("tile")).agg(parts.alias("p"))
+    wide = own.select("lead", "n", near.alias("tile")).groupBy("lead", "tile").agg(parts.alias("q"))
+    tile = written(spark, tile.join(wide, ["lead", "tile"]), "blocks")
+    spot = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["lead", "tile", "i", "j", "doc_id", "n", "bits", "component_id", "hashes"]
+    left = outside.withColumn("tile", F.col("band")).join(tile, ["lead", "tile"]).withColumn("i", spot("p")).withColumn("j", every("q")).select(columns)
+    right = again.withColumn("tile", near).join(tile, ["lead", "tile"]).withColumn("i", every("p")).withColumn("j", spot("q")).select(columns)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros((2, 0), np.int64)]
-        if left.num_rows and right.num_rows:
-            x, y = ([np.frombuffer(b, np.uint8) for b in t.column("bits").to_pylist()] for t in (left, right))
-            width = min(map(len, x + y))
-            x, y = (np.stack([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in z]).view(np.uint64) for z in (x, y))
-            ids, n, groups, band = (right.column(c).to_numpy() for c in ("doc_id", "n", "component_id", "band"))
-            for k, (doc_id, size, g, own_band) in enumerate(zip(*(left.column(c).to_pylist() for c in ("doc_id", "n", "component_id", "band")))):
-                both = size + n
-                open_ = (groups != g) & ((band > own_band) | (ids > doc_id)) & (whole * np.minimum(n, size) >= part * np.maximum(n, size))
-                at = np.flatnonzero(open_)
-                if len(at):
-                    differ = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
-                    at = at[(whole + part) * (both[at] - differ) >= 2 * part * both[at]]
-                    out.append(np.stack([np.minimum(ids[at], doc_id), np.maximum(ids[at], doc_id)]))
-        found = np.concatenate(out, axis=1)
-        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+        return spanning(left, right, part, whole)
 
     key = ["lead", "tile", "i", "j"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
+    links = written(spark, left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long"), "large")
+    dropped(spark, own, tile)
+    return links
+
+
+def spanning(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
+    """Links(a, b) between a block's sides: a spanning forest of all pairs that are similar, beyond the groups known before."""
+    a: list[int] = []
+    b: list[int] = []
+    if left.num_rows and right.num_rows:
+        x, y = ([np.frombuffer(bits, np.uint8) for bits in t.column("bits").to_pylist()] for t in (left, right))
+        width = min(map(len, x + y))
+        x, y = (np.stack([np.bitwise_or.reduce(bits.reshape(-1, width), axis=0) for bits in z]).view(np.uint64) for z in (x, y))
+        mine, theirs = (t.column("hashes").to_pylist() for t in (left, right))
+        ids, n = (right.column(c).to_numpy() for c in ("doc_id", "n"))
+        # groups of this block, as numbers: they grow together as links are found
+        both = np.concatenate([t.column("component_id").to_numpy() for t in (left, right)])
+        group = np.unique(both, return_inverse=True)[1]
+        mine_in, theirs_in = group[: left.num_rows], group[left.num_rows :]
+        for k, (doc_id, size) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("n").to_pylist())):
+            at = np.flatnonzero((theirs_in != mine_in[k]) & (whole * np.minimum(n, size) >= part * np.maximum(n, size)))
+            differ = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
+            at = at[(whole + part) * (n[at] + size - differ) >= 2 * part * (n[at] + size)]
+            own = np.frombuffer(mine[k], np.uint64)
+            for j in at.tolist():
+                if theirs_in[j] != mine_in[k] and alike(own, np.frombuffer(theirs[j], np.uint64), part, whole):
+                    a.append(doc_id)
+                    b.append(int(ids[j]))
+                    group[group == theirs_in[j]] = mine_in[k]  # both sides are views of this array
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -369,7 +405,10 @@ def _groups(docs: DataFrame, k: int, part: int, whole: int, hot: int) -> DataFra
     keys = sets.select("doc_id", "stars").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("stars").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
     first = keys.join(leaders, "key").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = verified(spark, docs, written(spark, first, "stars"), sets, k, part, whole)
+    pairs = roomy(written(spark, first, "stars"), sets, part, whole)
+    arrays = sets_of(docs, ends(pairs).distinct(), k)
+    near = similar(pairs, arrays, part, whole)
+    dropped(spark, pairs, arrays)
     tied = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     so_far = components(spark, near)
     group = reps.join(so_far, reps["doc_id"] == so_far["id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -378,8 +417,12 @@ def _groups(docs: DataFrame, k: int, part: int, whole: int, hot: int) -> DataFra
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rest = written(spark, tiles(sets, group, part, whole, max(48, total // BUCKET)), "tiles")
     released(spark)
-    large = banded(rest.where("large = 1").select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), sets, group, part, whole)
-    more = verified(spark, docs, rest.where("large = 0").select("a", "b"), sets, k, part, whole, written(spark, large, "large"))
+    members = rest.where("large = 1").select(F.col("a").alias("lead"), F.col("b").alias("doc_id"))
+    pairs = roomy(rest.where("large = 0").select("a", "b"), sets, part, whole)
+    arrays = sets_of(docs, ends(pairs).union(members.select("doc_id")).distinct(), k)
+    more = similar(pairs, arrays, part, whole).union(banded(members, arrays, sets, group, part, whole))
+    dropped(spark, pairs, arrays)
+    released(spark)
     found = components(spark, near.union(more).union(tied))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(found, out["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
