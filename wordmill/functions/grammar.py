@@ -96,7 +96,70 @@ def unpack_noun(form: Column, plural_only: Column) -> Column:
     case = form % 10
     packed = F.when(case <= 3, case).otherwise(case - 1)
     out = F.shiftleft(packed, 12) + F.when(form >= 10, PLURAL).otherwise(0)
-    return F.when((form < 0) | (form > 18) | (case > 8) | (plural_only & (form < 10)), -1).otherwise(out)
+    return F.when((form < 0) | (form > 17) | (case > 8) | (plural_only & (form < 10)), -1).otherwise(out)
+
+
+def unpack_case(number: Column) -> Column:
+    """The case bits of a case number; 3 and 4 are the accusative of things and of beings."""
+    return F.shiftleft(F.when(number <= 3, number).otherwise(number - 1), 12)
+
+
+def _undeclined(number: Column) -> Column:
+    """Gender and case, or the short form, of a number below 32."""
+    gender, case = F.shiftright(number, 3), number % 8
+    return F.when(gender == 3, PLURAL).otherwise(F.shiftleft(gender + 1, 9)) + F.when(case == 7, SHORT).otherwise(unpack_case(case))
+
+
+def _personal(number: Column) -> Column:
+    return F.shiftleft(F.shiftright(number, 2) + 1, 3) + _number(number % 4)
+
+
+def _number(two: Column) -> Column:
+    return F.when(two >= 2, REFLEXIVE).otherwise(0) + F.when(two % 2 == 1, PLURAL).otherwise(0)
+
+
+def _participles(number: Column) -> Column:
+    reflexive = lambda on: F.when(on, REFLEXIVE).otherwise(0)
+    return (
+        F.when(number >= 96, (3 << 5) + reflexive(number % 2 == 1))
+        .when(number >= 64, (2 << 5) + _undeclined(number - 64))
+        .otherwise((1 << 5) + reflexive(number >= 32) + _undeclined(number % 32))
+    )
+
+
+def unpack_verb(form: Column) -> Column:
+    """The grammar word of a verb's form id, by the blocks of ``pack_verb``; -1 where there is no such form."""
+    past = F.when(form % 4 == 3, PLURAL).otherwise(F.shiftleft(form % 4 + 1, 9)) + F.when(form >= 132, REFLEXIVE).otherwise(0)
+    return (
+        F.when((form < 0) | (form > 233), -1)
+        .when(form < 2, INFINITIVE + F.when(form == 1, REFLEXIVE).otherwise(0))
+        .when(form < 6, IMPERATIVE + _number(form - 2))
+        .when(form < 18, FUTURE + _personal(form - 6))
+        .when(form < 30, PRESENT + _personal(form - 18))
+        .when(form < 128, PRESENT + _participles(form - 30))
+        .when(form < 136, PAST + past)
+        .otherwise(PAST + _participles(form - 136))
+    )
+
+
+def unpack(wd: Column, form: Column) -> Column:
+    """The grammar word of a form id; -1 where the part of speech has no such form."""
+    plural_only = x_and(wd, PLURAL_ONLY) != 0
+    return F.when(is_verb(wd), unpack_verb(form)).when(is_adjective(wd), unpack_adjective(form)).otherwise(unpack_noun(form, plural_only))
+
+
+def unpack_flags(wd: Column, form: Column) -> Column:
+    """Animate and inanimate bits of a form id: one of them for an accusative that only one may have."""
+    def declined(n: Column) -> Column:
+        case = n % 8
+        return F.when(case == 3, INANIMATE).when(case == 4, ANIMATE).otherwise(ANIMATE | INANIMATE)
+
+    both = F.lit(ANIMATE | INANIMATE)
+    parts = lambda n: F.when(n >= 96, both).when(n >= 64, declined(n - 64)).otherwise(declined(n % 32))
+    verb = F.when(form.between(30, 127), parts(form - 30)).when(form.between(136, 233), parts(form - 136)).otherwise(both)
+    noun = F.when(form % 10 == 3, INANIMATE).when(form % 10 == 4, ANIMATE).otherwise(both)
+    found = F.when(is_verb(wd), verb).when(is_adjective(wd), F.when(form >= 64, both).otherwise(declined(form % 32))).otherwise(noun)
+    return F.when(unpack(wd, form) == -1, -1).otherwise(found)
 
 
 def unpack_adjective(form: Column) -> Column:
@@ -154,6 +217,13 @@ def fold_future(form: Column) -> Column:
     return F.when(form.between(6, 17), form + 12).otherwise(form)
 
 
+def coarse_pos(wd: Column) -> Column:
+    """Parts of speech as statistics count them: verbs 1, nouns by gender 7, 13 and 16, adjectives 25, names as they are, 0 for all else."""
+    p = pos(wd)
+    named = p.between(38, 42) | p.between(44, 46)
+    return F.when(p.between(1, 6), 1).when(p.between(7, 9), 7).when(p.between(13, 15), 13).when(p.between(16, 18), 16).when(p.between(25, 26), 25).when(named, p).otherwise(0)
+
+
 def token_algebra(expression: Column, start: Column, vocabulary: dict[str, tuple[int, int]]) -> Column:
     """Applies 'a|b|...' to a grammar word: each token keeps a mask and sets a value."""
     masks = F.create_map(*[F.lit(x) for k, (m, _) in vocabulary.items() for x in (k, m)])

@@ -18,7 +18,9 @@ BAD_SCHEME = 255
 LONGEST = 47
 
 # Token patterns. Words of letters; Russian letters; words with hyphens and apostrophes.
-LETTERS, RUSSIAN, HYPHENATED = "([A-Za-z]+)", "([а-яА-ЯёЁ]+)", "([A-Za-z][A-Za-z'-]*)"
+LETTERS, RUSSIAN, HYPHENATED = r"(\p{L}+)", "([а-яА-ЯёЁ]+)", r"(\p{L}[\p{L}'-]*)"
+# What single-byte tokenizers take for words. Anything beyond ASCII is a letter in all but CYRILLIC.
+EXTENDED, CYRILLIC, UPPER_HALF = r"([A-Za-z\x{80}-\x{10FFFF}]+)", "([А-Яа-яЁё][А-Яа-яЁё-]*)", r"([A-\x{10FFFF}][A-\x{10FFFF}'-]*)"
 
 
 def tokens(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,6 +28,16 @@ def tokens(table: DataFrame, text: str = "text", pattern: str = LETTERS, least:
     return table.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("token")).where(F.length("token") >= least)
 
 
+def words(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 1) -> DataFrame:
+    """folded, n, size: distinct words with counts and lengths.
+
+    The last step reads every column, so that no reader prunes one: all branches of a
+    plan over this table share its one scan and shuffle.
+    """
+    folded = tokens(table, text, pattern, least).select(F.lower("token").alias("folded")).where("folded is not null")
+    return folded.groupBy("folded").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("folded")).alias("size")).where("n > 0 and size > 0")
+
+
 def counted(table: DataFrame, *by: str) -> DataFrame:
     """Distinct tokens with counts: what a lexicon is joined with, instead of every occurrence."""
     return table.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n")).withColumn("folded", F.lower("token"))
@@ -40,7 +52,7 @@ def cap_scheme(word: Column) -> Column:
 
     def code(part: Column, i: Column) -> Column:
         last = (i == F.size(parts) - 1) & (i > 0)
-        return F.when(part.rlike("^[a-z',]+$"), 0).when(part.rlike("^[A-Z][a-z',]+$"), 1).when(part.rlike("^[A-Z]+$"), 2).when((part == "") & last, 0).otherwise(-1)
+        return F.when(part.rlike(r"^[\p{Ll}',]+$"), 0).when(part.rlike(r"^\p{Lu}[\p{Ll}',]+$"), 1).when(part.rlike(r"^\p{Lu}+$"), 2).when((part == "") & last, 0).otherwise(-1)
 
     codes = F.transform(parts, code)
     bits = F.aggregate(F.reverse(codes), F.lit(0), lambda acc, c: (acc * 4 + c).bitwiseAND(F.lit(255)))

@@ -12,8 +12,8 @@ from wordmill.sources.lexicon import for_join
 # Weights of the parts of a hypothesis's score, the power that counts as full, and the factor of accented classes.
 LENGTH_PART, POWER_PART, POS_PART, FORM_PART = 0.4, 0.3, 0.2, 0.1
 FULL_POWER, ACCENT = 9000, 0.4
-#: Ending lengths from which the length prior is 1.
-FULL_LENGTH = 15
+# The length prior by the ending's characters, from 0 on; longer ones have the last value.
+LENGTH_PRIOR = (0.0, 0.05, 0.17, 0.55, 0.85, 0.97, 0.99, 0.99, 1.0)
 COVER = 0.95
 
 
@@ -79,13 +79,15 @@ def merge_classes(classed: DataFrame, pos: int = 1) -> list[tuple[int, int]]:
 
 
 def score(ending_len: Column, power: Column, pos_prior: Column, form_prior: Column, accent: Column | None = None) -> Column:
-    length = F.least(F.lit(1.0), (ending_len + 1) / FULL_LENGTH)
+    length = F.lit(LENGTH_PRIOR[-1])
+    for n in reversed(range(len(LENGTH_PRIOR) - 1)):
+        length = F.when(ending_len <= n, LENGTH_PRIOR[n]).otherwise(length)
     total = LENGTH_PART * length + POWER_PART * F.log(power.cast("double")) / math.log(FULL_POWER) + POS_PART * F.coalesce(pos_prior, F.lit(0.0)) + FORM_PART * F.coalesce(form_prior, F.lit(0.0))
     return total if accent is None else total * F.when(accent, ACCENT).otherwise(1.0)
 
 
 def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: DataFrame, pos_prior: DataFrame, form_prior: DataFrame) -> DataFrame:
-    """word, class_id, stem_len, lemma, weight, rank: hypotheses for words (folded, each once), best first.
+    """word, class_id, stem_len, pos, grams, lemma, weight, rank: hypotheses for words (folded, each once), best first.
 
     Suffixes are cut no longer than the longest key. Readings of one class and stem make
     one hypothesis, scored by the lowest form.
@@ -93,13 +95,16 @@ def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: Da
     longest = index.agg(F.max(F.length("key"))).first()[0] or 0
     cut = words.where(F.length("word") >= 2).select("word", F.explode(F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max(2, longest))))).alias("size")).select("word", F.right("word", F.col("size")).alias("key"))
     found = cut.join(for_join(index), "key").withColumn("stem_len", F.length("word") - F.col("ending_len"))
-    first = F.min_by(F.struct("form_id", "power", "ending_len"), F.struct("form_id", "power")).alias("f")
-    group = found.groupBy("word", "class_id", "stem_len").agg(first).select("word", "class_id", "stem_len", "f.*")
+    # the least form and its power as one number, which is aggregated without sorting; a stem's length fixes the ending's
+    first = F.min(F.shiftleft(F.col("form_id").cast("long"), 40) + F.col("power")).alias("f")
+    group = found.groupBy("word", "class_id", "stem_len", "ending_len").agg(first, F.collect_set("form_id").alias("ids"))
+    group = group.select("word", "class_id", "stem_len", "ending_len", F.shiftright("f", 40).cast("int").alias("form_id"), (F.col("f") % (1 << 40)).alias("power"), F.sort_array("ids").alias("grams"))
     base = ending.groupBy("class_id").agg(F.min_by("ending", F.struct("form_id", "ending")).alias("base"))
     told = group.join(for_join(classed.select("class_id", "pos")), "class_id").join(for_join(base), "class_id")
-    told = told.join(for_join(pos_prior.select("pos", F.col("share").alias("pos_share"))), "pos", "left").join(for_join(form_prior.select("pos", "form_id", F.col("share").alias("form_share"))), ["pos", "form_id"], "left")
+    # a row for each part of speech (64 at most) and each of its forms (256 at most), whatever the corpus
+    told = told.join(F.broadcast(pos_prior.select("pos", F.col("share").alias("pos_share"))), "pos", "left").join(F.broadcast(form_prior.select("pos", "form_id", F.col("share").alias("form_share"))), ["pos", "form_id"], "left")
     weighed = told.select(
-        "word", "class_id", "stem_len", F.concat(F.substring("word", F.lit(1), F.col("stem_len")), "base").alias("lemma"), F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share")), 6).alias("weight")
+        "word", "class_id", "stem_len", "pos", "grams", F.concat(F.substring("word", F.lit(1), F.col("stem_len")), "base").alias("lemma"), F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share")), 6).alias("weight")
     )
     return weighed.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "class_id", "stem_len")))
 
@@ -109,6 +114,8 @@ def build_form(stems: DataFrame, ending: DataFrame, form_id: int) -> DataFrame:
     return stems.join(for_join(ending.where(F.col("form_id") == form_id)), "class_id").select("stem", "class_id", F.concat("stem", "ending").alias("form"))
 
 
-def intersection(one: DataFrame, other: DataFrame) -> DataFrame:
-    """class_id, stem_len, word, other_word: hypotheses that two sets of words share."""
-    return one.select("class_id", "stem_len", "word").join(other.select("class_id", "stem_len", F.col("word").alias("other_word")), ["class_id", "stem_len"])
+def intersection(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
+    """class_id, stem_len, word, other_word, grams: hypotheses that pairs(word, other_word) share, with the form ids of both."""
+    left = one.select("class_id", "stem_len", "word", F.col("grams").alias("a")).join(pairs, "word")
+    right = other.select("class_id", "stem_len", F.col("word").alias("other_word"), F.col("grams").alias("b"))
+    return left.join(right, ["class_id", "stem_len", "other_word"]).select("class_id", "stem_len", "word", "other_word", F.array_intersect("a", "b").alias("grams"))

@@ -46,8 +46,8 @@ def _capitals_sql(x: str) -> str:
 
 LEX = _articles_sql()
 LEXEMES = "lexemes as (select lexeme_id, min(pos) as pos, min(lemma) as lemma, min(min_cap) as min_cap, cast(count(distinct form) as integer) as n_forms from forms group by lexeme_id)"
-TOKENS = "tokens as (select lang, token, lower(token) as folded, count(*) as n from (select lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) as token from documents) where length(token) >= 1 group by all)"
-SCHEME = """case when regexp_matches(w, '^[a-z]+$') then 256 when regexp_matches(w, '^[A-Z][a-z]+$') then 257 when regexp_matches(w, '^[A-Z]+$') then 258 else 255 end"""
+TOKENS = "tokens as (select lang, token, lower(token) as folded, count(*) as n from (select lang, unnest(regexp_extract_all(text, '\\p{L}+')) as token from documents) where length(token) >= 1 group by all)"
+SCHEME = r"""case when regexp_matches(w, '^\p{Ll}+$') then 256 when regexp_matches(w, '^\p{Lu}\p{Ll}+$') then 257 when regexp_matches(w, '^\p{Lu}+$') then 258 else 255 end"""
 
 
 def register(name: str, sql: str | None = None, lex: bool = True, tok: bool = False):
@@ -97,17 +97,18 @@ def tok_tokens(spark, sf_dir):
 
 @register(
     "tok_capscheme",
-    """with words as (select distinct unnest(regexp_extract_all(o_orderpriority || ' ' || o_orderstatus, '[A-Za-z][A-Za-z''-]*')) as token from orders
-      union select distinct unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) from conversations),
+    r"""with words as (select distinct unnest(regexp_extract_all(o_orderpriority || ' ' || o_orderstatus, '\p{L}[\p{L}''-]*')) as token from orders
+      union select distinct unnest(regexp_extract_all(text, '\p{L}[\p{L}''-]*')) from conversations union select distinct unnest(regexp_extract_all(text, '\p{L}[\p{L}''-]*')) from documents),
     parts as (select token, string_split(token, '-') as p from words),
-    coded as (select token, len(p) as n, list_transform(p, lambda x, i: case when regexp_matches(x, '^[a-z'',]+$') then 0 when regexp_matches(x, '^[A-Z][a-z'',]+$') then 1 when regexp_matches(x, '^[A-Z]+$') then 2 when x = '' and i = len(p) and i > 1 then 0 else -1 end) as c from parts),
+    coded as (select token, len(p) as n, list_transform(p, lambda x, i: case when regexp_matches(x, '^[\p{Ll}'',]+$') then 0 when regexp_matches(x, '^\p{Lu}[\p{Ll}'',]+$') then 1 when regexp_matches(x, '^\p{Lu}+$') then 2 when x = '' and i = len(p) and i > 1 then 0 else -1 end) as c from parts),
     schemed as (select token, cast(case when list_min(c) < 0 then 255 else n * 256 + (cast(list_sum(list_transform(c, lambda x, i: case when i <= 4 then x << cast(2 * (i - 1) as integer) else 0 end)) as integer)) end as integer) as scheme from coded)
     select token, scheme, scheme in (256, 512, 768, 513, 769, 257, 517, 785, 258, 522, 810) as ok0, scheme in (257, 517, 785, 258, 522, 810) as ok1, scheme in (258, 522, 810) as ok2 from schemed""",
     lex=False,
 )
 def tok_capscheme(spark, sf_dir):
     one = table(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
-    found = T.tokens(one.union(table(spark, sf_dir, "conversations").select("text")), pattern=T.HYPHENATED, least=1).distinct()
+    texts = one.union(table(spark, sf_dir, "conversations").select("text")).union(table(spark, sf_dir, "documents").select("text"))
+    found = T.tokens(texts, pattern=T.HYPHENATED, least=1).distinct()
     scheme = T.cap_scheme(F.col("token"))
     return found.select("token", scheme.alias("scheme"), *[T.cap_allowed(scheme, F.lit(k)).alias(f"ok{k}") for k in (0, 1, 2)])
 
@@ -125,7 +126,7 @@ for _name, _text in (("conversations", "text"), ("benchmark", "text"), ("pages",
 
     @register(
         f"lex_coverage_{_name}",
-        f"with t as (select lower(unnest(regexp_extract_all({_source}, '[A-Za-z]+'))) as w from {_name}) select '{_name}' as source, count(*) as total, cast(count(*) filter (w in ({KNOWN})) as bigint) as known from t",
+        f"with t as (select lower(unnest(regexp_extract_all({_source}, '\\p{{L}}+'))) as w from {_name}) select '{_name}' as source, count(*) as total, cast(count(*) filter (w in ({KNOWN})) as bigint) as known from t",
     )
     def _coverage(spark, sf_dir, name=_name, text=_text):
         rows = table(spark, sf_dir, name).select(F.lit(name).alias("source"), (T.without_tags(F.col(text)) if name == "pages" else F.col(text)).alias("text"))
@@ -232,12 +233,19 @@ fuzzy_endings as (select class_id, cast(split_part(e, ':', 1) as integer) as for
 suffix_index as (select suffix || ending as key, class_id, weight as power, form_id, cast(length(ending) as integer) as ending_len from models join fuzzy_endings using (class_id))"""
 
 
+_tables: dict = {}
+
+
 def _fuzzy(spark):
-    """Tables as large as the lexicon at most; cached, since hypotheses read each several times."""
-    extracted = fuzzy.extract(lexicon.forms(spark)).cache()
-    classed = fuzzy.classes(extracted).cache()
-    model, ending = fuzzy.models(extracted, classed).cache(), fuzzy.endings(classed).cache()
-    return extracted, classed, model, ending, fuzzy.suffix_index(model, ending).cache()
+    """Tables as large as the lexicon at most; made and cached once a session, since hypotheses read each several times."""
+    session = spark.sparkContext.applicationId
+    if session not in _tables:
+        _tables.clear()
+        extracted = fuzzy.extract(lexicon.forms(spark)).cache()
+        classed = fuzzy.classes(extracted).cache()
+        model, ending = fuzzy.models(extracted, classed).cache(), fuzzy.endings(classed).cache()
+        _tables[session] = extracted, classed, model, ending, fuzzy.suffix_index(model, ending).cache()
+    return _tables[session]
 
 
 @register("class_extract", f"with {CLASSES} select lexeme_id, pos, stem, suffix, endings, sample from extracted")
@@ -296,17 +304,19 @@ grouped as (select word, class_id, stem_len, arg_min((form_id, power, ending_len
 base as (select class_id, arg_min(ending, (form_id, ending)) as base from fuzzy_endings group by class_id),
 weighed as (
   select word, class_id, cast(stem_len as integer) as stem_len, word[1:stem_len] || base as lemma,
-    round(0.4::double * least(1.0::double, (f[3] + 1)::double / 15) + 0.3::double * ln(f[2]::double) / ln(9000.0::double) + 0.2::double * coalesce(p.share, 0) + 0.1::double * coalesce(fp.share, 0), 6) as weight
+    round(0.4::double * ([0.0, 0.05, 0.17, 0.55, 0.85, 0.97, 0.99, 0.99, 1.0][least(f[3], 8) + 1])::double + 0.3::double * ln(f[2]::double) / ln(9000.0::double) + 0.2::double * coalesce(p.share, 0) + 0.1::double * coalesce(fp.share, 0), 6) as weight
   from grouped join classes using (class_id) join base using (class_id) left join pos_prior p on p.pos = classes.pos left join form_prior fp on fp.pos = classes.pos and fp.form_id = f[1]),
 ranked as (select *, cast(row_number() over (partition by word order by weight desc, class_id, stem_len) as integer) as rank from weighed)"""
 
 
-def _hypotheses(spark, sf_dir):
-    forms, tokens = lexicon.forms(spark), distinct_tokens(spark, sf_dir)
+def _hypotheses(spark, sf_dir, words=None):
+    """Hypotheses for unknown words. One table of distinct words gives the priors and the words; its scan is shared."""
+    forms = lexicon.forms(spark)
+    words = T.words(table(spark, sf_dir, "documents")) if words is None else words
     _, classed, _, ending, index = _fuzzy(spark)
-    found = stats.fractions(tokens, forms)
-    unknown = exact.unknown_words(tokens, forms).where(F.length("folded").between(2, T.LONGEST)).select(F.col("folded").alias("word")).distinct()
-    return fuzzy.lemmatize(unknown, index, classed, ending, stats.pos_prior(found), stats.form_prior(found))
+    found = stats.fractions(words, forms)
+    unknown = words.where(F.col("size").between(2, T.LONGEST)).join(lexicon.for_join(forms.select("form").distinct()), F.col("folded") == F.col("form"), "left_anti")
+    return fuzzy.lemmatize(unknown.select(F.col("folded").alias("word")), index, classed, ending, stats.pos_prior(found), stats.form_prior(found))
 
 
 @register("fuzzy_lemmatize", f"with {HYPOTHESES} select word, class_id, stem_len, lemma, weight, rank from ranked", tok=True)
@@ -325,8 +335,10 @@ def fuzzy_top1(spark, sf_dir):
     tok=True,
 )
 def exact_then_fuzzy(spark, sf_dir):
-    known = exact.hits(distinct_tokens(spark, sf_dir), lexicon.forms(spark)).select(F.col("folded").alias("word"), "lexeme_id", "lemma").distinct()
-    return known.select("word", "lemma", F.lit(True).alias("exact")).unionByName(_hypotheses(spark, sf_dir).where("rank = 1").select("word", "lemma", F.lit(False).alias("exact")))
+    words = T.words(table(spark, sf_dir, "documents"))
+    lemmas = lexicon.forms(spark).select(F.col("form").alias("word"), "lexeme_id", "lemma").distinct()
+    known = words.join(lexicon.for_join(lemmas), F.col("folded") == F.col("word"))
+    return known.select("word", "lemma", F.lit(True).alias("exact")).unionByName(_hypotheses(spark, sf_dir, words).where("rank = 1").select("word", "lemma", F.lit(False).alias("exact")))
 
 
 @register("fuzzy_build_form", f"with {CLASSES} select distinct stem, class_id, stem || ending as form from extracted join classes using (pos, endings) join fuzzy_endings using (class_id) where form_id = 1")
@@ -336,13 +348,19 @@ def fuzzy_build_form(spark, sf_dir):
     return fuzzy.build_form(stems, ending, 1).distinct()
 
 
-@register("fuzzy_intersection", f"with {HYPOTHESES} select class_id, stem_len, r.word, o.word as other_word from ranked r join ranked o using (class_id, stem_len) where r.rank = 1 and o.rank = 1 and o.word = r.word || 's'", tok=True)
+@register(
+    "fuzzy_intersection",
+    f"""with {HYPOTHESES}, grams_of as (select word, class_id, stem_len, list_sort(list(distinct form_id)) as grams from hits group by all)
+    select r.class_id, r.stem_len, r.word, o.word as other_word, array_to_string(list_sort(list_intersect(a.grams, b.grams)), ',') as grams
+    from ranked r join ranked o on o.class_id = r.class_id and o.stem_len = r.stem_len and o.word = r.word || 's'
+    join grams_of a on a.word = r.word and a.class_id = r.class_id and a.stem_len = r.stem_len join grams_of b on b.word = o.word and b.class_id = o.class_id and b.stem_len = o.stem_len""",
+    tok=True,
+)
 def fuzzy_intersection(spark, sf_dir):
-    top = _hypotheses(spark, sf_dir).where("rank = 1")
-    # words and their forms in -s that share their likeliest hypothesis; the pair's words are part of the join's key
-    one = top.withColumn("plural", F.concat("word", F.lit("s"))).select("class_id", "stem_len", "word", "plural")
-    other = top.select("class_id", "stem_len", F.col("word").alias("plural"))
-    return one.join(other, ["class_id", "stem_len", "plural"]).select("class_id", "stem_len", "word", F.col("plural").alias("other_word"))
+    found = _hypotheses(spark, sf_dir)
+    pairs = found.select("word").distinct().withColumn("other_word", F.concat("word", F.lit("s")))
+    both = fuzzy.intersection(pairs, found, found)
+    return both.withColumn("grams", F.array_join(F.transform(F.sort_array("grams"), lambda x: x.cast("string")), ","))
 
 
 @register("id_gaps", "with p as (select lexeme_id, lag(lexeme_id) over (order by lexeme_id) as after from (select distinct lexeme_id from articles)) select after, lexeme_id - after - 1 as gap from p where lexeme_id - after > 1")
@@ -381,7 +399,7 @@ def gram_pack(spark, sf_dir):
     return base.select("gr", "flags", G.pack_noun(F.col("gr"), F.col("flags")).cast("int").alias("form_id"))
 
 
-@register("gram_unpack", "with g as (select unnest(range(0, 20)) as f) select cast(f as integer) as form_id, cast(case when f > 18 or f % 10 > 8 then -1 else (case when f % 10 <= 3 then f % 10 else f % 10 - 1 end) * 4096 + case when f >= 10 then 2048 else 0 end end as integer) as gr from g", lex=False)
+@register("gram_unpack", "with g as (select unnest(range(0, 20)) as f) select cast(f as integer) as form_id, cast(case when f > 17 or f % 10 > 8 then -1 else (case when f % 10 <= 3 then f % 10 else f % 10 - 1 end) * 4096 + case when f >= 10 then 2048 else 0 end end as integer) as gr from g", lex=False)
 def gram_unpack(spark, sf_dir):
     base = spark.range(20).select(F.col("id").cast("int").alias("form_id"))
     return base.select("form_id", G.unpack_noun(F.col("form_id"), F.lit(False)).cast("int").alias("gr"))

@@ -82,14 +82,34 @@ def expand(table: DataFrame) -> DataFrame:
     return both.withColumn("lemma", with_capitals(first, F.col("min_cap"))).withColumn("surface", with_capitals(F.col("form"), F.col("min_cap")))
 
 
+_own: dict[str, DataFrame] = {}
+
+
 def forms(spark: SparkSession, paths: str | list[str] | None = None) -> DataFrame:
-    return expand(articles(article_lines(spark, paths)))
+    """Word forms of article files; of the lexicon that comes with the package, the same table for a whole session."""
+    if paths is not None:
+        return expand(articles(article_lines(spark, paths)))
+    session = spark.sparkContext.applicationId
+    if session not in _own:
+        _own.clear()
+        _own[session] = expand(articles(article_lines(spark)))
+    return _own[session]
 
 
 def lexemes(table: DataFrame) -> DataFrame:
     return table.groupBy("lexeme_id").agg(F.min("pos").alias("pos"), F.min("lemma").alias("lemma"), F.min("min_cap").alias("min_cap"), F.count_distinct("form").cast("int").alias("n_forms"))
 
 
-def for_join(table: DataFrame, most: int = 200_000) -> DataFrame:
-    """A lexicon table as a join's build side: broadcast if it is of a checked size, else left to the planner."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+_small: dict[tuple, bool] = {}
+
+
+def for_join(table: DataFrame, most: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A lexicon table as a join's build side: broadcast if its rows and bytes are checked to be few, else left to the planner.
+
+    Equal plans are checked once a session.
+    """
+    key = table.sparkSession.sparkContext.applicationId, table.semanticHash(), most, most_bytes
+    if key not in _small:
+        found = table.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+        _small[key] = found["n"] <= most and (found["size"] or 0) <= most_bytes
+    return F.broadcast(table) if _small[key] else table
