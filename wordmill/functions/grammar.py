@@ -205,6 +205,37 @@ def swap_level(kind: Column, wd: Column, gr: Column, flags: Column) -> Column:
     )
 
 
+def swap_level_ukrainian(kind: Column, variant: Column, wd: Column, gr: Column, flags: Column) -> Column:
+    """The level for Ukrainian words. ``variant`` (0, 1 or 2) is what the word's alternation says of its way."""
+    tense, verb_kind, form, sort = bits(gr, TENSE), bits(gr, PARTICIPLE), bits(gr, CASE) * 2 + bits(gr, PLURAL), pos(wd)
+    person, plural = bits(gr, PERSON), bits(gr, PLURAL)
+    changes = sort.isin(24, 25) | (sort.isin(22, 23, 26, 27) & (tense == PRESENT))
+    by_change = F.when(changes, 2).otherwise(1)
+    first = (person == 1) & (plural == 0)
+    passive_past = (tense == PAST) & (verb_kind == 2)
+    all_forms = F.when(tense.isin(PAST, INFINITIVE), 1).when(tense == IMPERATIVE, 2).otherwise(by_change)
+    only_first = F.when(passive_past, 3).when(first, by_change).otherwise(1)
+    outer = F.when(passive_past, 3).when(tense.isin(INFINITIVE, PAST, IMPERATIVE), 1).when(verb_kind != 0, 2).when(first | ((person == 3) & (plural == 1)), by_change).otherwise(1)
+    verb = F.when(variant == 0, all_forms).when(variant == 1, only_first).otherwise(outer)
+    # case * 2 + plural: 0 nominative, 2 genitive, 4 dative, 6 accusative, 8 instrumental, 10 locative, 12 vocative
+    plain = variant == 0
+    thing = F.when(plain, F.when(form.isin(0, 6), 1).otherwise(2)).otherwise(F.when(form == 10, 2).otherwise(1))
+    being = F.when(plain, F.when(form == 0, 1).otherwise(2)).otherwise(F.when(form == 12, 2).otherwise(1))
+    third = F.when(form.isin(4, 10), 3).otherwise(1)
+    other = F.when(form == 8, 2).when(form.isin(2, 6, 12), 1).otherwise(3)
+    feminine = F.when(plain, F.when(form == 3, 2).otherwise(third)).otherwise(other)
+    feminine_being = F.when(plain, F.when(form.isin(3, 7), 2).otherwise(third)).otherwise(other)
+    live = x_and(flags, ANIMATE) != 0
+    return (
+        F.when(kind == VERB_MIX, verb)
+        .when((kind == MASCULINE) | ((kind == MASCULINE_MIXED) & ~live), thing)
+        .when(kind.isin(MASCULINE_ANIMATE, MASCULINE_MIXED), being)
+        .when((kind == FEMININE) | ((kind == FEMININE_MIXED) & ~live), feminine)
+        .when(kind.isin(FEMININE_ANIMATE, FEMININE_MIXED), feminine_being)
+        .otherwise(1)
+    )
+
+
 def dictionary_form(wd: Column, gr: Column, keep_participles: bool = False) -> Column:
     """The grammar word of the dictionary form: infinitive, masculine nominative, or plural where there is no singular."""
     plain = F.when(is_adjective(wd), 1 << 9).otherwise(0) + F.when(x_and(wd, PLURAL_ONLY) != 0, PLURAL).otherwise(0)

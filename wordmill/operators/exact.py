@@ -38,6 +38,25 @@ def lemmatize_nested(tokens: DataFrame, forms: DataFrame, ignore_case: bool = Tr
     return hits(tokens, forms, ignore_case).groupBy("token", "lexeme_id").agg(F.min("lemma").alias("lemma"), F.min("pos").alias("pos"), F.sort_array(F.collect_set("form_id")).alias("grams"))
 
 
+def first_only(tokens: DataFrame, forms: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """token, lexeme_id, form_id: one reading of each token, the one with the smallest lexeme and form."""
+    found = hits(tokens, forms, ignore_case).groupBy("token").agg(F.min(F.struct("lexeme_id", "form_id")).alias("r"))
+    return found.select("token", "r.lexeme_id", "r.form_id")
+
+
+def as_json(tokens: DataFrame, forms: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """token, json: all lexemes of a token, as an array of objects with lemma, lexid, psp and forms."""
+    nested = lemmatize_nested(tokens, forms, ignore_case)
+    one = F.struct(F.col("lemma"), F.col("lexeme_id").alias("lexid"), F.col("pos").alias("psp"), F.col("grams").alias("forms"))
+    rows = nested.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("lexeme_id", one.alias("x")))).alias("all"))
+    return rows.select("token", F.to_json(F.transform("all", lambda r: r["x"])).alias("json"))
+
+
+def without_range(table: DataFrame, low: int, high: int, column: str = "lexeme_id") -> DataFrame:
+    """Rows whose number is outside a range, such as that of words that are not to be shown."""
+    return table.where(~F.col(column).between(low, high))
+
+
 def part_of_speech(ids: DataFrame, lexemes: DataFrame) -> DataFrame:
     """lexeme_id, pos; 0 if there is no such lexeme."""
     return ids.join(for_join(lexemes.select("lexeme_id", "pos")), "lexeme_id", "left").select("lexeme_id", F.coalesce("pos", F.lit(0)).alias("pos"))

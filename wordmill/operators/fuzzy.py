@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmill.operators.wildcard import like
 from wordmill.sources.lexicon import for_join
 
 # Weights of the parts of a hypothesis's score, the power that counts as full, and the factor of accented classes.
@@ -61,21 +62,80 @@ def suffix_index(model: DataFrame, ending: DataFrame) -> DataFrame:
     return model.join(ending, "class_id").select(F.concat("suffix", "ending").alias("key"), "class_id", F.col("weight").alias("power"), "form_id", F.length("ending").alias("ending_len"))
 
 
-def merge_classes(classed: DataFrame, pos: int = 1) -> list[tuple[int, int]]:
-    """(absorbed, into): classes of a part of speech whose endings another has all of, largest first, until none is left.
+def merge_classes(classed: DataFrame, pos: int = 1, most_rounds: int = 64) -> DataFrame:
+    """absorbed, into: classes of a part of speech whose endings another has all of, until none is left.
 
-    A driver loop over the table of classes, which is small whatever the corpus.
+    In a round each class that none covers takes the covered class with the most endings
+    (of equal ones the first); a class that several would take goes to the first of them.
+    Covering is found once, by a join on endings; only its pairs of classes, as few as
+    paradigms are, are walked through on the driver.
     """
-    table = {r["class_id"]: (set(r["endings"].split(",")), r["n"]) for r in classed.where(F.col("pos") == pos).collect()}
-    merged = []
-    while True:
-        found = next(((b, a) for a in sorted(table, key=lambda c: (-table[c][1], c)) for b in sorted(table, key=lambda c: (-table[c][1], c)) if a != b and table[b][0] <= table[a][0]), None)
-        if found is None:
-            return merged
-        b, a = found
-        table[a] = (table[a][0], table[a][1] + table[b][1])
-        del table[b]
-        merged.append((b, a))
+    own = endings(classed.where(F.col("pos") == pos)).distinct()
+    sizes = own.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    other = own.select(F.col("class_id").alias("into"), "form_id", "ending")
+    shared = own.join(other, ["form_id", "ending"]).where("class_id <> into").groupBy("class_id", "into").agg(F.count(F.lit(1)).alias("n"))
+    pairs = shared.join(sizes, "class_id").where("n = size").select("class_id", "into", "size").orderBy("into", F.desc("size"), "class_id").collect()
+    merged: list[tuple[int, int]] = []
+    gone: set[int] = set()
+    for _ in range(most_rounds):
+        taken: dict[int, int] = {}
+        for r in pairs:
+            if r["class_id"] not in gone and r["into"] not in gone and r["into"] not in taken.values():
+                taken[r["class_id"]] = r["into"]
+                gone.add(r["class_id"])
+        if not taken:
+            break
+        merged += taken.items()
+    else:
+        raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
+    into = dict(merged)
+    last = lambda c: last(into[c]) if c in into else c
+    return classed.sparkSession.createDataFrame([(b, last(a)) for b, a in merged], "absorbed int, into int")
+
+
+def merged_models(model: DataFrame, merged: DataFrame) -> DataFrame:
+    """class_id, suffix, sample, weight of ``models`` after classes were absorbed: their suffixes add up."""
+    told = model.join(F.broadcast(merged), F.col("class_id") == F.col("absorbed"), "left")  # no more rows than there are classes
+    return told.groupBy(F.coalesce("into", "class_id").alias("class_id"), "suffix").agg(F.min("sample").alias("sample"), F.sum("weight").alias("weight"))
+
+
+def ranked_models(model: DataFrame) -> DataFrame:
+    """Adds ``place``: the models of a class, the heaviest first, then by sample."""
+    return model.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("weight"), "sample")))
+
+
+def trigraphs(forms: DataFrame) -> DataFrame:
+    """tri: every run of three letters that the lexicon has."""
+    at = F.sequence(F.lit(1), F.length("form") - 2)
+    return forms.where(F.length("form") >= 3).select(F.explode(F.transform(at, lambda i: F.substring(F.col("form"), i, F.lit(3)))).alias("tri")).distinct()
+
+
+def wild_probe(index: DataFrame, pattern: str, plausible: DataFrame | None = None) -> DataFrame:
+    """key, class_id, form_id, power of the suffix keys that a word matching ``pattern`` may end with.
+
+    A key longer than what stands behind the pattern's last ``*`` must end with it, a
+    shorter one must end it; ``?`` stands for any character. With ``plausible`` (tri) the
+    three letters before and over a key's beginning must be plausible where the pattern
+    gives the letter before it.
+    """
+    low = pattern.lower()
+    tail = low[low.rfind("*") + 1 :]
+    key = F.col("key")
+    ends = [F.length(key) == n for n in range(1, len(tail))]
+    short = [e & key.like(like(tail[len(tail) - n :])) for n, e in zip(range(1, len(tail)), ends)]
+    fits = key.like("%" + like(tail)) if "*" in low else key.like(like(tail))
+    for s in short:
+        fits = fits | s
+    found = index.where(fits).select("key", "class_id", "form_id", "power").distinct()
+    if plausible is None:
+        return found
+    # the letter that the pattern has before a key of each length, where it has one
+    before = F.lit(None).cast("string")
+    for n in range(1, len(tail)):
+        if tail[len(tail) - n - 1] != "?":
+            before = F.when(F.length(key) == n, tail[len(tail) - n - 1]).otherwise(before)
+    joint = found.withColumn("joint", F.concat(before, F.substring("key", 1, 2)))
+    return joint.join(plausible, joint["joint"] == plausible["tri"], "left").where("joint is null or tri is not null").drop("joint", "tri")
 
 
 def score(ending_len: Column, power: Column, pos_prior: Column, form_prior: Column, accent: Column | None = None) -> Column:
@@ -86,11 +146,11 @@ def score(ending_len: Column, power: Column, pos_prior: Column, form_prior: Colu
     return total if accent is None else total * F.when(accent, ACCENT).otherwise(1.0)
 
 
-def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: DataFrame, pos_prior: DataFrame, form_prior: DataFrame) -> DataFrame:
-    """word, class_id, stem_len, pos, grams, lemma, weight, rank: hypotheses for words (folded, each once), best first.
+def candidates(words: DataFrame, index: DataFrame, ending: DataFrame) -> DataFrame:
+    """word, class_id, stem_len, ending_len, form_id, power, grams, lemma: what words (folded, each once) may be by their ends.
 
     Suffixes are cut no longer than the longest key. Readings of one class and stem make
-    one hypothesis, scored by the lowest form.
+    one hypothesis, with the lowest form's number and power.
     """
     longest = index.agg(F.max(F.length("key"))).first()[0] or 0
     cut = words.where(F.length("word") >= 2).select("word", F.explode(F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max(2, longest))))).alias("size")).select("word", F.right("word", F.col("size")).alias("key"))
@@ -98,14 +158,18 @@ def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: Da
     # the least form and its power as one number, which is aggregated without sorting; a stem's length fixes the ending's
     first = F.min(F.shiftleft(F.col("form_id").cast("long"), 40) + F.col("power")).alias("f")
     group = found.groupBy("word", "class_id", "stem_len", "ending_len").agg(first, F.collect_set("form_id").alias("ids"))
-    group = group.select("word", "class_id", "stem_len", "ending_len", F.shiftright("f", 40).cast("int").alias("form_id"), (F.col("f") % (1 << 40)).alias("power"), F.sort_array("ids").alias("grams"))
     base = ending.groupBy("class_id").agg(F.min_by("ending", F.struct("form_id", "ending")).alias("base"))
-    told = group.join(for_join(classed.select("class_id", "pos")), "class_id").join(for_join(base), "class_id")
+    return group.join(for_join(base), "class_id").select(
+        "word", "class_id", "stem_len", "ending_len", F.shiftright("f", 40).cast("int").alias("form_id"), (F.col("f") % (1 << 40)).alias("power"), F.sort_array("ids").alias("grams"), F.concat(F.substring("word", F.lit(1), F.col("stem_len")), "base").alias("lemma")
+    )
+
+
+def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: DataFrame, pos_prior: DataFrame, form_prior: DataFrame) -> DataFrame:
+    """word, class_id, stem_len, pos, grams, lemma, weight, rank: hypotheses for words (folded, each once), best first."""
+    told = candidates(words, index, ending).join(for_join(classed.select("class_id", "pos")), "class_id")
     # a row for each part of speech (64 at most) and each of its forms (256 at most), whatever the corpus
     told = told.join(F.broadcast(pos_prior.select("pos", F.col("share").alias("pos_share"))), "pos", "left").join(F.broadcast(form_prior.select("pos", "form_id", F.col("share").alias("form_share"))), ["pos", "form_id"], "left")
-    weighed = told.select(
-        "word", "class_id", "stem_len", "pos", "grams", F.concat(F.substring("word", F.lit(1), F.col("stem_len")), "base").alias("lemma"), F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share")), 6).alias("weight")
-    )
+    weighed = told.select("word", "class_id", "stem_len", "pos", "grams", "lemma", F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share")), 6).alias("weight"))
     return weighed.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "class_id", "stem_len")))
 
 

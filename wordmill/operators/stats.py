@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmill.operators.fuzzy import common_prefix
 from wordmill.sources.lexicon import for_join
 
 
@@ -34,10 +35,25 @@ def form_prior(found: DataFrame) -> DataFrame:
     return found.select("pos", "form_id", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("pos")), 6).alias("share"))
 
 
-def id_gaps(ids: DataFrame) -> DataFrame:
-    """after, gap: unused numbers between used ones."""
-    before = F.lag("lexeme_id").over(Window.orderBy("lexeme_id"))
-    return ids.select("lexeme_id").distinct().select(before.alias("after"), (F.col("lexeme_id") - before - 1).alias("gap")).where("gap > 0")
+def id_gaps(ids: DataFrame, page: int = 1 << 16) -> DataFrame:
+    """after, gap: unused numbers between used ones.
+
+    Numbers are looked at in pages of their own; only the first and last of each page
+    meet those of the next, so no task holds more than a page or the list of pages.
+    """
+    used = ids.select("lexeme_id").distinct().withColumn("page", F.floor(F.col("lexeme_id") / page))
+    before = F.lag("lexeme_id").over(Window.partitionBy("page").orderBy("lexeme_id"))
+    inside = used.select(before.alias("after"), "lexeme_id")
+    ends = used.groupBy("page").agg(F.min("lexeme_id").alias("low"), F.max("lexeme_id").alias("high"))
+    across = ends.select(F.lag("high").over(Window.orderBy("page")).alias("after"), F.col("low").alias("lexeme_id"))
+    return inside.union(across).select("after", (F.col("lexeme_id") - F.col("after") - 1).alias("gap")).where("gap > 0")
+
+
+def id_pages(ids: DataFrame) -> DataFrame:
+    """page, used, free: numbers used and free in each page of 32,768, by bitmaps."""
+    one = ids.select("lexeme_id").distinct()
+    bits = one.groupBy(F.bitmap_bucket_number("lexeme_id").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("lexeme_id")).alias("bits"))
+    return bits.select("page", F.bitmap_count("bits").alias("used"), (F.lit(1 << 15) - F.bitmap_count("bits")).alias("free"))
 
 
 def duplicate_ids(ids: DataFrame) -> DataFrame:
@@ -45,8 +61,11 @@ def duplicate_ids(ids: DataFrame) -> DataFrame:
 
 
 def dump(forms: DataFrame) -> DataFrame:
-    """lexeme_id, forms: all forms of a lexeme in order, joined."""
-    return forms.groupBy("lexeme_id").agg(F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms"))
+    """lexeme_id, stem, forms: what all forms of a lexeme begin with, and the rest of each, in order, joined."""
+    own = forms.groupBy("lexeme_id").agg(F.array_sort(F.collect_set("form")).alias("all"))
+    own = own.withColumn("stem", common_prefix(F.array_min("all"), F.array_max("all")))
+    rest = F.transform("all", lambda x: F.substring(x, F.length("stem") + 1, F.length(x)))
+    return own.select("lexeme_id", "stem", F.array_join(rest, ",").alias("forms"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,17 +73,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.exceptAll(new).select(F.lit("<<").alias("side"), "*").union(new.exceptAll(old).select(F.lit(">>").alias("side"), "*"))
 
 
-def samples(tokens: DataFrame, hypotheses: DataFrame, known: DataFrame) -> DataFrame:
-    """word, n, class_id, rank, hit: distinct words with counts and hypotheses, and whether one has a known lemma of the word."""
-    words = tokens.groupBy(F.col("folded").alias("word")).agg(F.sum("n").alias("n"))
+def samples(words: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """word, n, class_id, power, ending_len, hit: words(folded, n) with their candidates, and whether one has a known lemma of the word."""
     lemmas = known.select(F.col("form").alias("word"), F.lower("lemma").alias("lemma"), F.lit(1).alias("hit")).distinct()
-    return words.join(hypotheses, "word").join(lemmas, ["word", "lemma"], "left").select("word", "n", "class_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"))
-
-
-def loss(sampled: DataFrame) -> DataFrame:
-    """Occurrences times the rank share of what is wrong, and one less it of what is right."""
-    part = F.col("rank") / F.max("rank").over(Window.partitionBy("word"))
-    return sampled.withColumn("part", part).agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("n") * (F.lit(1.0) - F.col("part"))).otherwise(F.col("n") * F.col("part"))), 6).alias("loss"))
+    counts = words.select(F.col("folded").alias("word"), "n")
+    return candidates.join(counts, "word").join(for_join(lemmas), ["word", "lemma"], "left").select("word", "n", "class_id", "power", "ending_len", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def frequency(tokens: DataFrame, forms: DataFrame) -> DataFrame:

@@ -34,6 +34,32 @@ def find_match(forms: DataFrame, pattern: str) -> DataFrame:
     return forms.where(matches(F.col("form"), pattern)).select("lexeme_id", "form", "form_id").distinct()
 
 
+def grouped_matches(forms: DataFrame, pattern: str) -> DataFrame:
+    """lexeme_id, matches array<struct<form, form_id>>: the matching forms of each lexeme together, each once."""
+    return find_match(forms, pattern).groupBy("lexeme_id").agg(F.sort_array(F.collect_set(F.struct("form", "form_id"))).alias("matches"))
+
+
+def each_match(forms: DataFrame, pattern: str, call, schema: str) -> DataFrame:
+    """Rows that ``call(lexeme_id, matches)`` gives for each lexeme with matching forms, run where the lexemes are."""
+
+    def called(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [row for x in batch.to_pylist() for row in call(x["lexeme_id"], [(m["form"], m["form_id"]) for m in x["matches"]])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return grouped_matches(forms, pattern).mapInArrow(called, schema)
+
+
+def nouns_by_mask(forms: DataFrame, pattern: str, include: str = "", exclude: str = "", pos: tuple[int, int] = (7, 23), form_ids: tuple[int, ...] = (0, 255)) -> DataFrame:
+    """Matching dictionary forms of parts of speech in a range, by their letters."""
+    own = forms.where(F.col("pos").between(*pos) & F.col("form_id").isin(*form_ids))
+    return letters_filter(own, pattern, include, exclude)
+
+
 def first_matches(forms: DataFrame, pattern: str) -> DataFrame:
     """lexeme_id, form: the first matching form of each lexeme."""
     return find_match(forms, pattern).groupBy("lexeme_id").agg(F.min("form").alias("form"))

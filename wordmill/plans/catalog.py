@@ -273,9 +273,23 @@ def suffix_index(spark, sf_dir):
     return _fuzzy(spark)[4]
 
 
-@register("class_merge")
+MERGED = """pairs as (select distinct class_id, form_id, ending from fuzzy_endings join classes using (class_id) where pos = 1),
+own as (select *, count(*) over (partition by class_id) as size from pairs),
+covers as (select b.class_id as absorbed, a.class_id as larger from own b join own a using (form_id, ending) where a.class_id <> b.class_id group by b.class_id, a.class_id having count(*) = any_value(b.size)),
+merged as (select absorbed, min(larger) as larger from covers where larger not in (select absorbed from covers) group by absorbed)"""
+
+
+@register("class_merge", f"with {CLASSES}, {MERGED} select absorbed, larger as \"into\" from merged")
 def class_merge(spark, sf_dir):
-    return spark.createDataFrame(fuzzy.merge_classes(_fuzzy(spark)[1]), "absorbed int, into int")
+    return fuzzy.merge_classes(_fuzzy(spark)[1])
+
+
+@register(
+    "class_merge_models",
+    f"with {CLASSES}, {MERGED} select coalesce(larger, class_id) as class_id, suffix, min(sample) as sample, cast(sum(weight) as bigint) as weight from models left join merged on absorbed = class_id group by all",
+)
+def class_merge_models(spark, sf_dir):
+    return fuzzy.merged_models(_fuzzy(spark)[2], fuzzy.merge_classes(_fuzzy(spark)[1]))
 
 
 PRIORS = """readings as (select form, lexeme_id, pos, list(distinct form_id) as ids from forms group by form, lexeme_id, pos),
@@ -374,7 +388,12 @@ def duplicate_ids(spark, sf_dir):
     return stats.duplicate_ids(ids.select("lexeme_id").union(ids.where("pos = 1").select("lexeme_id")))
 
 
-@register("dict_dump", "select lexeme_id, string_agg(distinct form, ',' order by form) as forms from forms group by lexeme_id")
+@register(
+    "dict_dump",
+    """with d as (select lexeme_id, list_sort(list(distinct form)) as f from forms group by lexeme_id),
+    p as (select *, f[1][1:coalesce(list_max(list_filter(range(1, least(len(f[1]), len(f[-1])) + 1), lambda i: f[1][1:i] = f[-1][1:i])), 0)] as stem from d)
+    select lexeme_id, stem, array_to_string(list_transform(f, lambda x: x[len(stem) + 1:]), ',') as forms from p""",
+)
 def dict_dump(spark, sf_dir):
     return stats.dump(lexicon.forms(spark))
 

@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.text import with_capitals
 from wordmill.sources import words
+from wordmill.sources.notation import CODE_PAGES
 
 #: The form id of a word that isn't inflected.
 PLAIN_FORM = 255
 
-# Other names of code pages.
-CODE_PAGES = {"win": "cp1251", "win-1251": "cp1251", "ansi": "cp1251", "dos": "cp866", "oem": "cp866", "koi8": "koi8-r", "koi": "koi8-r", "iso": "iso8859-5", "mac": "mac-cyrillic"}
-
-
 def article_lines(spark: SparkSession, paths: str | list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Lines of article files, or of the lexicon that comes with the package."""
     if paths is None:
@@ -66,6 +63,44 @@ def rejects(lines: DataFrame) -> DataFrame:
     return parse(lines).where("reject is not null and reject <> 'blank'").select("line", "reject")
 
 
+def write_rejects(lines: DataFrame, path: str) -> None:
+    """What is no article, as lines of text; a folder without lines if there is none."""
+    rejects(lines).select("line").write.text(path)
+
+
+def upper_half(page: str) -> str:
+    """The 128 characters of a single-byte code page beyond ASCII, in order; unassigned ones as U+FFFD."""
+    return bytes(range(128, 256)).decode(CODE_PAGES.get(page.lower(), page), "replace")
+
+
+def to_code_page(text: Column, page: str) -> Column:
+    """The bytes of a text in a code page of CODE_PAGES; what it lacks becomes a question mark."""
+    name = CODE_PAGES.get(page.lower(), page)
+    if name in ("utf-8", "utf-16"):
+        return F.encode(text, name.upper())
+    upper, latin = upper_half(page), bytes(range(128, 256)).decode("latin-1")
+    known = [(u, c) for u, c in zip(upper, latin) if u != "\ufffd"]
+    plain = F.regexp_replace(text, "[^\\x{00}-\\x{7F}" + "".join(f"\\x{{{ord(u):X}}}" for u, _ in known) + "]", "?")
+    return F.encode(F.translate(plain, "".join(u for u, _ in known), "".join(c for _, c in known)), "ISO-8859-1")
+
+
+def from_code_page(data: Column, page: str) -> Column:
+    """The text of bytes in a code page."""
+    name = CODE_PAGES.get(page.lower(), page)
+    if name in ("utf-8", "utf-16"):
+        return F.decode(data, name.upper())
+    return F.translate(F.decode(data, "ISO-8859-1"), bytes(range(128, 256)).decode("latin-1"), upper_half(page))
+
+
+def save(table: DataFrame, path: str) -> None:
+    """Word forms as a packed table: Parquet sorted by form within its parts, so that ranges of forms skip row groups."""
+    table.repartitionByRange("form").sortWithinPartitions("form").write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def min_cap(raw: Column) -> Column:
     return F.when(raw.rlike("^[A-Z][A-Z]"), 2).when(raw.rlike("^[A-Z][a-z]"), 1).otherwise(0)
 
@@ -104,7 +139,7 @@ _small: dict[tuple, bool] = {}
 
 
 def for_join(table: DataFrame, most: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
-    """A lexicon table as a join's build side: broadcast if its rows and bytes are checked to be few, else left to the planner.
+    """A lexicon table as a join's build side: broadcast if its rows and bytes are checked to be few, else shuffled.
 
     Equal plans are checked once a session.
     """
@@ -112,4 +147,4 @@ def for_join(table: DataFrame, most: int = 200_000, most_bytes: int = 64 << 20)
     if key not in _small:
         found = table.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
         _small[key] = found["n"] <= most and (found["size"] or 0) <= most_bytes
-    return F.broadcast(table) if _small[key] else table
+    return F.broadcast(table) if _small[key] else table.hint("merge")

@@ -78,6 +78,40 @@ def equal_tables(expanded: DataFrame) -> DataFrame:
     return body.groupBy("body").agg(F.min("name").alias("stands_for"), F.collect_list("name").alias("names")).select(F.explode("names").alias("name"), "stands_for")
 
 
+def parse_alternations(lines: list[str]) -> list[tuple[str, int, str, int, str]]:
+    """Rows (name, place, condition, level, text) of blocks '.table name { condition, text 1, text 2, ... }'; '' is an empty text."""
+    rows, name, place = [], "", 0
+    for line in lines:
+        head = line.split(None, 1)
+        if head[0] in (".table", ".таблица"):
+            name, place = head[1].strip(), 0
+        elif line not in "{}":
+            condition, *texts = [x for x in line.replace(",", " ").split()]
+            if len(texts) < 2:
+                raise ValueError(f"an alternation of {name} has fewer than 2 texts: {line}")
+            rows += [(name, place, condition, level, "" if text == "''" else text) for level, text in enumerate(texts, 1)]
+            place += 1
+    return rows
+
+
+def token_values(spark: SparkSession, vocabulary: dict[str, tuple[int, int, int, int]], expressions: list[str]) -> DataFrame:
+    """expression, grammar, flags: each 'a|b|...' applied from 0 on; an unknown token is an error."""
+    names = list(vocabulary)
+    kept = lambda i: F.create_map(*[F.lit(x) for k in names for x in (k, vocabulary[k][i])])
+    maps = [kept(i) for i in range(4)]
+
+    def step(state: Column, token: Column) -> Column:
+        t = F.trim(token)
+        known = F.when(F.map_contains_key(maps[0], t), t).otherwise(F.raise_error(F.concat(F.lit("unknown token "), t)).cast("string"))
+        of = lambda i: F.element_at(maps[i], known)
+        return F.struct(state["g"].bitwiseAND(of(0)).bitwiseOR(of(1)).alias("g"), state["f"].bitwiseAND(of(2)).bitwiseOR(of(3)).alias("f"))
+
+    rows = spark.createDataFrame([(x,) for x in expressions], "expression string")
+    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("f"))
+    out = rows.withColumn("s", F.aggregate(F.split("expression", r"\|"), start, step))
+    return out.select("expression", F.col("s.g").alias("grammar"), F.col("s.f").alias("flags"))
+
+
 def alternations(rows: DataFrame) -> DataFrame:
     """name, text, mask from (name, level, text): equal texts share levels."""
     return rows.groupBy("name", "text").agg(F.bit_or(F.pow(F.lit(2), F.col("level") - 1).cast("int")).alias("mask"))
@@ -95,10 +129,10 @@ def build(stems: DataFrame, alternation: DataFrame, endings: DataFrame) -> DataF
 
 
 def russian_lines(lines: DataFrame) -> DataFrame:
-    """normal, marks, kind, index, comment, remark, postfix from four columns and a comment; an index 'a//b' gives two rows."""
+    """line, normal, marks, kind, index, comment, remark, postfix from four columns and a comment; an index 'a//b' gives two rows."""
     line = F.translate("line", "ёЁ", "еЕ")
     col = lambda i: F.regexp_extract(line, r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*)$", i)
-    cut = lines.select(col(1).alias("normal"), col(2).alias("marks"), col(3).alias("kind"), F.explode(F.split(col(4), "//")).alias("index"), col(5).alias("comment")).where("normal <> ''")
+    cut = lines.select("line", col(1).alias("normal"), col(2).alias("marks"), col(3).alias("kind"), F.explode(F.split(col(4), "//")).alias("index"), col(5).alias("comment")).where("normal <> ''")
     return cut.withColumn("normal", F.regexp_replace("normal", "=", "")).withColumn("remark", remark(F.col("comment"))).withColumn("postfix", F.regexp_extract("comment", r"post:\s*(\S+)", 1))
 
 
@@ -142,8 +176,8 @@ def read_classes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def class_json(classed: DataFrame, models: DataFrame, endings: DataFrame) -> DataFrame:
-    """json: one row a class, in the notation that ``read_classes`` reads."""
+    """json: one row a class, in the notation that ``read_classes`` reads; with ``accent`` where the classes have that column."""
     m = models.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("suffix", "weight", "sample"))).alias("models"))
     e = endings.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct(F.col("form_id").alias("id"), F.col("ending").alias("sz")))).alias("inflex"))
     both = classed.join(m, "class_id").join(e, "class_id")
-    return both.select("class_id", F.to_json(F.struct(F.col("pos").alias("partSp"), F.col("n").alias("rate"), F.col("class_id").alias("index"), "models", "inflex")).alias("json"))
+    return both.select("class_id", F.to_json(F.struct(F.col("pos").alias("partSp"), F.col("n").alias("rate"), F.col("class_id").alias("index"), *[F.col(c) for c in classed.columns if c == "accent"], "models", "inflex")).alias("json"))
