@@ -1,43 +1,18 @@
 """Runs of fewer lines than a window that together are a long passage."""
 
-import re
-
 import pytest
 
-from tests.llm.test_lines import corpus
+from tests.llm.test_lines import brute, corpus
 from wordmill.llm import lines
 
 
-def brute(rows, window=3, long_words=50):
-    def norm(x):
-        return re.sub(r"[\t\r\x0b\f]+", " ", x).strip(" ")
-
-    places = []
-    for doc_id, text in rows:
-        kept = [(i, norm(x)) for i, x in enumerate((text or "").split("\n")) if norm(x)]
-        words = [len(re.split(" +", x)) for _, x in kept]
-        for i in range(len(kept)):
-            runs = {window} | {next((n for n in range(1, len(kept) - i + 1) if sum(words[i : i + n]) >= long_words), window)}
-            for n in runs:
-                part = kept[i : i + n]
-                if len(part) == n:
-                    places.append((tuple(x for _, x in part), doc_id, [j for j, _ in part]))
-    places.sort(key=lambda p: (p[1], p[2][0]))
-    seen, gone = set(), {}
-    for key, doc_id, at in places:
-        if key in seen:
-            gone.setdefault(doc_id, set()).update(at)
-        seen.add(key)
-    return {d: (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))) for d, t in rows}
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_short_runs_equal_brute_force(spark, seed):
     first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(20))
     texts = corpus(seed) + [f"left {i}\n{first}\n \n{second}\nright {i}" for i in range(3)] + [f"{first}\n{second[:-4]}\nend {i}" for i in range(2)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.text for r in lines.without_repeats(docs, short_runs=True).select("row.doc_id", lines.F.col("kept").alias("text")).collect()}
+    got = {r.doc_id: r.text for r in lines.without_repeats(docs).select("row.doc_id", lines.F.col("kept").alias("text")).collect()}
     assert got == brute(rows)
     at = len(corpus(seed))
     assert got[at] == texts[at] and got[at + 1] == "left 1\n \nright 1" and got[at + 4] == texts[at + 4]

@@ -1,26 +1,27 @@
 """Removal of runs of lines that stand earlier in the corpus, by winnowing over line hashes.
 
-Lines are cut at line feeds and compared by a 64-bit hash of their trimmed text; blank
-lines are not counted. A long line (``long_words`` words or more) is a passage by
-itself and counts as ``window`` lines, so that it is found without neighbours.
-
-1. Every window of ``window`` consecutive lines selects the line with the least hash
-   (the last one, if several are least) as its fingerprint. Equal windows select the
-   same place, so every run of ``window`` lines or more that occurs twice is guaranteed
-   to have a fingerprint in common.
-2. Fingerprints that occur once in the corpus are set aside; the rest are joined with
-   their positions, and each position brings the windows that selected it.
-3. A window that is equal to an earlier one (by doc_id, then place) extends the match
-   to all its lines; windows that overlap extend it further both ways.
-4. Lines of matched windows are deleted; the earliest occurrence stays.
-
-So a line goes exactly if it is in a window of ``window`` lines that occurs earlier, or
-is a long line that occurs earlier. The first occurrence is a combinable minimum, not a
-list of positions, so a window that very many documents share is no problem.
-
-With ``short_runs`` the shortest run of lines, from each starting line, that has
-``long_words`` words is a window too; runs of one line or of ``window`` lines are found
-anyway. The query and the pipeline leave it off, since the query's SQL does without.
+Lines are cut at line feeds and compared by two 64-bit hashes of their trimmed text;
+blank lines are not counted. A run is repeated text if it has ``window`` lines, or fewer
+that together have ``long_words`` words: so from each line on, a window is that line and
+the next ones up to ``window`` lines, and also the shortest run that has ``long_words``
+words, if that is shorter.
+
+1. Winnowing: every window selects its line with the least hash (the last one, if several
+   are least) as its fingerprint. Equal windows select the same place, so any repeated
+   run is guaranteed to have a fingerprint in common. Only the selected fingerprints are
+   shuffled, as counts that are summed up before.
+2. Fingerprints that occur more than once are marked in a bitmap of a fixed size, which
+   all tasks get. A second pass over the texts positions them: it gives the windows
+   whose fingerprint is marked, with both hashes of all their lines. (A full bitmap lets
+   more windows through; it never loses one.)
+3. Positions are joined by the whole window, not by the bare fingerprint: the earliest
+   place of each (by doc_id, then line) is a combinable minimum, so a passage that a third
+   of all documents share is no list of positions anywhere. Windows that stand later
+   overlap each other, which extends the match both ways as far as the lines agree.
+4. Lines of later windows are deleted; the earliest occurrence stays. Only documents that
+   a bitmap of the affected ones may name are shuffled to meet their deletions.
+
+So a line goes exactly if it is in a window that occurs earlier.
 
 Defined cases: a null text stays null; a text of which nothing is left becomes empty;
 blank lines stay; rows with equal doc_id or a null one are told apart by a hash of their
@@ -30,78 +31,154 @@ gives an empty table; other columns are kept.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm.shared import released, written
+from wordmill.llm import blocks
+from wordmill.llm.shared import bitmap_of, dropped, maybe_in, released, spread_join, written
 
-#: Lines of a window, and words that make a line a passage by itself.
+#: Lines of a window, and words that make a shorter run a passage.
 WINDOW, LONG_WORDS = 3, 50
-
-
-def _line_hashes(text: Column, long_words: int, window: int, counted: bool = False) -> Column:
-    """array<struct<line int, h long, wide boolean>> of the lines that are not blank; with their words ``n``, if ``counted``."""
-    lines = F.split(text, "\n", -1)
-
-    def one(x: Column, i: Column) -> Column:
-        t = F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]+", " "))
-        wide = F.length(t) >= 2 * long_words - 1
-        n = [F.size(F.split(t, " +")).alias("n")] if counted else []
-        return F.struct(i.alias("line"), F.xxhash64(t).alias("h"), F.when(wide, F.size(F.split(t, " +")) >= long_words).otherwise(False).alias("wide"), (t == "").alias("blank"), *n)
-
-    kept = ["line", "h", "wide"] + ["n"] * counted
-    return F.transform(F.filter(F.transform(lines, one), lambda x: ~x["blank"]), lambda x: F.struct(*[x[c].alias(c) for c in kept]))
-
-
-def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, short_runs: bool = False) -> DataFrame:
+#: Bits of the bitmap of repeated fingerprints (8 MB).
+MARK_BITS = 1 << 26
+
+_TABS = re.compile(rb"[\t\r\x0b\f]+")
+
+
+class _Lines:
+    """The lines of a piece of texts that are not blank: text number, line number, two hashes, words."""
+
+    def __init__(self, texts: list[bytes | None]):
+        joined = _TABS.sub(b" ", b"\n".join(t or b"" for t in texts) + b"\n")
+        data = np.frombuffer(joined, np.uint8)
+        feeds = np.flatnonzero(data == 10)
+        starts = np.concatenate([[0], feeds[:-1] + 1])
+        solid = (data != 32) & (data != 10)
+        at = np.flatnonzero(solid)
+        first, last = np.searchsorted(at, starts), np.searchsorted(at, feeds)
+        full = last > first
+        begin, end = at[first[full]], at[last[full] - 1] + 1
+        heads = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+        self.words = np.searchsorted(heads, end) - np.searchsorted(heads, begin)
+        counts = np.fromiter((t.count(b"\n") + 1 if t else 1 for t in texts), np.int64, len(texts))
+        text = np.repeat(np.arange(len(texts)), counts)
+        self.line = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))[full]
+        self.text = text[full]
+        self.a, self.b = (blocks.slice_hashes(data, begin, end, base) for base in (blocks.FIRST, blocks.SECOND))
+
+    def windows(self, window: int, long_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(lines, first line, selected line) of the windows of each length, as places among the lines."""
+        n = len(self.text)
+        sums = np.concatenate([[0], np.cumsum(self.words)])
+        for size in range(1, window + 1):
+            at = np.arange(max(n - size + 1, 0))
+            at = at[self.text[at] == self.text[at + size - 1]]
+            if size < window:  # the shortest run from its first line on that is long
+                at = at[(sums[at + size] - sums[at] >= long_words) & (sums[at + size - 1] - sums[at] < long_words)]
+            if len(at):
+                chosen = at.copy()
+                for i in range(1, size):
+                    chosen = np.where(self.a[at + i] <= self.a[chosen], at + i, chosen)
+                yield size, at, chosen
+
+    def whole(self, hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+        """A hash of all lines of windows, and of how many there are."""
+        out = np.full(len(at), np.uint64(size))
+        for i in range(size):
+            out = blocks.mix(out * np.uint64(blocks.FIRST) + hashes[at + i])
+        return out
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _fingerprints(texts: DataFrame, window: int, long_words: int) -> DataFrame:
+    """mark, n: the hashes of selected lines, each place counted once; sums of a piece of texts."""
+
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = blocks.encoded(batch.column("text"))
+            for first, end in blocks.pieces(rows):
+                own = _Lines(rows[first:end])
+                places = [chosen for _, _, chosen in own.windows(window, long_words)]
+                if places:
+                    mark, n = np.unique(own.a[np.unique(np.concatenate(places))], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([_signed(mark), pa.array(n.astype(np.int64))], ["mark", "n"])
+
+    return texts.select("text").mapInArrow(selected, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+
+
+def _positions(texts: DataFrame, marked, window: int, long_words: int) -> DataFrame:
+    """doc_id, digest, lines, whole_a, whole_b of every window whose fingerprint is marked."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(marked)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = blocks.encoded(batch.column("text"))
+            for first, end in blocks.pieces(rows):
+                own = _Lines(rows[first:end])
+                for size, at, chosen in own.windows(window, long_words):
+                    kept = shared.value.has(own.a[chosen])
+                    at = at[kept]
+                    if not len(at):
+                        continue
+                    which = pa.array(own.text[at] + first)
+                    lines = own.line[at[:, None] + np.arange(size)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(c).take(which) for c in ("doc_id", "digest")),
+                            pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(at) + 1, size, np.int32)), pa.array(lines.ravel())),
+                            *(_signed(own.whole(h, size, at)) for h in (own.a, own.b)),
+                        ],
+                        ["doc_id", "digest", "lines", "whole_a", "whole_b"],
+                    )
+
+    return texts.select("doc_id", "digest", "text").mapInArrow(placed, f"doc_id {kind}, digest long, lines array<int>, whole_a long, whole_b long")
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, digest, gone): for documents of which lines go, the numbers of those lines.
 
     ``digest`` is a hash of the text that tells rows with one doc_id apart.
     """
     spark = docs.sparkSession
-    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), _line_hashes(F.col("text"), long_words, window, short_runs).alias("lines"))
-    lined = written(spark, lined.where(F.size("lines") > 0), "lines")
-
-    # windows: the place of the first line, a hash of all lines, and the place and hash of the selected line
-    def at(i: Column, n: int = window) -> Column:
-        part = F.slice("lines", i, F.lit(n))
-        least = F.array_min(F.transform(part, lambda x: x["h"]))
-        return F.struct(
-            F.transform(part, lambda x: x["line"]).alias("lines"),
-            F.xxhash64(F.transform(part, lambda x: x["h"])).alias("whole"),
-            least.alias("mark"),
-        )
-
-    none = F.array().cast("array<struct<lines:array<int>,whole:bigint,mark:bigint>>")
-
-    def run(n: int) -> Column:
-        words = lambda i, n: F.aggregate(F.slice("lines", i, F.lit(n)), F.lit(0), lambda acc, x: acc + x["n"])
-        starts = F.filter(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: (words(i, n) >= long_words) & (words(i, n - 1) < long_words))
-        return F.when(F.size("lines") >= n, F.transform(starts, lambda i: at(i, n))).otherwise(none)
-
-    narrow = F.when(F.size("lines") >= window, F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), lambda i: at(i))).otherwise(none)
-    runs = [run(n) for n in range(2, window)] if short_runs else []
-    wide = F.transform(F.filter("lines", lambda x: x["wide"]), lambda x: F.struct(F.array(x["line"]).alias("lines"), F.xxhash64(x["h"], F.lit(1)).alias("whole"), x["h"].alias("mark")))
-    windows = lined.select("doc_id", "digest", F.explode(F.concat(wide, narrow, *runs)).alias("w")).select("doc_id", "digest", "w.lines", "w.whole", "w.mark")
-
-    # fingerprints that occur at more than one place: the only positions worth joining
-    place = F.struct(F.col("doc_id"), F.col("digest"), F.col("lines")[0].alias("line"))
-    marks = windows.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
-    found = windows.join(marks, "mark", "left_semi")
-    first = found.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("whole", "first")
-    later = found.join(first, "whole").where(F.col("first") < place)
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    repeated = _fingerprints(texts, window, long_words).where("n > 1")
+    marked = bitmap_of(repeated.select("mark"), MARK_BITS)
+    found = written(spark, _positions(texts, marked, window, long_words), "windows")
+    place = F.struct("doc_id", "digest", F.col("lines")[0].alias("line"))
+    whole = ["whole_a", "whole_b"]
+    first = found.groupBy(*whole).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    first = written(spark, first.select(*whole, "first", "n"), "first")
+    later = spread_join(found, first, whole).where(F.col("first") < place)
     gone = later.select("doc_id", "digest", F.explode("lines").alias("line")).distinct()
-    return gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gone = written(spark, gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
+    dropped(spark, found, first)
+    return gone
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, short_runs: bool = False) -> DataFrame:
-    """``docs`` with repeated runs of lines deleted from ``text``; adds n_lines and n_deleted."""
+def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``kept`` (the text without repeated runs of lines), n_lines and n_deleted."""
     spark = docs.sparkSession
-    gone = written(spark, repeated_lines(docs.select("doc_id", "text"), window, long_words, short_runs), "gone").select(F.col("doc_id").alias("of"), F.col("digest").alias("as"), "gone")
+    gone = repeated_lines(docs.select("doc_id", "text"), window, long_words)
+    affected = bitmap_of(gone.select(F.xxhash64("doc_id")), MARK_BITS)
     released(spark)
-    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"))
+    gone = gone.select(F.col("doc_id").alias("of"), F.col("digest").alias("as"), "gone")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.coalesce(feeds, F.lit(0)).cast("long").alias("n_lines")
+    untouched = maybe_in(whole, F.col("doc_id"), affected, False).select("row", F.col("text").alias("kept"), n_lines, F.lit(0).cast("long").alias("n_deleted"))
     # nothing bounds the deletions, so they are never broadcast, however few they are
-    both = whole.hint("merge").join(gone, whole["doc_id"].eqNullSafe(gone["of"]) & (whole["digest"] == gone["as"]), "left")
+    touched = maybe_in(whole, F.col("doc_id"), affected, True).withColumn("digest", F.xxhash64("text"))
+    both = touched.hint("merge").join(gone, touched["doc_id"].eqNullSafe(gone["of"]) & (touched["digest"] == gone["as"]), "left")
     lines = F.split("text", "\n", -1)
 
     def kept(cut: Column) -> Column:
@@ -109,9 +186,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LON
         return F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines), kept), F.lit(0)))
-    return both.select(
-        "row", text.alias("kept"), F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("n_deleted")
-    )
+    n_deleted = F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long")
+    return untouched.union(both.select("row", text.alias("kept"), n_lines, n_deleted.alias("n_deleted")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +209,13 @@ with l as (
 ), t as (
   select *, trim(regexp_replace(x, '[\\t\\r\\x0B\\f]+', ' ', 'g')) as s from l
 ), k as (
-  select *, lead(s) over w as s2, lead(s, 2) over w as s3, lead(i) over w as i2, lead(i, 2) over w as i3 from t where s <> '' window w as (partition by doc_id order by i)
+  select *, len(string_split_regex(s, ' +')) as n, lead(s) over w as s2, lead(s, 2) over w as s3, lead(i) over w as i2, lead(i, 2) over w as i3 from t where s <> '' window w as (partition by doc_id order by i)
 ), places as (
   select doc_id, i as line, 'run:' || s || chr(10) || s2 || chr(10) || s3 as key, [i, i2, i3] as lines from k where s3 is not null
   union all
-  select doc_id, i, 'line:' || s, [i] from k where len(string_split_regex(s, ' +')) >= {LONG_WORDS}
+  select doc_id, i, 'two:' || s || chr(10) || s2, [i, i2] from k where s2 is not null and n < {LONG_WORDS} and n + len(string_split_regex(s2, ' +')) >= {LONG_WORDS}
+  union all
+  select doc_id, i, 'line:' || s, [i] from k where n >= {LONG_WORDS}
 ), first as (
   select key, min((doc_id, line)) as place from places group by key having count(*) > 1
 ), gone as (

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -41,6 +42,62 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Bitmap:
+    """A set of hashed keys in a fixed number of bits: what is in the set is always in it, and perhaps more is."""
+
+    def __init__(self, bits: int, words: dict[int, bytes]):
+        self.bits, self.words = bits, words
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each 64-bit hash may be in the set."""
+        if not hasattr(self, "_flat"):
+            flat = np.zeros(self.bits // 8, np.uint8)
+            for bucket, part in self.words.items():
+                flat[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+            self._flat = flat
+        slot = (hashes & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self._flat[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+    def __getstate__(self):
+        return {"bits": self.bits, "words": self.words}
+
+
+def _slot(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(bits)) + 1
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> Bitmap:
+    """The only column's 64-bit hashes as a bitmap. At most ``bits`` / 8 bytes reach the driver."""
+    slot = _slot(F.col(hashes.columns[0]), bits)
+    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    return Bitmap(bits, {r["bucket"]: bytes(r["bits"]) for r in rows.collect()})
+
+
+def maybe_in(table: DataFrame, key: Column, marked: Bitmap, inside: bool) -> DataFrame:
+    """Rows whose key may be in a bitmap of xxhash64 of keys, or those whose key surely isn't."""
+    spark = table.sparkSession
+    slot = _slot(F.xxhash64(key), marked.bits)
+    words = spark.createDataFrame([(b, bytearray(x)) for b, x in marked.words.items()], "_bucket long, _bits binary")
+    told = table.withColumn("_at", slot).join(F.broadcast(words), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")  # bits of a fixed number
+    position = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.call_function("getbit", byte, (position % 8).cast("int")) == 1, F.lit(False))
+    return told.where(on if inside else ~on).select(*[f"`{c}`" for c in table.columns])
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str = "n", most: int = 1024) -> DataFrame:
+    """Inner join of many rows with one row a key, whatever share of the rows a key has.
+
+    ``right`` has a row for each key with the number of the key's rows in ``left``. The
+    ``most`` keys with the largest numbers are broadcast, a bounded number of rows; each
+    other key has less than 1 / ``most`` of all rows, so the shuffle is even. Both sides
+    should be written tables, since they are read twice.
+    """
+    hot = right.orderBy(F.desc(count), *keys).limit(most)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.hint("merge").join(right, keys))
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
     gc.collect()
