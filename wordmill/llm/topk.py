@@ -2,22 +2,27 @@
 
 A query's score of a vector is the inner product of their integer components. Vectors
 are sorted by each component; a query reads each list from the end that helps its score
-(the top for its positive components, the bottom for its negative ones). What has been
-read gives each vector a lower and an upper bound. They are looked at for the depths in
-``DEPTHS`` only. Queries that few vectors are left for are resolved by these vectors' own
-components; queries that are still open, by the product with all vectors of the block.
-Both are random access, and on the test data no query is closed before (see README).
+(the top for its positive components, the bottom for its negative ones), in steps of
+growing depth. What has been read so far gives each vector a lower bound (unread entries
+are as bad as the list's other end) and an upper bound (they are no better than the last
+entry read). After a step, vectors whose upper bound is below the k-th lower bound leave.
+A query stops when few are left, so that no outsider can qualify, and reads the rest of
+its lists only for these to resolve their final scores; where bounds never close it has
+read all lists in the end, and its scores are the sums of what it read.
+
+The first ``PILOT`` queries of a block test their bounds after every step. The others
+test them from the least depth at which one of these closed; until there they only read.
 
 Queries and vectors are dealt into blocks by a hash, and every block of queries meets
-every block of vectors in a task of its own, with arrays of a fixed size. The bounds of
-all queries and vectors of such a tile at some depth of the lists are matrix products.
-Each tile gives at most k rows a query; the k best of these are the result.
+every block of vectors in a task of its own, in arrays of a fixed size. Each block gives
+at most k rows a query; the k best of these are the result. Sums are exact: in doubles
+where no sum can reach 2^53, else in whole numbers of any length.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 a query only meets vectors with as many components; a vec_id on several rows counts once,
 with the array that sorts first; a null vec_id takes no part; queries with fewer than k
-others have fewer rows; ties go to the smaller vec_id; an empty table gives an empty
-table; other columns are ignored.
+others have fewer rows; ties go to the smaller vec_id; a score beyond 64 bits is an
+error; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, queries of a block, and the parts of the lists after which bounds are looked at.
-VECTORS, QUERIES, DEPTHS = 4096, 1024, (0.25, 0.6)
+#: Rows of a block of vectors and of queries that meet in a task; rows of the arrays compared at once.
+VECTORS, QUERIES, ROWS, AT_ONCE = 1 << 16, 1 << 14, 4096, 512
+#: Parts of the lists after which bounds are tested, and the queries that try them all.
+DEPTHS, PILOT = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 1.0), 16
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -41,54 +48,111 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return usable.select("vec_id", whole.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, depths=DEPTHS) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in this block of vectors, ties to the smaller id."""
-    m, d = x.shape
+class Lists:
+    """The sorted lists of a block of vectors."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.m = ids, len(x)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.place = np.empty(x.shape, np.int64)  # how far from the bottom a vector stands in each list
+        np.put_along_axis(self.place, self.order, np.arange(self.m)[:, None], axis=0)
+
+    def entries(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the next entries, from depth ``low`` to ``high``, say of each vector: by the lists' tops and by their bottoms."""
+        tops, bottoms = np.zeros(self.place.shape), np.zeros(self.place.shape)
+        np.put_along_axis(tops, self.order[self.m - high : self.m - low], self.values[self.m - high : self.m - low], axis=0)
+        np.put_along_axis(bottoms, self.order[low:high], self.values[low:high], axis=0)
+        return tops, bottoms
+
+
+def aggregate(lists: Lists, q_ids: np.ndarray, q: np.ndarray, k: int, depths=DEPTHS) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(query, vector, score) of each query's k best in a block, ties to the smaller id; and the depth at which each query stopped."""
+    m = lists.m
     plus, minus = np.maximum(q, 0.0), np.minimum(q, 0.0)
-    own = q_ids[:, None] == ids[None, :]
-    order = np.argsort(x, axis=0, kind="stable")
-    from_bottom = np.empty((m, d), np.int64)
-    np.put_along_axis(from_bottom, order, np.arange(m)[:, None], axis=0)
-    lists = np.take_along_axis(x, order, axis=0)
-    open_ = np.arange(len(q))
-    candidates = np.ones((len(q), m), bool)
-    for part in depths:
-        depth = int(m * part)
-        if depth <= k or depth >= m or not len(open_):
+    seen = np.zeros((len(q), m))
+    left = q_ids[:, None] != lists.ids[None, :]
+    open_, stopped = np.arange(len(q)), np.full(len(q), m)
+    read = 0
+    for depth in sorted({min(m, max(1, int(m * part))) for part in (*depths, 1.0)}):
+        tops, bottoms = lists.entries(read, depth)
+        seen[open_] += plus[open_] @ tops.T + minus[open_] @ bottoms.T
+        read = depth
+        if read == m or read <= k:
             continue
-        top_read, bottom_read = from_bottom >= m - depth, from_bottom < depth
-        # unread entries are no better than the last one read, and no worse than the list's other end
-        best = plus[open_] @ np.where(top_read, x, lists[m - depth]).T + minus[open_] @ np.where(bottom_read, x, lists[depth - 1]).T
-        worst = plus[open_] @ np.where(top_read, x, lists[0]).T + minus[open_] @ np.where(bottom_read, x, lists[m - 1]).T
-        worst[own[open_]] = -np.inf
-        kth = np.partition(worst, m - k, axis=1)[:, m - k]
-        candidates[open_] &= best >= kth[:, None]
-        # a vector outside has been read in no list; when none can qualify, its query reads on only for its candidates
-        outside = ~(top_read.any(axis=1) | bottom_read.any(axis=1))
-        open_ = open_[(candidates[open_].sum(axis=1) > 8 * k) | (candidates[open_] & outside).any(axis=1)]
-    candidates &= ~own
+        p, n = plus[open_], minus[open_]
+        unread_top, unread_bottom = lists.place < m - read, lists.place >= read
+        bound = lambda top, bottom: seen[open_] + p @ (unread_top * top).T + n @ (unread_bottom * bottom).T  # noqa: B023, E731
+        lower = np.where(left[open_], bound(lists.values[0], lists.values[m - 1]), -np.inf)
+        kth = np.partition(lower, m - k, axis=1)[:, m - k]
+        left[open_] &= bound(lists.values[m - read], lists.values[read - 1]) >= kth[:, None]
+        done = left[open_].sum(axis=1) <= 2 * k
+        for i in open_[done].tolist():
+            stopped[i] = read
+            _resolve(lists, seen[i], q[i], np.flatnonzero(left[i]), read)
+        open_ = open_[~done]
+        if not len(open_):
+            break
     out = []
-    few = np.ones(len(q), bool)
-    few[open_] = False
-    resolved = np.full((len(q), m), -np.inf)
-    if len(open_):
-        resolved[open_] = np.where(candidates[open_], q[open_] @ x.T, -np.inf)
-    for i in np.flatnonzero(few).tolist():
-        at = np.flatnonzero(candidates[i])
-        resolved[i, at] = x[at] @ q[i]
     for i, qid in enumerate(q_ids.tolist()):
-        scores = resolved[i]
-        at = np.flatnonzero(scores >= np.partition(scores, m - k)[m - k]) if m > k else np.arange(m)
-        at = at[np.isfinite(scores[at])]
-        at = at[np.lexsort((ids[at], -scores[at]))][:k]
-        out += [(qid, int(ids[j]), int(scores[j])) for j in at.tolist()]
+        at = np.flatnonzero(left[i])
+        scores = seen[i, at]
+        if len(at) > k:
+            at = at[scores >= np.partition(scores, len(at) - k)[len(at) - k]]
+        at = at[np.lexsort((lists.ids[at], -seen[i, at]))][:k]
+        out += [(qid, int(lists.ids[j]), int(seen[i, j])) for j in at.tolist()]
+    return out, stopped
+
+
+def _resolve(lists: Lists, seen: np.ndarray, q: np.ndarray, wanted: np.ndarray, read: int) -> None:
+    """Adds what the rest of a query's lists say of the wanted vectors, reading on from where it stopped."""
+    is_wanted = np.zeros(lists.m, bool)
+    is_wanted[wanted] = True
+    for c in np.flatnonzero(q).tolist():
+        rest = slice(0, lists.m - read) if q[c] > 0 else slice(read, lists.m)
+        ids = lists.order[rest, c]
+        met = is_wanted[ids]
+        seen[ids[met]] += q[c] * lists.values[rest, c][met]
+
+
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, vector, score) of each query's k best among the vectors; q and x are whole numbers."""
+    reach = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * x.shape[1]
+    if reach >= 1 << 52:
+        return _long(q_ids, q, ids, x, k)
+    found: list[tuple[int, int, int]] = []
+    for at in range(0, len(x), ROWS):
+        lists = Lists(ids[at : at + ROWS], x[at : at + ROWS].astype(np.float64))
+        first, stopped = aggregate(lists, q_ids[:PILOT], q[:PILOT].astype(np.float64), k)
+        depths = [p for p in DEPTHS if p * lists.m >= stopped.min(initial=lists.m)]
+        found += first
+        for b in range(PILOT, len(q), AT_ONCE):
+            found += aggregate(lists, q_ids[b : b + AT_ONCE], q[b : b + AT_ONCE].astype(np.float64), k, depths)[0]
+    best: dict[int, list[tuple[int, int]]] = {}
+    for qid, vec, score in found:
+        best.setdefault(qid, []).append((-score, vec))
+    return [(qid, vec, -minus) for qid, rows in best.items() for minus, vec in sorted(rows)[:k]]
+
+
+def _long(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """``search`` in whole numbers of any length, for components that no embedding has: every list is read to its end."""
+    out = []
+    rows = [[int(v) for v in r] for r in x]
+    for qid, own in zip(q_ids.tolist(), q):
+        own = [int(v) for v in own]
+        scores = sorted((-sum(a * b for a, b in zip(own, r)), i) for r, i in zip(rows, ids.tolist()) if i != qid)[:k]
+        if any(abs(s) >= 1 << 63 for s, _ in scores):
+            raise OverflowError(f"a score of query {qid} does not fit into 64 bits")
+        out += [(qid, i, -s) for s, i in scores]
     return out
 
 
 def top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query (vec_id, x, dim) against all vectors but its own."""
+    most = vectors.sparkSession.sparkContext.defaultParallelism
     counts = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
-    nv, nq = max(1, -(-counts[0] // VECTORS)), max(1, -(-counts[1] // QUERIES))
+    # large blocks, since each is copied to all of the other side; smaller ones only while cores would idle
+    nv, nq = max(1, -(-counts[0] // VECTORS), min(most, -(-counts[0] // ROWS))), max(1, -(-counts[1] // QUERIES))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     names = ["dim", "qb", "vb", "vec_id", "x"]
@@ -98,13 +162,8 @@ def top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            grid = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
-            q, x = grid(left, "q"), grid(right, "x")
-            q_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-            for at in range(0, right.num_rows, 2 * VECTORS):  # blocks are of even size only on average
-                part = slice(at, at + 2 * VECTORS)
-                for b in range(0, left.num_rows, 2 * QUERIES):
-                    rows += search(q_ids[b : b + 2 * QUERIES], q[b : b + 2 * QUERIES], ids[part], x[part], k)
+            grid = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            rows = search(left.column("query_id").to_numpy(), grid(left, "q"), right.column("vec_id").to_numpy(), grid(right, "x"), k)
         columns = list(zip(*rows)) if rows else [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
 
