@@ -43,3 +43,11 @@ def test_a_text_full_of_beginnings(spark):
     text = "AB12 " * 3000 + DE
     (row,) = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [text[x.s : x.e] for x in row.found if x.kind == "iban"] == [DE]
+
+
+def test_context_on_both_sides(spark):
+    rows = [(1, "192.168.0.1 is the host"), (2, "host 192.168.0.1"), (3, "192.168.0.1 is " + "x" * 40 + " host"), (4, "192.168.0.1")]
+    from wordmill.llm import pii
+
+    got = {r.doc_id: r.found[0].score for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0.8, 2: 0.8, 3: 0.6, 4: 0.6}

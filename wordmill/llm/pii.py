@@ -1,7 +1,7 @@
 """Personal data in texts, by built-in expressions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97
-for account numbers) and words nearby adjust a score.
+for account numbers) and words nearby, before or behind a span, adjust a score.
 
 Spark has no function that returns where a pattern matched. The matches of a
 pattern and the pieces between them alternate, so running sums of their lengths
@@ -41,7 +41,7 @@ IBAN_COUNTRIES = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 
-# Words that make a kind likelier when they stand just before a span, and the score without and with them.
+# Words that make a kind likelier when they stand near a span, and the score without and with them.
 CONTEXT = {
     "email": (r"(?i)\b(e-?mail|mail|contact|write to|courriel|correo)\b", 0.9, 1.0),
     "ip": (r"(?i)\b(ip|host|server|address|addr)\b", 0.6, 0.8),
@@ -49,7 +49,7 @@ CONTEXT = {
     "phone": (r"(?i)\b(phone|tel|call|mobile|fax|telefon|t[eé]l[eé]phone)\b", 0.6, 0.9),
     "iban": (r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b", 0.9, 1.0),
 }
-#: Code points before a span in which context words are looked for.
+#: Code points before and behind a span in which context words are looked for.
 WINDOW = 40
 
 
@@ -153,7 +153,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def scored(x: Column) -> Column:
             before = F.substring(body, F.greatest(x["s"] - WINDOW, F.lit(0)) + 1, F.least(x["s"], F.lit(WINDOW)))
-            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(before.rlike(words), near).otherwise(plain).cast("double").alias("score"))
+            behind = F.substring(body, x["e"] + 1, F.lit(WINDOW))
+            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(before.rlike(words) | behind.rlike(words), near).otherwise(plain).cast("double").alias("score"))
 
         return F.when(hint, F.transform(places, scored)).otherwise(none)
 
