@@ -5,16 +5,18 @@ Two kinds of findings:
 * Places where the words of a short phrase stand one after the other.
 * Text blocks that contain at least ``threshold`` of a template's distinct words. A block
   is a line, or a run of consecutive words, across lines, that is 1 / ``threshold`` times
-  as long as the template; every such run of a text counts. Words are ordered by their frequency over the whole corpus, rare ones first.
-  A block that contains c of a template's n words must contain one of the first
-  n - c + 1 (the prefix). Prefix words and lines' words are joined by equality; a pair
-  goes on only if the block has enough words at all (length filter); then the overlap is
-  counted exactly. There is no positional filter: words of a prefix stand early enough by
-  its length. So every block that meets the threshold is found. Runs of words
-  are looked at only where the whole text passes this.
-
-The templates are a parameter. The tables made of them (words, prefixes) are as large as
-the templates, whatever the corpus, and may be broadcast.
+  as long as the template; every such run of a text counts. Templates' words are ordered
+  by their frequency over the whole corpus, rare ones first, and so are those of them
+  that a block has. A block that contains c of a template's n words must contain one of
+  the first n - c + 1 (the prefix). Prefix words and blocks' words are joined by equality;
+  a pair goes on if the block has enough of the templates' words at all (length filter),
+  and if enough of both come from the first common word on, by its places in the template
+  and in the block (positional filter); then the overlap is counted exactly. So every
+  block that meets the threshold is found. Runs of words are looked at only where the
+  whole text passes this.
+
+The templates are a parameter. What is made of them (the order of their words, prefixes)
+is as large as the templates, whatever the corpus, and may be broadcast.
 
 Words are runs of characters other than ASCII signs and spaces, with A-Z lower-cased.
 
@@ -26,6 +28,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+import re
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,27 +106,34 @@ def places(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(text.rlike(f"(?i)(?:{hint})"), F.get(F.transform(F.array(words_of(text)), found), F.lit(0))).otherwise(none)
 
 
-def prefixes(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(word, label, n, need, run, place, words, prefix): each template's prefix in the order of the corpus's word frequencies.
+def ordered_words(docs: DataFrame, templates: dict[str, str]) -> list[str]:
+    """The words of all templates by their frequency, rare ones first. Frequencies count every occurrence in all texts."""
+    known = sorted({w for t in templates.values() for w in template_words(t)})
+    if not known:
+        return []
+    # templates' words only are taken from the texts, so there is a row for each of these at most
+    found = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(one_of(known)), F.lit(0))).alias("word")).groupBy("word").count()
+    counts = {r["word"]: r["n"] for r in found.groupBy(lowered(F.col("word")).alias("word")).agg(F.sum("count").alias("n")).collect()}
+    return sorted(known, key=lambda w: (counts.get(w, 0), w))
+
+
+def template_words(template: str) -> list[str]:
+    return re.findall(WORD, template.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
-    ``run`` is the length of the runs of words that are compared with the template.
 
-    Frequencies count every occurrence of a template's words in all texts.
+def prefixes(spark: SparkSession, templates: dict[str, str], order: list[str], threshold: float) -> DataFrame:
+    """(word, label, n, need, run, place, words, prefix): each template's prefix in an order of words.
+
+    ``run`` is the length of the runs of words that are compared with the template.
     """
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "label string, text string")
-    run = F.ceil(F.size(words_of(F.col("text"))) / F.lit(threshold) - 1e-9).cast("int")
-    listed = rows.select("label", F.array_distinct(words_of(F.col("text"))).alias("words"), run.alias("run")).select("label", "words", "run", F.explode("words").alias("word"))
-    known = sorted({w for v in templates.values() for w in "".join(c if c.isalnum() else " " for c in v.lower()).split()})
-    # templates' words only are taken from the texts
-    pattern = one_of(known)
-    counts = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").count()
-    counts = counts.groupBy(lowered(F.col("word")).alias("word")).agg(F.sum("count").alias("n"))
-    ranked = listed.join(counts, "word", "left").groupBy("label", "words", "run").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
-    n = F.size("ranked")
-    need = F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
-    ranked = ranked.select("label", "words", "run", n.alias("n"), need.alias("need"), F.transform(F.slice("ranked", F.lit(1), n - need + 1), lambda x: x["word"]).alias("prefix"))
-    return ranked.select("label", "words", "run", "n", "need", "prefix", F.posexplode("prefix").alias("place", "word"))
+    rows = []
+    for label, template in templates.items():
+        every = template_words(template)
+        words = sorted(set(every), key=order.index)
+        need = math.ceil(threshold * len(words) - 1e-9)
+        prefix = words[: len(words) - need + 1] if words else []
+        rows += [(word, label, len(words), need, math.ceil(len(every) / threshold - 1e-9), place, words, prefix) for place, word in enumerate(prefix)]
+    return spark.createDataFrame(rows, "word string, label string, n int, need int, run int, place int, words array<string>, prefix array<string>")
 
 
 def best_run(words: Column, own: Column, run: Column) -> Column:
@@ -141,24 +152,36 @@ def best_run(words: Column, own: Column, run: Column) -> Column:
 
 def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, digest, label, containment): the best block of each document for each template that reaches the threshold."""
-    spark = docs.sparkSession
-    table = written(spark, prefixes(docs, templates, threshold), "prefixes")
+    met = candidates(docs, templates, threshold)
+    met = met.withColumn("both", F.size(F.array_intersect("ordered", "words"))).where(F.col("both") >= F.col("need"))
+    both = F.when(F.col("whole"), best_run(F.col("all"), F.col("words"), F.col("run"))).otherwise(F.col("both"))
+    return met.select("doc_id", "digest", "label", "need", "n", both.alias("both")).where(F.col("both") >= F.col("need")).groupBy("doc_id", "digest", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
+
+
+def candidates(docs: DataFrame, templates: dict[str, str], threshold: float, positional: bool = True) -> DataFrame:
+    """Blocks and templates that share a prefix word and pass the length and positional filters, each pair once."""
+    order = ordered_words(docs, templates)
+    table = prefixes(docs.sparkSession, templates, order, threshold)
     own = [r["word"] for r in table.select("word").distinct().collect()]  # words of the templates' prefixes
     least = table.agg(F.min("need")).first()[0] or 1
     pattern = one_of(own) if own else r"(?!)"
+    listed = lambda words: F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     # a text's lines, and the whole of it for runs of words across lines
     block = lambda x, whole: F.struct(x.alias("block"), F.lit(whole).alias("whole"))
     cut = F.concat(F.transform(F.split("text", "\n", -1), lambda x: block(x, False)), F.array(block(F.col("text"), True)))
     lines = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.xxhash64("text").alias("digest"), F.explode(cut).alias("b")).select("doc_id", "digest", "b.block", "b.whole")
     lines = lines.where(~F.col("whole") | F.contains("block", F.lit("\n"))).where(F.col("block").rlike(pattern))
-    bags = lines.select("doc_id", "digest", "whole", words_of(F.col("block")).alias("all")).withColumn("bag", F.array_distinct("all")).where(F.size("bag") >= least)
-    probes = bags.withColumn("word", F.explode(F.array_intersect("bag", F.array(*map(F.lit, own))))) if own else bags.withColumn("word", F.lit("")).limit(0)
-    met = probes.join(F.broadcast(table), "word").where(F.size("bag") >= F.col("need")).where(F.col("n") - F.col("place") >= F.col("need"))
+    # of a block only templates' words count, in their order
+    bags = lines.select("doc_id", "digest", "whole", words_of(F.col("block")).alias("all")).withColumn("ordered", F.array_intersect(listed(order), "all")).where(F.size("ordered") >= least)
+    probes = bags.withColumn("word", F.explode(F.array_intersect("ordered", listed(own))))
+    met = probes.join(F.broadcast(table), "word").where(F.size("ordered") >= F.col("need"))
     # once for each block and template: by the first prefix word that the block has
-    met = met.where(F.get(F.array_intersect("prefix", "bag"), F.lit(0)) == F.col("word"))
-    met = met.withColumn("both", F.size(F.array_intersect("bag", "words"))).where(F.col("both") >= F.col("need"))
-    both = F.when(F.col("whole"), best_run(F.col("all"), F.col("words"), F.col("run"))).otherwise(F.col("both"))
-    return met.select("doc_id", "digest", "label", "need", "n", both.alias("both")).where(F.col("both") >= F.col("need")).groupBy("doc_id", "digest", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
+    met = met.where(F.get(F.array_intersect("prefix", "ordered"), F.lit(0)) == F.col("word"))
+    if not positional:
+        return met
+    # what both have from their first common word on bounds the overlap from above
+    rest = F.least(F.col("n") - F.col("place"), F.size("ordered") - F.array_position("ordered", F.col("word")).cast("int") + 1)
+    return met.where(rest >= F.col("need"))
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
