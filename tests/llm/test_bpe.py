@@ -65,3 +65,12 @@ def test_whole_result(spark, reference, most, block):
 
 def test_empty(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), bpe.vocabulary_bytes()).count() == 0
+
+
+def test_another_pattern_is_refused(monkeypatch):
+    import public_tokenizers
+    import pytest
+
+    monkeypatch.setattr(public_tokenizers, "PATTERN", public_tokenizers.PATTERN + "|x")
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.vocabulary_bytes()

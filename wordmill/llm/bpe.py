@@ -43,6 +43,8 @@ from wordmill.llm.shared import dropped, released, written
 HEAD, HEAD_BYTES, BLOCK = 1 << 20, 64, 16 << 20
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+# Fixed value: the pattern that ``pre_tokens`` follows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES, LETTER, DIGIT, SIGN = range(4)
 
 
@@ -138,6 +140,8 @@ def vocabulary_bytes(name: str = VOCABULARY) -> bytes:
     """The rank file of a public tokenizer, read on the driver; executors get it by broadcast."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the vocabulary's pattern is not the one that texts are cut by")
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
