@@ -63,3 +63,26 @@ def test_rows_of_the_mix(spark, table):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op6_mixing(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, table):
+    d, _ = table
+    names = ["target", "whole", "of", "bits", "row", "copies", "source_size", "part", "rate", "bin"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumns({n: F.lit("clash") for n in names})
+    out = mixing.mixed(docs)
+    assert sorted(out.columns) == sorted(set(docs.columns) | set(mixing.ADDED)) and dict(out.dtypes)["target"] == "double"
+    assert out.agg(F.sum("copies")).first()[0] == mixing.mixed(docs.select("doc_id", "text", "source")).agg(F.sum("copies")).first()[0]
+
+
+def test_many_sources_and_a_very_long_text(spark):
+    rows = [(i, "w " * (i % 7), f"s{i % 2000}", 0) for i in range(6000)] + [(9000, "w " * 300_000, "s5", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").repartition(9)
+    got = {r.source: r.target for r in mixing.mixed(docs).select("source", "target").distinct().collect()}
+    want = brute_targets([(s, len(t.split())) for _, t, s, _ in rows])
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_newton_reaches_every_target(spark):
+    goals = spark.createDataFrame([("a", 100, 200.0), ("b", 1000, 1.0), ("c", 0, 0.0), ("d", 7, 7.0)], "source string, source_size long, target double")
+    got = {r.source: r.rate for r in mixing.multipliers(goals).collect()}
+    assert abs(got["a"] - 2) < 1e-9 and abs(got["b"] - 0.001) < 1e-9 and got["c"] == 1 and abs(got["d"] - 1) < 1e-9

@@ -7,8 +7,11 @@ size, to one copy each, subject to one token constraint per source:
 
 The dual is convex: minimise  sum size * exp(lambda) - lambda * target  for each
 source, whose solution tilts every document's rate exponentially, r = exp(lambda).
-Newton's step needs the gradient and the curvature of each source, which one
-aggregation over all documents gives; the table of multipliers has one row a source.
+Newton's step needs the gradient and the curvature of each source. All documents of a
+source share its multiplier, so that one aggregation over all documents, the sizes of the
+sources, gives both for every step; the steps are taken where a source's row is, and
+nothing is collected. There may be as many sources as documents: running sums over
+sources are taken in ranges of sources, whose totals alone meet in one task.
 
 Rates are rounded into whole copies. Within a source, documents are dealt into bins by
 size class (powers of two) and a hash of their id; error diffusion over the bins, from
@@ -36,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and the most copies of a document.
 SHARE, MOST = 1.5, 2
+#: Columns that ``mixed`` adds, in place of any that have these names.
+ADDED = ("size", "source_size", "target", "copies")
 #: Hash bins of a size class, and size classes (sizes are below 2**62).
 BINS, CLASSES = 128, 62
 
@@ -49,45 +54,53 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     A source is full when its part of what the others leave reaches ``most`` times its
     size. In the order of size over weight the full sources come first, so running sums
-    tell them: this window runs over sources, not documents.
+    tell them.
     """
-    ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spark = sizes.sparkSession
+    one = F.lit(1).cast("double")
+    named = prefix_sums(spark, sizes, [F.col("source").asc_nulls_last()], {"place": one})
+    listed = F.array(*map(F.lit, map(float, weights)))
+    ranked = named.select("source", "source_size", F.get(listed, ((F.col("place") - 1) % len(weights)).cast("int")).alias("w"))
     cap = most * F.col("source_size")
-    marked = (
-        ranked.withColumn("left", share * F.sum("source_size").over(every) - F.sum(cap).over(order) + cap)
-        .withColumn("w_left", F.sum("w").over(every) - F.sum("w").over(order) + F.col("w"))
-        .withColumn("full", F.col("left") * F.col("w") >= cap * F.col("w_left"))
-    )
-    full_cap, full_w = F.sum(F.when(F.col("full"), cap).otherwise(0.0)).over(every), F.sum(F.when(F.col("full"), F.col("w")).otherwise(0.0)).over(every)
-    level = (share * F.sum("source_size").over(every) - full_cap) / F.nullif(F.sum("w").over(every) - full_w, F.lit(0.0))
+    summed = prefix_sums(spark, ranked.withColumn("ratio", F.col("source_size") / F.col("w")), [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"caps": cap, "weights": F.col("w")})
+    every = summed.agg(F.sum("source_size").alias("words"), F.sum("w").alias("w")).first()
+    words, weight = float(every["words"] or 0), float(every["w"] or 0)
+    left, w_left = F.lit(share * words) - F.col("caps") + cap, F.lit(weight) - F.col("weights") + F.col("w")
+    marked = summed.withColumn("full", left * F.col("w") >= cap * w_left)
+    full = marked.where("full").agg(F.sum(cap).alias("caps"), F.sum("w").alias("w")).first()
+    rest = weight - float(full["w"] or 0)
+    level = (share * words - float(full["caps"] or 0)) / rest if rest else 0.0
     return marked.select("source", "source_size", F.when(F.col("full"), cap).otherwise(level * F.col("w")).cast("double").alias("target"))
 
 
-def multipliers(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-12, steps: int = 50) -> DataFrame:
-    """(source, source_size, target, rate): Newton's iterations on the dual, all sources at once.
+def prefix_sums(spark: SparkSession, table: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the running sum of each column of ``sums`` in a total order, without a single task for all rows.
 
-    Each iteration sums gradient and curvature over all rows of ``sizes`` by source and
-    brings one row a source to the driver, which steps the multipliers.
+    Rows are dealt into ranges, which are written; each adds up its own rows and what the
+    ranges before it add up to, a row a range.
     """
-    spark = sizes.sparkSession
-    schema = "source string, source_size long, target double, multiplier double"
-    state = {r["source"]: (r["source_size"], r["target"], 0.0) for r in goals.collect()}
-    table = lambda: spark.createDataFrame([(k, *v) for k, v in state.items()], schema)
-    for _ in range(steps):
-        tilted = sizes.join(table().withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        sums = tilted.groupBy("source").agg(F.sum(F.col("size") * F.exp("multiplier")).alias("tilted")).collect()
-        moved = 0.0
-        for r in sums:
-            mass, target, at = state[r["source"]]
-            if mass and target:
-                step = max(-1.0, min(1.0, (r["tilted"] - target) / r["tilted"]))
-                state[r["source"]] = (mass, target, at - step)
-                moved = max(moved, abs(step))
-        if moved <= tolerance:
-            break
-    return table().select("source", "source_size", "target", F.exp("multiplier").alias("rate"))
+    valued = table.select("*", *[c.cast("double").alias(n) for n, c in sums.items()])
+    ranged = written(spark, valued.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(n).alias(n) for n in sums])
+    starts = totals.select("_range", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ranged.withColumns({n: F.sum(n).over(inside) for n in sums}).join(F.broadcast(starts), "_range")  # as many rows as partitions
+    return both.select(*table.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
+def multipliers(goals: DataFrame, tolerance: float = 1e-12, steps: int = 50) -> DataFrame:
+    """(source, source_size, target, rate): Newton's iterations on each source's dual, ended where a step is below the tolerance."""
+
+    def newton(state: Column, _: Column) -> Column:
+        tilted = F.col("source_size") * F.exp(state["at"])
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (tilted - F.col("target")) / tilted))
+        moves = (state["moved"] > tolerance) & (F.col("source_size") > 0) & (F.col("target") > 0)
+        return F.struct(F.when(moves, state["at"] - step).otherwise(state["at"]).alias("at"), F.when(moves, F.abs(step)).otherwise(F.lit(0.0)).alias("moved"))
+
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(1.0).alias("moved"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton, lambda state: state["at"])
+    return goals.select("source", "source_size", "target", F.exp(solved).alias("rate"))
 
 
 def _bin(bins: int) -> Column:
@@ -99,10 +112,10 @@ def _bin(bins: int) -> Column:
 def plan(sizes: DataFrame, bins: int = BINS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row a source: source, source_size, target, whole copies of each document, and which bins take one more.
 
-    ``sizes`` has doc_id, source, size and is read several times.
+    ``sizes`` has doc_id, source, size and is read twice.
     """
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    rates = multipliers(sizes, goals).withColumn("rate", F.least("rate", F.lit(float(most))))
+    rates = multipliers(goals).withColumn("rate", F.least("rate", F.lit(float(most))))
     # a rate a rounding error below a whole number counts as that number
     rates = rates.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     filled = sizes.groupBy("source", _bin(bins).alias("bin")).agg(F.sum("size").alias("words")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))
@@ -128,7 +141,10 @@ def mixed(docs: DataFrame, text: str = "text", bins: int = BINS, weights: Sequen
     # the plan has a row a source; written, so that its size is known where it is joined
     chosen = written(spark, plan(sizes, bins, weights, share, most), "mix").withColumnRenamed("source", "of")
     extra = F.substring("bits", _bin(bins) + 1, F.lit(1)) == "1"
-    return sized(docs, text).join(chosen, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("whole") + extra.cast("int")).drop("of", "whole", "bits")
+    own = sized(docs.select(F.struct("*").alias("row"), "doc_id", "source", F.col(text).alias("text")))
+    both = own.join(chosen, F.col("source").eqNullSafe(F.col("of")))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return both.select(*kept, "size", "source_size", "target", (F.col("whole") + extra.cast("int")).alias("copies"))
 
 
 def mix_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
