@@ -4,8 +4,10 @@ Vectors of one label link when their cosine is at least a threshold, that is, wh
 unit vectors are at most r = sqrt(2 - 2 threshold) apart.
 
 1. Equal vectors of a label fall into one class, which the smallest vec_id stands for.
-2. Pivots (a bounded number of vectors) cut each label into cells: a class is at home
-   with its nearest pivot h. It is also copied to cell c if it may be within r of a
+2. Pivots (vectors of the table, a bounded number) cut each label into cells: a class is
+   at home with its nearest pivot h. How many there are is chosen by the copies that they
+   cost a bounded sample and by the size of the largest label: few for small tables and
+   for vectors that lie in no clusters, many for large ones. Only cost depends on it. It is also copied to cell c if it may be within r of a
    vector at home there. By the triangle inequality that needs
    d(c) - d(h) <= 2 r; the distance to the plane midway between the two pivots also
    changes by at most r, which needs d(c)^2 - d(h)^2 <= 2 r |c - h|. Both must hold.
@@ -29,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm.shared import components, written
+from wordmill.llm.shared import components, dropped, written
 
-THRESHOLD, PIVOTS, BLOCK = 0.98, 64, 4096
+THRESHOLD, BLOCK = 0.98, 4096
+#: Numbers of pivots to choose from, and the classes that are looked at for that.
+PIVOTS, SAMPLE = (8, 32, 128, 512, 2048), 1024
+#: What is added to distances, whose square roots lose half of a double's digits near 0.
+SLACK = 1e-6
 
 
 def _matrix(column) -> np.ndarray:
@@ -43,15 +49,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def dealt(classes: DataFrame, threshold: float, pivots: int) -> DataFrame:
+def cells_of(u: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors, the nearest pivot and which cells each may have a partner in."""
+    square = np.maximum(2 - 2 * (u @ p.T), 0)
+    home = square.argmin(axis=1)
+    own = square[np.arange(len(u)), home][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
+    copied = (np.sqrt(square) - np.sqrt(own) <= 2 * r) & (square - own <= 2 * r * apart + SLACK)
+    copied[np.arange(len(u)), home] = True
+    return home, copied
+
+
+def chosen_pivots(sample: np.ndarray, rows: int, r: float, numbers=PIVOTS) -> np.ndarray:
+    """The first vectors of a sample of unit vectors, as many as cost least for a label of ``rows`` classes.
+
+    A class is copied so often, and each copy is compared with the classes at home in a cell.
+    """
+    best, least = sample[:1], np.inf
+    for n in numbers:
+        pivots = sample[:n]
+        copies = cells_of(sample[-SAMPLE:], pivots, r)[1].sum(axis=1).mean()
+        cost = copies * (1 + rows / len(pivots) / BLOCK)
+        if cost < least:
+            best, least = pivots, cost
+        if n >= len(sample):
+            break
+    return best
+
+
+def dealt(classes: DataFrame, threshold: float, numbers=PIVOTS) -> DataFrame:
     """(label, dim, cell, home, rep, m, embedding): each class in its home cell and where it is copied to."""
     spark = classes.sparkSession
-    picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("dim", "embedding").collect()
+    picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(numbers) + SAMPLE).select("dim", "embedding").collect()
+    rows = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("rows"))
     by_dim: dict[int, list] = {}
-    for r in picked:
-        by_dim.setdefault(r["dim"], []).append(r["embedding"])
-    shared = spark.sparkContext.broadcast({d: np.unique(_unit(np.array(x, np.float64)), axis=0) for d, x in by_dim.items()})
-    r = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    for x in picked:
+        by_dim.setdefault(x["dim"], []).append(x["embedding"])
+    r = float(np.sqrt(2 - 2 * threshold)) + SLACK
+    unit = {d: _unit(np.array(x, np.float64)) for d, x in by_dim.items()}
+    # of the dimensions only those of picked vectors, which are few
+    largest = {x["dim"]: x["rows"] for x in rows.where(F.col("dim").isin(*unit)).collect()} if unit else {}
+    shared = spark.sparkContext.broadcast({d: np.unique(chosen_pivots(u, largest[d], r, numbers), axis=0) for d, u in unit.items()})
+    kind = {f.name: f.dataType.simpleString() for f in classes.schema}
 
     def task(batches):
         for batch in batches:
@@ -64,18 +103,13 @@ def dealt(classes: DataFrame, threshold: float, pivots: int) -> DataFrame:
                 if p is None:
                     out.append((at, np.zeros(len(at), np.int64), np.ones(len(at), bool)))
                     continue
-                square = np.maximum(2 - 2 * (u @ p.T), 0)
-                home = square.argmin(axis=1)
-                own = square[np.arange(len(at)), home][:, None]
-                apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
-                copied = (np.sqrt(square) - np.sqrt(own) <= 2 * r) & (square - own <= 2 * r * apart + 1e-9)
-                copied[np.arange(len(at)), home] = True
+                home, copied = cells_of(u, p, r)
                 row, cell = np.nonzero(copied)
                 out.append((at[row], cell, home[row] == cell))
             rows, cells, homes = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("label", "dim")), pa.array(cells.astype(np.int32)), pa.array(homes), *(batch.column(c).take(pa.array(rows)) for c in ("rep", "m", "embedding"))], ["label", "dim", "cell", "home", "rep", "m", "embedding"])
 
-    return classes.select("label", "dim", "rep", "m", "embedding").mapInArrow(task, "label int, dim int, cell int, home boolean, rep long, m long, embedding array<float>")
+    return classes.select("label", "dim", "rep", "m", "embedding").mapInArrow(task, f"label {kind['label']}, dim int, cell int, home boolean, rep long, m long, embedding {kind['embedding']}")
 
 
 def join_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
@@ -99,7 +133,7 @@ def join_cell(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"rep": pa.array(np.concatenate([ids, other[linked]])), "links": pa.array(np.concatenate([links, np.zeros(linked.sum(), np.int64)])), "low": pa.array(np.concatenate([low, reach[linked]]))})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, numbers: tuple[int, ...] | None = None) -> DataFrame:
     """vec_id, n_links, component_id of every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     usable = (
@@ -113,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
     one = written(spark, one, "vectors")
     classes = one.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("embedding"))
     classes = written(spark, classes, "classes")
-    cells = written(spark, dealt(classes, threshold, pivots), "cells")
+    cells = written(spark, dealt(classes, threshold, PIVOTS if numbers is None else numbers), "cells")
     again = spark.read.schema(cells.schema).parquet(cells._wordmill_path)  # a cogroup's sides need columns of their own
     key = ["label", "dim", "cell"]
     blocks = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
@@ -128,6 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
 
     tiles = [*key, "i", "j"]
     found = written(spark, left.groupBy(*tiles).cogroup(right.groupBy(*tiles)).applyInArrow(task, "rep long, links long, low long"), "near")
+    dropped(spark, cells)
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(spark, found.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
     per_class = classes.join(sums, "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left").select(
