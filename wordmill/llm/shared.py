@@ -9,17 +9,24 @@ import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, as in tests on one machine, one of our own.
+
+    On a cluster an unset folder is an error: executors share no local one.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="wordmill-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -28,15 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a read."""
-    path = f"{shared_dir(spark)}/wordmill-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/wordmill-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_deleted, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._wordmill_path = path
     return table
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; at the end of the application, whatever tables were left, if the JVM still answers."""
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (Py4JError, OSError):
+        pass
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more."""
+    """Deletes tables of ``written`` that nothing reads any more; others go when the application ends."""
     for table in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(table._wordmill_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
