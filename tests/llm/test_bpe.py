@@ -46,15 +46,15 @@ def test_every_character_as_the_library(reference):
         assert ids == want
 
 
-@pytest.mark.parametrize("most,block", [(1 << 20, 1 << 24), (40, 2000), (0, 500)])
-def test_whole_result(spark, reference, most, block):
+@pytest.mark.parametrize("hot,block", [(256, 8 << 20), (3, 2000), (1 << 30, 500)])
+def test_whole_result(spark, reference, hot, block):
     r = random.Random(3)
     words = ["the", "it's", "they'll", "café", "中文", "😀", "x" * 90, "\n\n", "  ", "1999", "...", "don't", "'re", "a'b", "\xa0"]
     texts = [r.choice(["", " "]).join(r.choice(words) + r.choice(["", " ", chr(r.randrange(33, 0x3000))]) for _ in range(r.randrange(40))) for _ in range(300)]
     texts += [None, "", " ", "the " * 70000, "z" * 100000, "<|endoftext|>"]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(3, texts[3], "c"), (3, "other", "c"), (None, "none", "c"), (None, None, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(4)
-    got = bpe.encode(docs, bpe.vocabulary_bytes(), most=most, block=block).collect()
+    got = bpe.encode(docs, bpe.vocabulary_bytes(), hot=hot, block=block).collect()
     want = []
     for i, t, _ in rows:
         ids = reference.encode_ordinary(t or "")
@@ -68,9 +68,29 @@ def test_empty(spark):
 
 
 def test_another_pattern_is_refused(monkeypatch):
-    import public_tokenizers
-    import pytest
-
     monkeypatch.setattr(public_tokenizers, "PATTERN", public_tokenizers.PATTERN + "|x")
     with pytest.raises(ValueError, match="pattern"):
         bpe.vocabulary_bytes()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, (1 << 35) - 1)), max_size=40))
+def test_packed_numbers_come_back(numbers):
+    data, sizes = bpe.packed(np.array(numbers, np.int64))
+    back, ends = bpe.unpacked(data)
+    assert back.tolist() == numbers and ends.tolist() == np.cumsum(sizes).tolist()
+
+
+def test_a_missing_position_is_an_error():
+    word, n, where, per_text = bpe.word_rows([b"a b a", None], bpe.classes())
+    assert sorted(zip(word.to_pylist(), n.tolist())) == [(b" a", 1), (b" b", 1), (b"a", 1)] and per_text.tolist() == [3, 0]
+    own = bpe.pa.RecordBatch.from_arrays([bpe.pa.array([1, 2]), bpe.pa.array(per_text)], ["doc_id", "n"])
+    out = bpe.pa.BufferOutputStream()
+    with bpe.pa.ipc.new_stream(out, own.schema) as stream:
+        stream.write_batch(own)
+    ids = bpe.pa.array([np.array([7 + i], np.uint16).tobytes() for i in range(3)])
+    table = bpe.pa.table({"spots": bpe.pa.concat_arrays([where, bpe.pa.nulls(1, bpe.pa.binary())]), "ids": bpe.pa.concat_arrays([ids, bpe.pa.nulls(1, bpe.pa.binary())]), "docs": bpe.pa.array([None] * 3 + [out.getvalue().to_pybytes()], bpe.pa.binary())})
+    _, found, sizes = bpe.reassembled(table, np.uint16)
+    assert sorted(found.tolist()) == [7, 8, 9] and sizes.tolist() == [1, 1, 1]
+    with pytest.raises(ArithmeticError, match="no word"):
+        bpe.reassembled(table.slice(1), np.uint16)

@@ -1,19 +1,20 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
-Texts are cut into pre-tokens; each distinct pre-token of the corpus is encoded once,
-and its ids are joined back to where it stands:
-
-1. Batches report their distinct pre-tokens with counts, which Spark sums by word. Each
-   distinct word is then encoded once, and the table of words is written.
-2. The most frequent words stand for nearly all positions and would be hot keys of a
-   join. They are broadcast: at most ``HEAD`` words of at most ``HEAD_BYTES`` bytes.
-3. All other words are joined by a shuffle: documents are dealt into blocks by a hash;
-   each block's distinct rare words meet the table of words, and the ids go back to the
-   block.
-4. A block's texts and its rare words' ids meet; the positions of pre-tokens are found
-   anew, each takes its ids, and ids are reassembled by position. A word that is neither
-   broadcast nor joined is an error, never encoded on the side.
-5. Decoding looks up each id in the table of token bytes (as large as the vocabulary).
+1. Texts are cut once, into pre-tokens with positions. A block (some megabytes of texts,
+   cut in pieces) has a row for each distinct pre-token with all its positions in the
+   block, as differences of few bytes.
+2. These rows are shuffled by word and sorted, so that all places of a word come one
+   after the other: each distinct word is encoded once, and its ids join its positions.
+   A word with ``HOT`` positions or more in one block is encoded there, once for that
+   block: such rows are dealt evenly, so no word is a hot key, however frequent.
+3. The rows go back to their blocks, where ids are reassembled by position. A position
+   that no word fills is an error.
+4. Decoding joins ids with the table of token bytes (as large as the vocabulary, whatever
+   the corpus), by place.
+
+Texts themselves are never shuffled, and nothing that grows is broadcast. A block's name
+is made of the task and the order of its rows, so ``docs`` must be a table that reads
+alike again, as files do.
 
 Pre-tokens are found on arrays of code points by character classes, which gives what
 the vocabulary's pattern gives: a contraction; a run of letters, of digits or of other
@@ -33,14 +34,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
-from wordmill.llm.shared import dropped, released, written
 
-#: Words that are broadcast at most, their longest length, and bytes of text in a block on average.
-HEAD, HEAD_BYTES, BLOCK = 1 << 20, 64, 16 << 20
+#: Positions in a block from which a word is encoded in the block itself, and bytes of text in a block.
+HOT, BLOCK = 256, 8 << 20
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that ``pre_tokens`` follows.
@@ -113,21 +114,11 @@ class Piece:
         if not np.array_equal(self.second[self.example][self.which], self.second):
             raise ArithmeticError("two pre-tokens have one hash")
 
-    def word(self, i: int) -> str:
-        """The i-th distinct pre-token."""
-        at = self.example[i]
-        return self.text[self.starts[at] : self.ends[at]]
-
     def document(self) -> np.ndarray:
         """The number of the text of each pre-token."""
         return np.searchsorted(np.cumsum(self.lengths), self.starts, side="right")
 
 
-def _cut(texts: list, table: np.ndarray) -> Iterator[tuple[int, int, Piece]]:
-    for first, end in blocks.pieces(texts):
-        yield first, end, Piece(texts[first:end], table)
-
-
 @cache
 def _encoder(vocabulary: bytes):
     import tiktoken
@@ -146,171 +137,200 @@ def vocabulary_bytes(name: str = VOCABULARY) -> bytes:
         return f.read()
 
 
-def word_table(docs: DataFrame, ranks, kinds) -> DataFrame:
-    """(word, n, ids): each distinct pre-token of the corpus, encoded once."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # of each piece, only its text and where its distinct pre-tokens stand are kept
-            parts = [(p.text, p.distinct, p.counts, p.starts[p.example].astype(np.int32), p.ends[p.example].astype(np.int32)) for _, _, p in _cut(blocks.encoded(batch.column("text")), kinds.value)]
-            if not any(len(p[1]) for p in parts):
-                continue
-            hashes = np.concatenate([p[1] for p in parts])
-            source = np.concatenate([np.full(len(p[1]), i, np.int32) for i, p in enumerate(parts)])
-            _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-            n = np.bincount(which, np.concatenate([p[2] for p in parts])).astype(np.int64)
-            starts, ends = (np.concatenate([p[k] for p in parts])[at] for k in (3, 4))
-            found = [parts[s][0][i:j] for s, i, j in zip(source[at].tolist(), starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["word", "n"])
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks.value)._encode_single_piece
-        for batch in batches:
-            found = batch.column("word").to_pylist()
-            ids = pa.array([np.array(encode(w.encode()), np.uint32).tobytes() for w in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], ["word", "n", "ids"])
-
-    counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(docs.sparkSession, counts.mapInArrow(encoded, "word string, n long, ids binary"), "words")
-
-
-def head(words: DataFrame, most: int, longest: int) -> tuple[dict[str, np.ndarray], DataFrame]:
-    """The most frequent words' hashes and ids, at most ``most`` words; and the other words."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("word").to_pylist()
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            points = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)
-            ends = np.cumsum(lengths)
-            h = blocks.slice_hashes(points, ends - lengths, ends)
-            g = blocks.slice_hashes(points + np.uint32(7), ends - lengths, ends, blocks.SECOND)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("ids")], ["h", "g", "ids"])
-
-    step = F.floor(F.log2(F.col("n").cast("double")) * 4)
-    short = words.where(F.octet_length("word") <= longest)
-    total, least = 0, None
-    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
-        if total + r["count"] > most:
-            break
-        total, least = total + r["count"], r["step"]
-    if least is None:
-        return {"h": np.zeros(0, np.uint64), "g": np.zeros(0, np.uint64), "at": np.zeros(1, np.int64), "ids": np.zeros(0, np.uint32)}, words
-    rows = short.where(step >= least).select("word", "ids").mapInArrow(hashed, "h long, g long, ids binary").toArrow()
-    h = rows.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    # hashes that two words share aren't used: those words are joined like rare ones
-    h = h[order]
-    single = np.ones(len(h), bool)
-    single[1:] &= h[1:] != h[:-1]
-    single[:-1] &= h[1:] != h[:-1]
-    # ids as one array, without an object for each word
-    ids = rows.column("ids").cast(pa.binary()).combine_chunks().take(pa.array(order[single]))
-    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-    flat = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32).copy()
-    others = words.where((step < least) | (F.octet_length("word") > longest)) if single.all() else words
-    top = {"h": h[single], "g": rows.column("g").to_numpy().view(np.uint64)[order][single], "at": (ends - ends[0]).astype(np.int64) // 4, "ids": flat}
-    return top, others
-
-
-def _known(piece: Piece, top: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct pre-token, whether it is in the head, and where."""
-    if not len(top["h"]):
-        return np.zeros(len(piece.distinct), bool), np.zeros(len(piece.distinct), np.int64)
-    place = np.minimum(np.searchsorted(top["h"], piece.distinct), len(top["h"]) - 1)
-    return (top["h"][place] == piece.distinct) & (top["g"][place] == piece.second[piece.example]), place
-
-
 def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[begins[i] : begins[i] + sizes[i]] for all i, joined."""
     ends = np.cumsum(sizes)
     return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, vocabulary: bytes, most: int = HEAD, longest: int = HEAD_BYTES, block: int = BLOCK) -> DataFrame:
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers below 2**35 in bytes of seven bits, the lowest first, and how many bytes each takes."""
+    x = numbers.astype(np.uint64)
+    sizes = np.ones(len(x), np.int64)
+    for bits in (7, 14, 21, 28):
+        sizes += x >= (1 << bits)
+    begins = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(5):
+        at = np.flatnonzero(sizes > k)
+        more = np.where(sizes[at] > k + 1, 128, 0).astype(np.uint8)
+        out[begins[at] + k] = ((x[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+    return out, sizes
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``packed`` gave bytes for, and where each one's bytes end."""
+    ends = np.flatnonzero(data < 128) + 1
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        at = np.flatnonzero(ends - begins > k)
+        out[at] |= (data[begins[at] + k].astype(np.int64) & 127) << (7 * k)
+    return out, ends
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An array of byte strings of the given sizes, cut from one."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of byte strings, joined, and where each begins (one entry more)."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return flat, ends - ends[0]
+
+
+def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """Of a block's texts: the distinct pre-tokens, how often and where each stands, and the pre-tokens of each text."""
+    hashes, seconds, counts, places, words, sizes, per_text = [], [], [], [], [], [], []
+    total = 0
+    for first, end in blocks.pieces(texts):
+        piece = Piece(texts[first:end], table)
+        per_text.append(np.bincount(piece.document(), minlength=end - first))
+        hashes.append(piece.distinct)
+        seconds.append(piece.second[piece.example])
+        counts.append(piece.counts)
+        places.append(np.argsort(piece.which, kind="stable") + total)
+        points = np.frombuffer(piece.text.encode("utf-32-le"), np.uint32)
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(width)])
+        begin, stop = at[piece.starts[piece.example]], at[piece.ends[piece.example]]
+        words.append(_gather(np.frombuffer(piece.text.encode(), np.uint8), begin, stop - begin))
+        sizes.append(stop - begin)
+        total += len(piece.starts)
+    none = np.zeros(0, np.int64)
+    join = lambda x: np.concatenate(x) if x else none
+    hashes, seconds, counts, places, sizes = map(join, (hashes, seconds, counts, places, sizes))
+    distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if not np.array_equal(seconds[example][which], seconds):
+        raise ArithmeticError("two pre-tokens have one hash")
+    # what the pieces have of one word, in their order, so that positions go up
+    order = np.argsort(which, kind="stable")
+    begins = np.cumsum(counts) - counts
+    spots = _gather(places, begins[order], counts[order])
+    n = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    heads = np.cumsum(n) - n
+    steps = np.diff(spots, prepend=0)
+    steps[heads] = spots[heads]
+    data, lengths = packed(steps)
+    word_begins = np.cumsum(sizes) - sizes
+    word = _binary(_gather(join(words).astype(np.uint8), word_begins[example], sizes[example]), sizes[example])
+    where = _binary(data, np.add.reduceat(lengths, heads) if len(heads) else lengths)
+    return word, n, where, join(per_text).astype(np.int64)
+
+
+def _encoded(words: list[bytes], encoder, kind) -> pa.Array:
+    found = [encoder._encode_single_piece(w) for w in words]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((i for x in found for i in x), kind, int(sizes.sum()))
+    return _binary(flat.view(np.uint8), sizes * flat.itemsize)
+
+
+def reassembled(rows: pa.Table, kind) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Of a block's rows: its documents with the pre-tokens of each, all ids by position, and how many each position has."""
+    docs = next(x for x in rows.column("docs").to_pylist() if x is not None)
+    documents = next(iter(pa.ipc.open_stream(docs)))
+    rows = rows.filter(pa.compute.is_null(rows.column("docs")))
+    spots, spot_ends = _parts(rows.column("spots").cast(pa.binary()).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    flat, begins = _parts(rows.column("ids").cast(pa.binary()).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    flat, begins = flat.copy().view(kind), begins // np.dtype(kind).itemsize
+    steps, ends = unpacked(spots)
+    counts = np.diff(np.searchsorted(ends, spot_ends, side="right"))
+    sums = np.cumsum(steps)
+    before = np.concatenate([[0], sums])[np.cumsum(counts) - counts]
+    at = sums - np.repeat(before, counts)
+    n = int(documents.column("n").to_numpy().sum())
+    row = np.full(n, -1, np.int64)
+    row[at] = np.repeat(np.arange(len(counts)), counts)
+    if len(at) != n or (row < 0).any():
+        raise ArithmeticError("a position has no word")
+    sizes = np.diff(begins)[row]
+    return documents, _gather(flat, begins[:-1][row], sizes).astype(np.uint32), sizes
+
+
+def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    # both as large as the vocabulary and the code points, whatever the corpus
     ranks, kinds = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(classes())
-    words = word_table(docs, ranks, kinds)
-    size = words.agg(F.sum(F.col("n") * F.octet_length("word"))).first()[0] or 0
-    n_blocks = max(1, -(-int(size) // block))
-    most_frequent, others = head(words, most, longest)
-    top = spark.sparkContext.broadcast(most_frequent)
-    released(spark)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = np.uint16 if _encoder(vocabulary).n_vocab <= 1 << 16 else np.uint32
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encoder = _encoder(ranks.value)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            found: set[tuple[int, str]] = set()
-            home = batch.column("block").to_numpy()
-            for first, _, piece in _cut(blocks.encoded(batch.column("text")), kinds.value):
-                unknown = ~_known(piece, top.value)[0][piece.which]
-                at = np.unique(np.stack([home[first + piece.document()[unknown]], piece.which[unknown]]), axis=1)
-                names = {i: piece.word(i) for i in np.unique(at[1]).tolist()}
-                found.update((b, names[i]) for b, i in zip(*at.tolist()))
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], ["block", "word"])
-
-    joined = dealt.select("text", "block").mapInArrow(rare, "block long, word string").join(others.select("word", "ids"), "word").select("block", "word", "ids")
-    joined = written(spark, joined, "rare")
-    dropped(spark, words)
-    released(spark)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+            texts = blocks.encoded(batch.column("text"))
+            for first, end in blocks.pieces(texts, block):
+                word, n, where, per_text = word_rows(texts[first:end], kinds.value)
+                names = ["block", "word", "spots", "ids", "docs"]
+                none = lambda count: pa.nulls(count, pa.binary())
+                name = lambda count: pa.array(np.full(count, number, np.int64))  # noqa: B023, E731
+                rare = np.flatnonzero(n < hot)
+                yield pa.RecordBatch.from_arrays([name(len(rare)), word.take(pa.array(rare)), where.take(pa.array(rare)), none(len(rare)), none(len(rare))], names)
+                often = np.flatnonzero(n >= hot)
+                ids = _encoded(word.take(pa.array(often)).to_pylist(), encoder, kind)
+                yield pa.RecordBatch.from_arrays([name(len(often)), none(len(often)), where.take(pa.array(often)), ids, none(len(often))], names)
+                own = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, own.schema) as stream:
+                    stream.write_batch(own)
+                yield pa.RecordBatch.from_arrays([name(1), none(1), none(1), none(1), pa.array([out.getvalue().to_pybytes()], pa.binary())], names)
+                number += 1
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks.value)
+        last, last_ids = None, None
         for batch in batches:
-            home = batch.column("block").to_numpy()
-            order = np.argsort(home, kind="stable")
-            own = batch.select(["doc_id", "text"])
-            rows = []
-            for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-                if len(part):
-                    out = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(out, own.schema, options=options) as stream:
-                        stream.write_batch(own.take(pa.array(part)))
-                    rows.append((int(home[part[0]]), out.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["block", "texts"])
-
-    def assembled(texts: pa.Table, rare_words: pa.Table) -> pa.Table:
-        encoding = _encoder(ranks.value)
-        token_bytes = [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)]
+            words = batch.column("word")
+            known = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            ids = batch.column("ids")
+            if len(known):
+                own = words.take(pa.array(known))
+                flat, begins = _parts(own)
+                new = np.concatenate([[True], np.ones(len(own) - 1, bool)])
+                if len(own) > 1:
+                    new[1:] = pa.compute.not_equal(own.slice(1), own.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False)
+                heads = np.flatnonzero(new)
+                found = [flat[begins[i] : begins[i + 1]].tobytes() for i in heads.tolist()]
+                # the first word of a batch may be the last one of the batch before
+                told = last_ids if found[0] == last else None
+                fresh = _encoded(found if told is None else found[1:], encoder, kind)
+                every = fresh if told is None else pa.concat_arrays([told, fresh])
+                last, last_ids = found[-1], every.slice(len(every) - 1)
+                which = np.cumsum(new) - 1
+                place = np.full(batch.num_rows, -1, np.int64)
+                place[known] = which
+                both = pa.concat_arrays([every, ids])
+                at = np.where(place >= 0, place, len(every) + np.arange(batch.num_rows))
+                ids = both.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("spots"), ids, batch.column("docs")], ["block", "spots", "ids", "docs"])
+
+    def assembled(rows: pa.Table) -> pa.Table:
+        encoder = _encoder(ranks.value)
+        token_bytes = [encoder.decode_single_token_bytes(i) for i in range(encoder.n_vocab)]
         token_sizes = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
         token_begins = np.cumsum(token_sizes) - token_sizes
         token_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
-        known_ids = {w: np.frombuffer(x, np.uint32) for w, x in zip(rare_words.column("word").to_pylist(), rare_words.column("ids").to_pylist())}
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        out = []
-        for blob in texts.column("texts").to_pylist():
-            for batch in pa.ipc.open_stream(blob):
-                doc_ids = batch.column("doc_id").to_pylist()
-                for first, end, piece in _cut(blocks.encoded(batch.column("text")), kinds.value):
-                    hit, place = _known(piece, top.value)
-                    t = top.value
-                    begins = np.where(hit, t["at"][:-1][place] if len(t["h"]) else 0, 0)
-                    sizes = np.where(hit, (t["at"][1:] - t["at"][:-1])[place] if len(t["h"]) else 0, 0)
-                    missing = np.flatnonzero(~hit)
-                    extra = [known_ids[piece.word(i)] for i in missing.tolist()]
-                    sizes[missing] = [len(x) for x in extra]
-                    begins[missing] = len(t["ids"]) + np.cumsum(sizes[missing]) - sizes[missing]
-                    flat = np.concatenate([t["ids"], *extra]) if extra else t["ids"]
-                    each = sizes[piece.which]
-                    ids = _gather(flat, begins[piece.which], each)
-                    per_text = np.bincount(piece.document(), each, end - first).astype(np.int64) if len(each) else np.zeros(end - first, np.int64)
-                    stops = np.cumsum(per_text)
-                    plain = _gather(token_flat, token_begins[ids], token_sizes[ids])
-                    byte_stops = np.concatenate([[0], np.cumsum(token_sizes[ids])])[stops]
-                    raw, plain = ids.astype("<u4").tobytes(), plain.tobytes()
-                    sha, back, b0, p0 = [], [], 0, 0
-                    for s, p in zip(stops.tolist(), byte_stops.tolist()):
-                        sha.append(hashlib.sha256(raw[4 * b0 : 4 * s]).hexdigest())
-                        back.append(hashlib.sha256(plain[p0:p]).hexdigest())
-                        b0, p0 = s, p
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids.astype(np.int32)))
-                    out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[first:end], pa.int64()), pa.array(per_text), lists, pa.array(sha, pa.string()), pa.array(back, pa.string())], schema=schema))
-        return pa.Table.from_batches(out, schema)
-
-    left = dealt.mapInArrow(packed, "block long, texts binary").groupBy("block")
-    return left.cogroup(joined.groupBy("block")).applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+        documents, ids, sizes = reassembled(rows, kind)
+        cuts = np.concatenate([[0], np.cumsum(documents.column("n").to_numpy())])
+        stops = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        sha, back = [], []
+        for b, e in zip(stops[:-1].tolist(), stops[1:].tolist()):
+            sha.append(hashlib.sha256(raw[4 * b : 4 * e]).hexdigest())
+            back.append(hashlib.sha256(_gather(token_flat, token_begins[ids[b:e]], token_sizes[ids[b:e]]).tobytes()).hexdigest())
+        lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int32)))
+        return pa.table([documents.column("doc_id"), pa.array(np.diff(stops)), lists, pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(cut, "block long, word binary, spots binary, ids binary, docs binary")
+    even = F.when(F.col("word").isNull(), F.xxhash64("block", "spots")).otherwise(F.xxhash64("word"))
+    told = rows.repartition(even).sortWithinPartitions("word").mapInArrow(once, "block long, spots binary, ids binary, docs binary")
+    return told.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(ids: list[int], vocabulary: bytes) -> bytes:
