@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
 1. Texts are cut once, into pre-tokens with positions. A block (some megabytes of texts,
-   cut in pieces) has a row for each distinct pre-token with all its positions in the
-   block, as differences of few bytes.
-2. These rows are shuffled by word and sorted, so that all places of a word come one
-   after the other: each distinct word is encoded once, and its ids join its positions.
-   A word with ``HOT`` positions or more in one block is encoded there, once for that
-   block: such rows are dealt evenly, so no word is a hot key, however frequent.
-3. The rows go back to their blocks, where ids are reassembled by position. A position
-   that no word fills is an error.
+   cut in pieces) lists each distinct pre-token with all its positions in the block, as
+   differences of few bytes. The list is dealt into ranges of the words' hashes, some for
+   each shuffle partition; what a block has of a range is packed into one row.
+2. Rows are shuffled by range, so that all places of a word meet: each distinct word is
+   encoded once, and its ids join its positions. A word with ``HOT`` positions or more in
+   one block is encoded there, once for that block, and goes to a range by the block's
+   number: so no word is a hot key, however frequent.
+3. Rows go back to their blocks, where ids are reassembled by position. A position that
+   no word fills is an error.
 4. Decoding joins ids with the table of token bytes (as large as the vocabulary, whatever
    the corpus), by place.
 
@@ -34,7 +35,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,8 @@ from wordmill.llm import blocks
 
 #: Positions in a block from which a word is encoded in the block itself, and bytes of text in a block.
 HOT, BLOCK = 256, 8 << 20
+#: Ranges of hashes for each shuffle partition.
+RANGES = 4
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that ``pre_tokens`` follows.
@@ -183,8 +185,8 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends - ends[0]
 
 
-def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
-    """Of a block's texts: the distinct pre-tokens, how often and where each stands, and the pre-tokens of each text."""
+def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of a block's texts: the distinct pre-tokens in the order of their hashes, how often and where each stands, and the pre-tokens of each text."""
     hashes, seconds, counts, places, words, sizes, per_text = [], [], [], [], [], [], []
     total = 0
     for first, end in blocks.pieces(texts):
@@ -219,7 +221,7 @@ def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, n
     word_begins = np.cumsum(sizes) - sizes
     word = _binary(_gather(join(words).astype(np.uint8), word_begins[example], sizes[example]), sizes[example])
     where = _binary(data, np.add.reduceat(lengths, heads) if len(heads) else lengths)
-    return word, n, where, join(per_text).astype(np.int64)
+    return word, distinct.astype(np.uint64), n, where, join(per_text).astype(np.int64)
 
 
 def _encoded(words: list[bytes], encoder, kind) -> pa.Array:
@@ -229,13 +231,22 @@ def _encoded(words: list[bytes], encoder, kind) -> pa.Array:
     return _binary(flat.view(np.uint8), sizes * flat.itemsize)
 
 
-def reassembled(rows: pa.Table, kind) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """Of a block's rows: its documents with the pre-tokens of each, all ids by position, and how many each position has."""
-    docs = next(x for x in rows.column("docs").to_pylist() if x is not None)
-    documents = next(iter(pa.ipc.open_stream(docs)))
-    rows = rows.filter(pa.compute.is_null(rows.column("docs")))
-    spots, spot_ends = _parts(rows.column("spots").cast(pa.binary()).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    flat, begins = _parts(rows.column("ids").cast(pa.binary()).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+def _stream(batch: pa.RecordBatch) -> bytes:
+    """A batch as bytes, compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _batch(data: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(data)))
+
+
+def reassembled(documents: pa.RecordBatch, rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block by position, and how many each position has. Rows have ``spots`` and ``ids``."""
+    parts = lambda c: _parts(rows.column(c).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    (spots, spot_ends), (flat, begins) = parts("spots"), parts("ids")
     flat, begins = flat.copy().view(kind), begins // np.dtype(kind).itemsize
     steps, ends = unpacked(spots)
     counts = np.diff(np.searchsorted(ends, spot_ends, side="right"))
@@ -248,7 +259,7 @@ def reassembled(rows: pa.Table, kind) -> tuple[pa.RecordBatch, np.ndarray, np.nd
     if len(at) != n or (row < 0).any():
         raise ArithmeticError("a position has no word")
     sizes = np.diff(begins)[row]
-    return documents, _gather(flat, begins[:-1][row], sizes).astype(np.uint32), sizes
+    return _gather(flat, begins[:-1][row], sizes).astype(np.uint32), sizes
 
 
 def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -258,6 +269,8 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
     ranks, kinds = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(classes())
     kind = np.uint16 if _encoder(vocabulary).n_vocab <= 1 << 16 else np.uint32
 
+    ranges = RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -266,49 +279,39 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         for batch in batches:
             texts = blocks.encoded(batch.column("text"))
             for first, end in blocks.pieces(texts, block):
-                word, n, where, per_text = word_rows(texts[first:end], kinds.value)
-                names = ["block", "word", "spots", "ids", "docs"]
-                none = lambda count: pa.nulls(count, pa.binary())
-                name = lambda count: pa.array(np.full(count, number, np.int64))  # noqa: B023, E731
+                word, hashes, n, where, per_text = word_rows(texts[first:end], kinds.value)
+                rows = []
                 rare = np.flatnonzero(n < hot)
-                yield pa.RecordBatch.from_arrays([name(len(rare)), word.take(pa.array(rare)), where.take(pa.array(rare)), none(len(rare)), none(len(rare))], names)
-                often = np.flatnonzero(n >= hot)
-                ids = _encoded(word.take(pa.array(often)).to_pylist(), encoder, kind)
-                yield pa.RecordBatch.from_arrays([name(len(often)), none(len(often)), where.take(pa.array(often)), ids, none(len(often))], names)
-                own = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, own.schema) as stream:
-                    stream.write_batch(own)
-                yield pa.RecordBatch.from_arrays([name(1), none(1), none(1), none(1), pa.array([out.getvalue().to_pybytes()], pa.binary())], names)
+                home = ((hashes[rare] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                for at in np.split(rare, np.flatnonzero(np.diff(home)) + 1):  # words come in the order of their hashes
+                    if len(at):
+                        own = pa.array(at)
+                        rows.append((int((int(hashes[at[0]]) >> 32) * ranges >> 32), _stream(pa.RecordBatch.from_arrays([word.take(own), where.take(own)], ["word", "spots"])), None))
+                often = pa.array(np.flatnonzero(n >= hot))
+                even = int(blocks.mix(np.array([number], np.uint64))[0] % np.uint64(ranges))
+                documents = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
+                known = pa.RecordBatch.from_arrays([where.take(often), _encoded(word.take(often).to_pylist(), encoder, kind)], ["spots", "ids"])
+                rows.append((even, _stream(known), _stream(documents)))
+                homes, data, docs_of = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(docs_of, pa.binary())], ["range", "block", "rows", "docs"])
                 number += 1
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks.value)
-        last, last_ids = None, None
+        encode_one = _encoder(ranks.value)._encode_single_piece
+        last, ids_of = None, {}
         for batch in batches:
-            words = batch.column("word")
-            known = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
-            ids = batch.column("ids")
-            if len(known):
-                own = words.take(pa.array(known))
-                flat, begins = _parts(own)
-                new = np.concatenate([[True], np.ones(len(own) - 1, bool)])
-                if len(own) > 1:
-                    new[1:] = pa.compute.not_equal(own.slice(1), own.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False)
-                heads = np.flatnonzero(new)
-                found = [flat[begins[i] : begins[i + 1]].tobytes() for i in heads.tolist()]
-                # the first word of a batch may be the last one of the batch before
-                told = last_ids if found[0] == last else None
-                fresh = _encoded(found if told is None else found[1:], encoder, kind)
-                every = fresh if told is None else pa.concat_arrays([told, fresh])
-                last, last_ids = found[-1], every.slice(len(every) - 1)
-                which = np.cumsum(new) - 1
-                place = np.full(batch.num_rows, -1, np.int64)
-                place[known] = which
-                both = pa.concat_arrays([every, ids])
-                at = np.where(place >= 0, place, len(every) + np.arange(batch.num_rows))
-                ids = both.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("spots"), ids, batch.column("docs")], ["block", "spots", "ids", "docs"])
+            for home, name, data, documents in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "rows", "docs"))):
+                if home != last:  # all rows of a range come one after the other
+                    last, ids_of = home, {}
+                own = _batch(data)
+                if documents is None:
+                    found = own.column("word").to_pylist()
+                    for w in found:
+                        if w not in ids_of:
+                            ids_of[w] = np.array(encode_one(w), kind).tobytes()
+                    ids = pa.array([ids_of[w] for w in found], pa.binary())
+                    data = _stream(pa.RecordBatch.from_arrays([own.column("spots"), ids], ["spots", "ids"]))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([data], pa.binary()), pa.array([documents], pa.binary())], ["block", "rows", "docs"])
 
     def assembled(rows: pa.Table) -> pa.Table:
         encoder = _encoder(ranks.value)
@@ -316,7 +319,8 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         token_sizes = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
         token_begins = np.cumsum(token_sizes) - token_sizes
         token_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
-        documents, ids, sizes = reassembled(rows, kind)
+        documents = next(_batch(x) for x in rows.column("docs").to_pylist() if x is not None)
+        ids, sizes = reassembled(documents, pa.Table.from_batches([_batch(x) for x in rows.column("rows").to_pylist()]), kind)
         cuts = np.concatenate([[0], np.cumsum(documents.column("n").to_numpy())])
         stops = np.concatenate([[0], np.cumsum(sizes)])[cuts]
         raw = memoryview(ids.astype("<u4")).cast("B")
@@ -327,9 +331,8 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int32)))
         return pa.table([documents.column("doc_id"), pa.array(np.diff(stops)), lists, pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(cut, "block long, word binary, spots binary, ids binary, docs binary")
-    even = F.when(F.col("word").isNull(), F.xxhash64("block", "spots")).otherwise(F.xxhash64("word"))
-    told = rows.repartition(even).sortWithinPartitions("word").mapInArrow(once, "block long, spots binary, ids binary, docs binary")
+    rows = docs.select("doc_id", "text").mapInArrow(cut, "range int, block long, rows binary, docs binary")
+    told = rows.repartition("range").sortWithinPartitions("range").mapInArrow(once, "block long, rows binary, docs binary")
     return told.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
