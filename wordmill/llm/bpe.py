@@ -177,16 +177,11 @@ def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an array of byte strings, joined, and where each begins (one entry more)."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = column.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
-    return flat, ends - ends[0]
+Strings = tuple[np.ndarray, np.ndarray]  # the bytes of several strings, joined, and the size of each
 
 
-def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Of a block's texts: the distinct pre-tokens in the order of their hashes, how often and where each stands, and the pre-tokens of each text."""
+def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[Strings, np.ndarray, np.ndarray, Strings, np.ndarray]:
+    """Of a block's texts: the distinct pre-tokens, their hashes, how often and where each stands, and the pre-tokens of each text."""
     hashes, seconds, counts, places, words, sizes, per_text = [], [], [], [], [], [], []
     total = 0
     for first, end in blocks.pieces(texts):
@@ -219,16 +214,36 @@ def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[pa.Array, n
     steps[heads] = spots[heads]
     data, lengths = packed(steps)
     word_begins = np.cumsum(sizes) - sizes
-    word = _binary(_gather(join(words).astype(np.uint8), word_begins[example], sizes[example]), sizes[example])
-    where = _binary(data, np.add.reduceat(lengths, heads) if len(heads) else lengths)
+    word = _gather(join(words).astype(np.uint8), word_begins[example], sizes[example]), sizes[example]
+    where = data, np.add.reduceat(lengths, heads) if len(heads) else lengths
     return word, distinct.astype(np.uint64), n, where, join(per_text).astype(np.int64)
 
 
-def _encoded(words: list[bytes], encoder, kind) -> pa.Array:
+def taken(strings: Strings, at: np.ndarray) -> Strings:
+    flat, sizes = strings
+    return _gather(flat, (np.cumsum(sizes) - sizes)[at], sizes[at]), sizes[at]
+
+
+def _texts(strings: Strings) -> list[bytes]:
+    return _binary(*strings).to_pylist()
+
+
+def first_bytes(strings: Strings) -> np.ndarray:
+    """The first eight bytes of each string as a number: close numbers make neighbours that compress well."""
+    flat, sizes = strings
+    begins = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    padded = np.append(flat, np.zeros(8, np.uint8)).astype(np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | np.where(sizes > k, padded[begins + k], np.uint64(0))
+    return out
+
+
+def _encoded(words: list[bytes], encoder, kind) -> Strings:
     found = [encoder._encode_single_piece(w) for w in words]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((i for x in found for i in x), kind, int(sizes.sum()))
-    return _binary(flat.view(np.uint8), sizes * flat.itemsize)
+    return flat.view(np.uint8), sizes * flat.itemsize
 
 
 def _stream(batch: pa.RecordBatch) -> bytes:
@@ -243,11 +258,23 @@ def _batch(data: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
-def reassembled(documents: pa.RecordBatch, rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a block by position, and how many each position has. Rows have ``spots`` and ``ids``."""
-    parts = lambda c: _parts(rows.column(c).combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    (spots, spot_ends), (flat, begins) = parts("spots"), parts("ids")
-    flat, begins = flat.copy().view(kind), begins // np.dtype(kind).itemsize
+def bundle(**columns: Strings) -> bytes:
+    """Strings under names as bytes, compressed; sizes as small numbers, which compress better than offsets."""
+    parts = {k: x for name, (flat, sizes) in columns.items() for k, x in ((name, flat), (f"{name} sizes", packed(sizes)[0]))}
+    return _stream(pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts.values()], list(parts)))
+
+
+def unbundled(data: bytes) -> dict[str, Strings]:
+    batch = _batch(data)
+    whole = {name: np.frombuffer(batch.column(name)[0].as_py(), np.uint8) for name in batch.schema.names}
+    return {name: (flat, unpacked(whole[f"{name} sizes"])[0]) for name, flat in whole.items() if not name.endswith(" sizes")}
+
+
+def reassembled(documents: pa.RecordBatch, rows: list[dict[str, Strings]], kind) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block by position, and how many each position has, from ``spots`` and ``ids``."""
+    joined = lambda name, i: np.concatenate([r[name][i] for r in rows])
+    spots, spot_ends = joined("spots", 0), np.concatenate([[0], np.cumsum(joined("spots", 1))])
+    flat, begins = joined("ids", 0).view(kind), np.concatenate([[0], np.cumsum(joined("ids", 1))]) // np.dtype(kind).itemsize
     steps, ends = unpacked(spots)
     counts = np.diff(np.searchsorted(ends, spot_ends, side="right"))
     sums = np.cumsum(steps)
@@ -283,15 +310,15 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
                 rows = []
                 rare = np.flatnonzero(n < hot)
                 home = ((hashes[rare] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                for at in np.split(rare, np.flatnonzero(np.diff(home)) + 1):  # words come in the order of their hashes
+                order = np.lexsort((first_bytes(taken(word, rare)), home))
+                rare, home = rare[order], home[order]
+                for at in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(home)) + 1):
                     if len(at):
-                        own = pa.array(at)
-                        rows.append((int((int(hashes[at[0]]) >> 32) * ranges >> 32), _stream(pa.RecordBatch.from_arrays([word.take(own), where.take(own)], ["word", "spots"])), None))
-                often = pa.array(np.flatnonzero(n >= hot))
+                        rows.append((int(home[at[0]]), bundle(words=taken(word, rare[at]), spots=taken(where, rare[at])), None))
+                often = np.flatnonzero(n >= hot)
                 even = int(blocks.mix(np.array([number], np.uint64))[0] % np.uint64(ranges))
                 documents = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
-                known = pa.RecordBatch.from_arrays([where.take(often), _encoded(word.take(often).to_pylist(), encoder, kind)], ["spots", "ids"])
-                rows.append((even, _stream(known), _stream(documents)))
+                rows.append((even, bundle(spots=taken(where, often), ids=_encoded(_texts(taken(word, often)), encoder, kind)), _stream(documents)))
                 homes, data, docs_of = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(docs_of, pa.binary())], ["range", "block", "rows", "docs"])
                 number += 1
@@ -303,14 +330,14 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
             for home, name, data, documents in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "rows", "docs"))):
                 if home != last:  # all rows of a range come one after the other
                     last, ids_of = home, {}
-                own = _batch(data)
                 if documents is None:
-                    found = own.column("word").to_pylist()
+                    own = unbundled(data)
+                    found = _texts(own["words"])
                     for w in found:
                         if w not in ids_of:
                             ids_of[w] = np.array(encode_one(w), kind).tobytes()
-                    ids = pa.array([ids_of[w] for w in found], pa.binary())
-                    data = _stream(pa.RecordBatch.from_arrays([own.column("spots"), ids], ["spots", "ids"]))
+                    ids = [ids_of[w] for w in found]
+                    data = bundle(spots=own["spots"], ids=(np.frombuffer(b"".join(ids), np.uint8), np.fromiter(map(len, ids), np.int64, len(ids))))
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([data], pa.binary()), pa.array([documents], pa.binary())], ["block", "rows", "docs"])
 
     def assembled(rows: pa.Table) -> pa.Table:
@@ -320,7 +347,7 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         token_begins = np.cumsum(token_sizes) - token_sizes
         token_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
         documents = next(_batch(x) for x in rows.column("docs").to_pylist() if x is not None)
-        ids, sizes = reassembled(documents, pa.Table.from_batches([_batch(x) for x in rows.column("rows").to_pylist()]), kind)
+        ids, sizes = reassembled(documents, [unbundled(x) for x in rows.column("rows").to_pylist()], kind)
         cuts = np.concatenate([[0], np.cumsum(documents.column("n").to_numpy())])
         stops = np.concatenate([[0], np.cumsum(sizes)])[cuts]
         raw = memoryview(ids.astype("<u4")).cast("B")
