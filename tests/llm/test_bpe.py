@@ -100,3 +100,17 @@ def test_a_missing_position_is_an_error():
     few = {"spots": bpe.taken(where, np.arange(2)), "ids": bpe.taken(ids, np.arange(2))}
     with pytest.raises(ArithmeticError, match="no word"):
         bpe.reassembled(documents, [few], np.uint16)
+
+
+def test_cuts_that_differ_are_an_error():
+    text = [b"a b a"]
+    word, hashes, n, where, per_text = bpe.word_rows(text, bpe.classes())
+    documents = bpe.pa.RecordBatch.from_arrays([bpe.pa.array([1]), bpe.pa.array(per_text)], ["doc_id", "n"])
+    ids = np.array([7, 8, 9], np.uint16).view(np.uint8), np.full(3, 2)
+    none = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    parts = np.array([[5], [3], [99]]).ravel().view(np.uint8), np.full(3, 8)
+    whole = bpe.bundle(spots=where, parts=parts, known_spots=none, known_ids=none)
+    rows = lambda check: bpe.pa.table({"range": [5, -1], "check": [check, 0], "rows": [bpe.bundle(ids=ids), whole], "docs": [None, bpe._stream(documents)]})
+    assert sorted(bpe.joined(rows(99), np.uint16)[1].tolist()) == [7, 8, 9]
+    with pytest.raises(ArithmeticError, match="different words"):
+        bpe.joined(rows(98), np.uint16)

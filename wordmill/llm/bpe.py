@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
-1. Texts are cut once, into pre-tokens with positions. A block (some megabytes of texts,
-   cut in pieces) lists each distinct pre-token with all its positions in the block, as
-   differences of few bytes. The list is dealt into ranges of the words' hashes, some for
-   each shuffle partition; what a block has of a range is packed into one row.
+1. Texts are cut into pre-tokens with positions. A block (some megabytes of texts, cut in
+   pieces) lists its distinct pre-tokens; the list is dealt into ranges of the words'
+   hashes, some for each shuffle partition, and what a block has of a range is packed
+   into one row.
 2. Rows are shuffled by range, so that all places of a word meet: each distinct word is
-   encoded once, and its ids join its positions. A word with ``HOT`` positions or more in
-   one block is encoded there, once for that block, and goes to a range by the block's
-   number: so no word is a hot key, however frequent.
-3. Rows go back to their blocks, where ids are reassembled by position. A position that
-   no word fills is an error.
+   encoded once. A word with ``HOT`` positions or more in one block is encoded there, once
+   for that block, so no word is a hot key, however frequent.
+3. Ids go back to their blocks, where they meet the positions of the words (differences
+   of few bytes, in the same order) and are reassembled by position. Positions are cut a
+   second time and go straight to the block: they are most of the bytes, and this way
+   are shuffled once. Sums of hashes tell that both cuts agree. A position that no word
+   fills is an error, too.
 4. Decoding joins ids with the table of token bytes (as large as the vocabulary, whatever
    the corpus), by place.
 
 Texts themselves are never shuffled, and nothing that grows is broadcast. A block's name
-is made of the task and the order of its rows, so ``docs`` must be a table that reads
+is made of the partition and the order of its rows, so ``docs`` must be a table that reads
 alike again, as files do.
 
 Pre-tokens are found on arrays of code points by character classes, which gives what
@@ -44,6 +46,7 @@ from wordmill.llm import blocks
 HOT, BLOCK = 256, 8 << 20
 #: Ranges of hashes for each shuffle partition.
 RANGES = 4
+ROW, ROWS = ["block", "range", "check", "rows", "docs"], "block long, range int, check long, rows binary, docs binary"
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that ``pre_tokens`` follows.
@@ -270,11 +273,26 @@ def unbundled(data: bytes) -> dict[str, Strings]:
     return {name: (flat, unpacked(whole[f"{name} sizes"])[0]) for name, flat in whole.items() if not name.endswith(" sizes")}
 
 
+def joined(rows: pa.Table, kind) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Of a block's rows: its documents, all ids by position, and how many each position has."""
+    homes, checks, data, docs = (rows.column(c).to_pylist() for c in ("range", "check", "rows", "docs"))
+    whole = homes.index(-1)
+    own = unbundled(data[whole])
+    parts = own["parts"][0].view(np.int64).reshape(3, -1)
+    order = sorted((i for i in range(len(homes)) if i != whole), key=lambda i: homes[i])
+    ids = [unbundled(data[i])["ids"] for i in order]
+    if [(homes[i], len(x[1]), checks[i]) for i, x in zip(order, ids)] != [tuple(x) for x in parts.T.tolist()]:
+        raise ArithmeticError("a block was cut into different words the second time")
+    every = tuple(np.concatenate([np.zeros(0, d), *(x[k] for x in ids)]) for k, d in ((0, np.uint8), (1, np.int64)))
+    documents = _batch(docs[whole])
+    return documents, *reassembled(documents, [{"spots": own["spots"], "ids": every}, {"spots": own["known_spots"], "ids": own["known_ids"]}], kind)
+
+
 def reassembled(documents: pa.RecordBatch, rows: list[dict[str, Strings]], kind) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block by position, and how many each position has, from ``spots`` and ``ids``."""
-    joined = lambda name, i: np.concatenate([r[name][i] for r in rows])
-    spots, spot_ends = joined("spots", 0), np.concatenate([[0], np.cumsum(joined("spots", 1))])
-    flat, begins = joined("ids", 0).view(kind), np.concatenate([[0], np.cumsum(joined("ids", 1))]) // np.dtype(kind).itemsize
+    every = lambda name, i: np.concatenate([r[name][i] for r in rows])
+    spots, spot_ends = every("spots", 0), np.concatenate([[0], np.cumsum(every("spots", 1))])
+    flat, begins = every("ids", 0).view(kind), np.concatenate([[0], np.cumsum(every("ids", 1))]) // np.dtype(kind).itemsize
     steps, ends = unpacked(spots)
     counts = np.diff(np.searchsorted(ends, spot_ends, side="right"))
     sums = np.cumsum(steps)
@@ -298,47 +316,55 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
 
     ranges = RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder = _encoder(ranks.value)
-        number = TaskContext.get().partitionId() << 32
+    def listed(batches: Iterator[pa.RecordBatch]):
+        """Each block's name, documents, words and where they stand; the words to encode elsewhere and their ranges."""
+        number = None
         for batch in batches:
+            if number is None:
+                number = batch.column("part")[0].as_py() << 32
             texts = blocks.encoded(batch.column("text"))
             for first, end in blocks.pieces(texts, block):
                 word, hashes, n, where, per_text = word_rows(texts[first:end], kinds.value)
-                rows = []
                 rare = np.flatnonzero(n < hot)
                 home = ((hashes[rare] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((first_bytes(taken(word, rare)), home))
                 rare, home = rare[order], home[order]
-                for at in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(home)) + 1):
-                    if len(at):
-                        rows.append((int(home[at[0]]), bundle(words=taken(word, rare[at]), spots=taken(where, rare[at])), None))
-                often = np.flatnonzero(n >= hot)
-                even = int(blocks.mix(np.array([number], np.uint64))[0] % np.uint64(ranges))
+                heads = np.flatnonzero(np.diff(home, prepend=-1))
+                checks = np.add.reduceat(hashes[rare], heads).view(np.int64) if len(heads) else np.zeros(0, np.int64)
                 documents = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
-                rows.append((even, bundle(spots=taken(where, often), ids=_encoded(_texts(taken(word, often)), encoder, kind)), _stream(documents)))
-                homes, data, docs_of = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(docs_of, pa.binary())], ["range", "block", "rows", "docs"])
+                yield number, documents, word, n, where, rare, home[heads], np.append(heads, len(rare)), checks
                 number += 1
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, word, _, _, rare, homes, cuts, checks in listed(batches):
+            data = [bundle(words=taken(word, rare[b:e])) for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(data), pa.int64()), pa.array(homes.astype(np.int32)), pa.array(checks), pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())], ROW)
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks.value)
+        for name, documents, word, n, where, rare, homes, cuts, checks in listed(batches):
+            often = np.flatnonzero(n >= hot)
+            parts = np.stack([homes, np.diff(cuts), checks]) if len(homes) else np.zeros((3, 0), np.int64)
+            whole = bundle(
+                spots=taken(where, rare), parts=(parts.astype(np.int64).ravel().view(np.uint8), np.full(parts.size, 8)), known_spots=taken(where, often), known_ids=_encoded(_texts(taken(word, often)), encoder, kind)
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([whole], pa.binary()), pa.array([_stream(documents)], pa.binary())], ROW)
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = _encoder(ranks.value)._encode_single_piece
         last, ids_of = None, {}
         for batch in batches:
-            for home, name, data, documents in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "rows", "docs"))):
+            out = []
+            for home, data in zip(batch.column("range").to_pylist(), batch.column("rows").to_pylist()):
                 if home != last:  # all rows of a range come one after the other
                     last, ids_of = home, {}
-                if documents is None:
-                    own = unbundled(data)
-                    found = _texts(own["words"])
-                    for w in found:
-                        if w not in ids_of:
-                            ids_of[w] = np.array(encode_one(w), kind).tobytes()
-                    ids = [ids_of[w] for w in found]
-                    data = bundle(spots=own["spots"], ids=(np.frombuffer(b"".join(ids), np.uint8), np.fromiter(map(len, ids), np.int64, len(ids))))
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([data], pa.binary()), pa.array([documents], pa.binary())], ["block", "rows", "docs"])
+                found = _texts(unbundled(data)["words"])
+                for w in found:
+                    if w not in ids_of:
+                        ids_of[w] = np.array(encode_one(w), kind).tobytes()
+                ids = [ids_of[w] for w in found]
+                out.append(bundle(ids=(np.frombuffer(b"".join(ids), np.uint8), np.fromiter(map(len, ids), np.int64, len(ids)))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("range"), batch.column("check"), pa.array(out, pa.binary()), batch.column("docs")], ROW)
 
     def assembled(rows: pa.Table) -> pa.Table:
         encoder = _encoder(ranks.value)
@@ -346,8 +372,7 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         token_sizes = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
         token_begins = np.cumsum(token_sizes) - token_sizes
         token_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
-        documents = next(_batch(x) for x in rows.column("docs").to_pylist() if x is not None)
-        ids, sizes = reassembled(documents, [unbundled(x) for x in rows.column("rows").to_pylist()], kind)
+        documents, ids, sizes = joined(rows, kind)
         cuts = np.concatenate([[0], np.cumsum(documents.column("n").to_numpy())])
         stops = np.concatenate([[0], np.cumsum(sizes)])[cuts]
         raw = memoryview(ids.astype("<u4")).cast("B")
@@ -358,9 +383,10 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int32)))
         return pa.table([documents.column("doc_id"), pa.array(np.diff(stops)), lists, pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(cut, "range int, block long, rows binary, docs binary")
-    told = rows.repartition("range").sortWithinPartitions("range").mapInArrow(once, "block long, rows binary, docs binary")
-    return told.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    own = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    told = own.mapInArrow(words, ROWS).repartition("range").sortWithinPartitions("range").mapInArrow(once, ROWS)
+    both = told.union(own.mapInArrow(positions, ROWS))
+    return both.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(ids: list[int], vocabulary: bytes) -> bytes:
