@@ -7,6 +7,8 @@ makes a longer piece.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,29 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def trim() -> None:
+    """Gives back memory that a worker process has freed but keeps, so that workers that wait hold little."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim_heap is not None:
+        trim_heap(0)
+
+
+def frugal(task):
+    """A task over batches that trims its worker's memory when it ends."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

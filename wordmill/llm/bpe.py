@@ -335,11 +335,13 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
                 yield number, documents, word, n, where, rare, home[heads], np.append(heads, len(rare)), checks
                 number += 1
 
+    @blocks.frugal
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, word, _, _, rare, homes, cuts, checks in listed(batches):
             data = [bundle(words=taken(word, rare[b:e])) for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(data), pa.int64()), pa.array(homes.astype(np.int32)), pa.array(checks), pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())], ROW)
 
+    @blocks.frugal
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value)
         for name, documents, word, n, where, rare, homes, cuts, checks in listed(batches):
@@ -350,6 +352,7 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
             )
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([whole], pa.binary()), pa.array([_stream(documents)], pa.binary())], ROW)
 
+    @blocks.frugal
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = _encoder(ranks.value)._encode_single_piece
         last, ids_of = None, {}
@@ -381,6 +384,7 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
             sha.append(hashlib.sha256(raw[4 * b : 4 * e]).hexdigest())
             back.append(hashlib.sha256(_gather(token_flat, token_begins[ids[b:e]], token_sizes[ids[b:e]]).tobytes()).hexdigest())
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int32)))
+        blocks.trim()
         return pa.table([documents.column("doc_id"), pa.array(np.diff(stops)), lists, pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     own = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))

@@ -76,6 +76,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, k: int, most: int, least: int) -> np.ndarray:
     """Hashes of the n-grams that most documents share, the most frequent last."""
 
+    @blocks.frugal
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(blocks.shingle_sets(blocks.encoded(batch.column("text")), k))
@@ -126,6 +127,7 @@ def features(docs: DataFrame, k: int, part: int, whole: int, hot: np.ndarray) ->
     order = np.argsort(hot)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
+    @blocks.frugal
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
@@ -162,6 +164,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 def roomy(pairs: DataFrame, feats: DataFrame, part: int, whole: int) -> DataFrame:
     """Of pairs(a, b), those whose sizes and bitmaps leave room for the overlap they need."""
 
+    @blocks.frugal
     def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
@@ -191,6 +194,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         .select("doc_id", "text")
     )
 
+    @blocks.frugal
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, texts = _texts(batch)
@@ -209,6 +213,7 @@ def alike(x: np.ndarray, y: np.ndarray, part: int, whole: int) -> bool:
 def similar(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """Of pairs(a, b), those similar enough, compared exactly."""
 
+    @blocks.frugal
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())
@@ -226,6 +231,7 @@ def ends(pairs: DataFrame) -> DataFrame:
 def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: int) -> DataFrame:
     """Pairs(a, b) of classes of different groups whose prefixes meet in an n-gram and whose sizes are in one band."""
 
+    @blocks.frugal
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
@@ -241,6 +247,7 @@ def tiles(feats: DataFrame, group: DataFrame, part: int, whole: int, buckets: in
             rows = [(int(home[x[0]]), keys[x].astype(np.uint32).tobytes(), ids[x].tobytes(), (ids[x] - groups[x]).tobytes(), n[x].astype(np.uint32).tobytes()) for x in np.split(order, cuts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "keys", "ids", "gaps", "sizes"])
 
+    @blocks.frugal
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: dict[str, list] = {"keys": [], "ids": [], "gaps": [], "sizes": []}
         for batch in batches:
@@ -382,6 +389,7 @@ def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE
 def _groups_without_id(docs: DataFrame, k: int) -> DataFrame:
     """The rows of ``groups`` for the rows that have no doc_id."""
 
+    @blocks.frugal
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = _texts(batch)

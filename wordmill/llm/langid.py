@@ -148,6 +148,7 @@ def fitted(docs: DataFrame, most: int = TRAINING) -> dict | None:
     keys = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many rows are broadcast
     rows = known.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("text").alias("text"))
 
+    @blocks.frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
@@ -177,6 +178,7 @@ def predicted(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @blocks.frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

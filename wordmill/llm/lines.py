@@ -101,6 +101,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _fingerprints(texts: DataFrame, window: int, long_words: int) -> DataFrame:
     """mark, n: the hashes of selected lines, each place counted once; sums of a piece of texts."""
 
+    @blocks.frugal
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = blocks.encoded(batch.column("text"))
@@ -120,6 +121,7 @@ def _positions(texts: DataFrame, marked, window: int, long_words: int) -> DataFr
     shared = spark.sparkContext.broadcast(marked)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
+    @blocks.frugal
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = blocks.encoded(batch.column("text"))

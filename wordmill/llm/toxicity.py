@@ -113,6 +113,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> np.ndarr
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many rows are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
+    @blocks.frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, labels, sentences_so_far, texts_so_far = [], [], 0, 0
         seen, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
@@ -140,6 +141,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score, worst (the number of the sentence likeliest to offend, from 0) and worst_score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @blocks.frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
@@ -173,6 +175,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = fitted(docs, labels.where(~held_out(F.col("doc_id"))))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @blocks.frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
