@@ -2,6 +2,12 @@
 
 A stage is a function of (spark, docs, sf_dir). Its rows are written as Parquet and read
 again as the next one's ``docs``; all but the last keep the columns of ``docs``.
+
+Defined cases: a null text stays null until the last stage, where it has no ids; texts
+without words are never toxic, equal nothing and get no second copy; rows of equal doc_id
+and text count as one document, all of which stay or go together; a null doc_id stays,
+since it equals nothing; a null source is a source of its own; empty tables give an empty
+table; columns of any name and any number are kept.
 """
 
 from __future__ import annotations
