@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from wordmill.llm import blocks
 
 #: Positions in a block from which a word is encoded in the block itself, and bytes of text in a block.
-HOT, BLOCK = 256, 8 << 20
+HOT, BLOCK = 256, 4 << 20
 #: Ranges of hashes for each shuffle partition.
 RANGES = 4
 ROW, ROWS = ["block", "range", "check", "rows", "docs"], "block long, range int, check long, rows binary, docs binary"
@@ -334,6 +334,7 @@ def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOC
                 documents = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(per_text)], ["doc_id", "n"])
                 yield number, documents, word, n, where, rare, home[heads], np.append(heads, len(rare)), checks
                 number += 1
+                blocks.trim()
 
     @blocks.frugal
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
