@@ -34,7 +34,27 @@ def trim() -> None:
         trim_heap(0)
 
 
-def frugal(task):
+def small(batches: Iterator, size: int = 4 * PIECE) -> Iterator:
+    """The same rows in batches of about ``size`` bytes of ``text``, where there is such a column; a longer text is a batch of its own."""
+    for batch in batches:
+        if "text" not in batch.schema.names or batch.num_rows < 2:
+            yield batch
+            continue
+        lengths = _lengths(batch.column("text"))
+        begins = np.cumsum(lengths) - lengths
+        home = begins // size
+        cuts = np.flatnonzero(np.diff(home)) + 1
+        for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(first, end - first)
+
+
+def _lengths(column) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def trimmed(task):
     """A task over batches that trims its worker's memory when it ends."""
 
     @functools.wraps(task)
@@ -47,6 +67,16 @@ def frugal(task):
     return run
 
 
+def frugal(task):
+    """``trimmed``, and the task gets its texts in small batches, so that what it makes of a batch is small, too."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(small(batches))
+
+    return trimmed(run)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,9 +88,9 @@ def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd base, and of its inverse, modulo 2**64."""
     if base in _powers and len(_powers[base][0]) > n:
         return _powers[base]
-    m = max(n, PIECE) + 1
+    m = max(1 << 18, 1 << max(n, 1).bit_length()) + 1
     both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
-    if m <= 2 * PIECE:  # longer ones, for a single very long text, aren't kept
+    if m <= 2 * PIECE + 1:  # longer ones, for a single very long text, aren't kept
         _powers[base] = both
     return both
 

@@ -44,6 +44,8 @@ from wordmill.llm import blocks
 
 #: Positions in a block from which a word is encoded in the block itself, and bytes of text in a block.
 HOT, BLOCK = 256, 4 << 20
+#: Bytes of text that are cut at once.
+PART = 1 << 18
 #: Ranges of hashes for each shuffle partition.
 RANGES = 4
 ROW, ROWS = ["block", "range", "check", "rows", "docs"], "block long, range int, check long, rows binary, docs binary"
@@ -187,7 +189,7 @@ def word_rows(texts: list[bytes | None], table: np.ndarray) -> tuple[Strings, np
     """Of a block's texts: the distinct pre-tokens, their hashes, how often and where each stands, and the pre-tokens of each text."""
     hashes, seconds, counts, places, words, sizes, per_text = [], [], [], [], [], [], []
     total = 0
-    for first, end in blocks.pieces(texts):
+    for first, end in blocks.pieces(texts, PART):
         piece = Piece(texts[first:end], table)
         per_text.append(np.bincount(piece.document(), minlength=end - first))
         hashes.append(piece.distinct)

@@ -76,7 +76,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, k: int, most: int, least: int) -> np.ndarray:
     """Hashes of the n-grams that most documents share, the most frequent last."""
 
-    @blocks.frugal
+    @blocks.trimmed
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(blocks.shingle_sets(blocks.encoded(batch.column("text")), k))
