@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
+from wordmill.llm.shared import modest
 
 #: Positions in a block from which a word is encoded in the block itself, and bytes of text in a block.
 HOT, BLOCK = 256, 4 << 20
@@ -312,6 +313,7 @@ def reassembled(documents: pa.RecordBatch, rows: list[dict[str, Strings]], kind)
 def encode(docs: DataFrame, vocabulary: bytes, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    modest(spark)
     # both as large as the vocabulary and the code points, whatever the corpus
     ranks, kinds = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(classes())
     kind = np.uint16 if _encoder(vocabulary).n_vocab <= 1 << 16 else np.uint32

@@ -25,8 +25,8 @@ tile the classes of its largest group meet only those outside it, not each other
 it, at most one link a class. What links connect is the result, so no link between
 different groups is lost.
 
-Frequent n-grams are found by counts over all documents. A batch reports those that it
-has at least twice, so a count may be short by one for each batch; only the order of
+Frequent n-grams are found by counts over all documents. Every ``COUNTED`` n-grams, a task
+reports those that it has at least twice, so a count may be short by one each time; only the order of
 n-grams, never a result, depends on it. The frequent n-grams that are broadcast are at
 most ``HOT`` (2 MB); where there are more, those with larger counts are taken.
 
@@ -47,12 +47,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
-from wordmill.llm.shared import components, dropped, released, written
+from wordmill.llm.shared import components, dropped, modest, released, written
 
 #: Words of an n-gram, and the threshold as a fraction: 100 * intersection >= 80 * union.
 WORDS, PART, WHOLE = 5, 80, 100
 #: n-grams counted as frequent at most, and the least count of one.
 HOT, HOT_LEAST = 1 << 18, 16
+#: n-grams that are counted before those that occur once are set aside.
+COUNTED = 1 << 23
 #: Keys of the first round for each class, and n-grams of prefixes that a bucket of tiles holds on average.
 STARS, BUCKET = 8, 400_000
 #: Classes of a tile that is compared at once, and of a block of a larger one.
@@ -76,13 +78,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, k: int, most: int, least: int) -> np.ndarray:
     """Hashes of the n-grams that most documents share, the most frequent last."""
 
-    @blocks.trimmed
+    @blocks.frugal
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reported(sets: list[np.ndarray]) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(found[n > 1])), pa.array(n[n > 1])], ["h", "n"])
+
+        sets: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            sets = list(blocks.shingle_sets(blocks.encoded(batch.column("text")), k))
-            if sets:
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(found[n > 1])), pa.array(n[n > 1])], ["h", "n"])
+            for s in blocks.shingle_sets(blocks.encoded(batch.column("text")), k):
+                sets.append(s)
+                held += len(s)
+                if held >= COUNTED:
+                    yield reported(sets)
+                    sets, held = [], 0
+        if sets:
+            yield reported(sets)
 
     spark = docs.sparkSession
     counts = written(spark, docs.select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
@@ -361,6 +373,7 @@ def groups(docs: DataFrame, k: int = WORDS, part: int = PART, whole: int = WHOLE
     several is a document of its own here, named by a hash; doc_ids tie their groups.
     """
     spark = docs.sparkSession
+    modest(spark)
     docs = docs.select("doc_id", "text")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select(F.col("doc_id").alias("of"))

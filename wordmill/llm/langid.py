@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
+from wordmill.llm.shared import modest
 
 #: Documents that are read for training at most, hash bits of trigrams, passes and the weight of the squared norm.
 TRAINING, BITS, PASSES, NORM = 2_500, 13, 120, 1e-4
@@ -144,6 +145,7 @@ def decide(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(docs: DataFrame, most: int = TRAINING) -> dict | None:
     """The model learned from ``docs`` (doc_id, text, lang); None if no text has a language and a letter."""
+    modest(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
     keys = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many rows are broadcast
     rows = known.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("text").alias("text"))

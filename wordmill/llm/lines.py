@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
-from wordmill.llm.shared import bitmap_of, dropped, maybe_in, released, spread_join, written
+from wordmill.llm.shared import bitmap_of, dropped, maybe_in, modest, released, spread_join, written
 
 #: Lines of a window, and words that make a shorter run a passage.
 WINDOW, LONG_WORDS = 3, 50
@@ -152,6 +152,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     ``digest`` is a hash of the text that tells rows with one doc_id apart.
     """
     spark = docs.sparkSession
+    modest(spark)
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text")
     repeated = _fingerprints(texts, window, long_words).where("n > 1")
     marked = bitmap_of(repeated.select("mark"), MARK_BITS)

@@ -13,6 +13,9 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python.
+ARROW_BYTES = 8 << 20
+
 _own: list[str] = []
 _folders: set[str] = set()
 
@@ -63,6 +66,16 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def modest(spark: SparkSession) -> None:
+    """Lets batches that go to Python hold at most ``ARROW_BYTES``, for this session, where nobody set another bound.
+
+    Both the executor's JVM and the worker hold a batch as a whole, beside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 class Bitmap:
     """A set of hashed keys in a fixed number of bits: what is in the set is always in it, and perhaps more is."""
 

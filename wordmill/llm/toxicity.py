@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
+from wordmill.llm.shared import modest
 
 #: Labelled documents that are read for training at most, hash bits of words, and passes.
 TRAINING, BITS, PASSES = 10_000, 20, 150
@@ -109,6 +110,7 @@ def train(features: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels:
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> np.ndarray:
     """Weights learned from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    modest(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many rows are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
