@@ -37,9 +37,12 @@ def test_equals_sql(spark, duck, name):
     assert rows == sorted(repr([r[i] for i in at]) for r in want.fetchall())
 
 
-def test_registry_without_the_training_data_folders(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_registry_without_the_training_data_folders(tmp_path, pipeline):
     """The entry module imports where the folders and the pipeline are absent, and says so by having fewer queries."""
     shutil.copytree(f"{REPO}/wordmill", tmp_path / "wordmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
+    if pipeline and os.path.exists(f"{REPO}/corpus_pipeline.py"):  # left behind, it has nothing to import
+        shutil.copy(f"{REPO}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert 'lex_coverage' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
