@@ -187,7 +187,7 @@ def roomy(pairs: DataFrame, feats: DataFrame, part: int, whole: int) -> DataFram
 
     side = lambda c: feats.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")).dropDuplicates([c])
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb"))
-    return written(feats.sparkSession, left.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long"), "room")
+    return written(feats.sparkSession, left.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(room, "a long, b long"), "room", packed=True)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:

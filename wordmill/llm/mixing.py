@@ -137,7 +137,7 @@ def plan(sizes: DataFrame, bins: int = BINS, weights: Sequence[float] = WEIGHTS,
 def mixed(docs: DataFrame, text: str = "text", bins: int = BINS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Adds size, source_size, target and copies; a document is meant to stand ``copies`` times in the mix."""
     spark = docs.sparkSession
-    sizes = written(spark, sized(docs.select("doc_id", "source", text), text).select("doc_id", "source", "size"), "sizes")
+    sizes = written(spark, sized(docs.select("doc_id", "source", text), text).select("doc_id", "source", "size"), "sizes", packed=True)
     # the plan has a row a source; written, so that its size is known where it is joined
     chosen = written(spark, plan(sizes, bins, weights, share, most), "mix").withColumnRenamed("source", "of")
     extra = F.substring("bits", _bin(bins) + 1, F.lit(1)) == "1"

@@ -36,14 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a read."""
+def written(spark: SparkSession, df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a read.
+
+    ``packed`` is for tables much smaller than what their tasks read: a shuffle of the few
+    rows puts them into files of a fair size, instead of a small one for every task.
+    """
     folder = f"{shared_dir(spark)}/wordmill-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_deleted, spark, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = df.hint("rebalance") if packed else df
+    # nothing looks for a marker of success: only this application reads the table, after the write
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._wordmill_path = path
     return table
