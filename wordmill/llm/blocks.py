@@ -1,8 +1,9 @@
 """Words and word hashes of many texts at once, on numpy arrays.
 
 Texts are joined into one byte array; prefix sums of a polynomial give the hash of any
-slice, so that no Python loop runs over words. Work is cut into pieces of a megabyte, which bounds memory whatever the texts' lengths; only a single longer text
-makes a longer piece.
+slice, so that no Python loop runs over words. Work is cut into pieces of a quarter of a
+megabyte, which bounds memory whatever the texts' lengths; only a single longer text makes
+a longer piece.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+#: Bytes of text of a quarter of a batch, and of what is worked on at once.
+PIECE, CUT = 1 << 20, 1 << 18
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _P = np.uint64(FIRST)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -90,7 +92,7 @@ def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
         return _powers[base]
     m = max(1 << 18, 1 << max(n, 1).bit_length()) + 1
     both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
-    if m <= 2 * PIECE + 1:  # longer ones, for a single very long text, aren't kept
+    if m <= 2 * CUT + 1:  # longer ones, for a single very long text, aren't kept
         _powers[base] = both
     return both
 
@@ -103,7 +105,7 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def pieces(texts: list, size: int = PIECE) -> Iterator[tuple[int, int]]:
+def pieces(texts: list, size: int = CUT) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts (bytes or None) of about ``size`` bytes."""
     first, total = 0, 0
     for i, t in enumerate(texts):
