@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, neardup, pii, topk, toxicity
+from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, neardup, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_licenses": licenses.op10_licenses,
+    "op12_packing": packing.op12_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
