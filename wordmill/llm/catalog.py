@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, jaccard, langid, licenses, lines, mixing, neardup, packing, pii, topk, toxicity
+from wordmill.llm import bpe, clustering, jaccard, langid, licenses, lines, mixing, neardup, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_licenses": licenses.op10_licenses,
     "op12_packing": packing.op12_packing,
+    "op13_clustering": clustering.op13_clustering,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op3_line_dedup": lines.ORACLE,
     "op7_neardup": neardup.ORACLE,
+    "op13_clustering": clustering.ORACLE,
 }

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, packed: bool = False, options: dict | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a read.
 
     ``packed`` is for tables much smaller than what their tasks read: a shuffle of the few
@@ -49,7 +49,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, packed: bool = False)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     rows = df.hint("rebalance") if packed else df
     # nothing looks for a marker of success: only this application reads the table, after the write
-    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    rows.write.options(**(options or {})).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._wordmill_path = path
     return table
