@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordmill.llm import bpe, clustering, jaccard, langid, licenses, lines, mixing, neardup, packing, pii, topk, toxicity
+from wordmill.llm import bpe, clustering, codes, jaccard, langid, licenses, lines, mixing, neardup, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_licenses": licenses.op10_licenses,
+    "op11_codes": codes.op11_codes,
     "op12_packing": packing.op12_packing,
     "op13_clustering": clustering.op13_clustering,
 }
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op3_line_dedup": lines.ORACLE,
     "op7_neardup": neardup.ORACLE,
+    "op11_codes": codes.ORACLE,
     "op13_clustering": clustering.ORACLE,
 }
