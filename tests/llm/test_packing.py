@@ -64,14 +64,34 @@ def test_characters_on_which_engines_differ():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(packing.tokenizer_source())
-    odd = regex.compile(f"[{packing.differing()}]")
+    odd = regex.compile(f"[{packing.engines()[0]}]")
     every = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not odd.match(c)]
-    assert len(every) > 1_090_000
+    assert len(every) > 1_090_000 and not odd.search("".join(map(chr, range(0x530))))
     for i in range(0, len(every), 50_000):
         text = "".join(f"a{c}1{c}!{c} " for c in every[i : i + 50_000])
         assert [o for _, o in t.pre_tokenizer.pre_tokenize_str(text)] == [m.span() for m in regex.finditer(packing.PATTERN, text)]
 
 
+def test_latin_texts_and_merges():
+    """Latin-1 texts are cut alike by the spelled-out classes; short words are merged as the tokenizer does."""
+    import re
+
+    import regex
+
+    rng = np.random.default_rng(2)
+    latin = re.compile(packing.engines()[1])
+    for _ in range(300):
+        text = "".join(map(chr, rng.choice([*range(256), *b"  \n'stmdrvel"], 400)))
+        assert latin.findall(text) == regex.findall(packing.PATTERN, text)
+    encoder = packing.Encoder(packing.tokenizer_source(), *packing.engines())
+    assert encoder.short
+    words = {"".join(map(chr, rng.choice([*range(33, 591), *range(97, 123)], 1 + k % 40))) for k in range(3000)}
+    texts = [w for w in words if not encoder.odd(w)]
+    assert list(encoder(texts)) == [np.array(direct(t)[:-1], "<u4").tobytes() for t in texts]
+    scrambled = packing.tokenizer_source().replace('"merges": [', '"merges": ["Ġ Ġ", ', 1)
+    assert packing.merge_ranks(packing.tokenizer_source()) and ("Ġ Ġ" not in scrambled or packing.merge_ranks(scrambled) is None)
+
+
 TEXTS = [None, "", " ", "a", "It's we'll  two\n\n three", "՘x ࢏1", "дом " * 3000, "x" * 5000, "word " * 4096, "ab　 cd\r\n", "<|endoftext|> end", "a" * 70 + " b", "end", "end"]
 
 
@@ -121,7 +141,7 @@ def test_pieces_and_sequences(spark, odd_rows, monkeypatch):
 
 
 def test_long_texts_in_parts():
-    encoder = packing.Encoder(packing.tokenizer_source(), packing.differing())
+    encoder = packing.Encoder(packing.tokenizer_source(), *packing.engines())
     text = "It's  a long\n text, of words " * 60_000 + "y" * 10
     parts = list(encoder.parts(text))
     assert len(parts) == 2 and "".join(parts) == text

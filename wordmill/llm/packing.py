@@ -19,8 +19,10 @@ open sequence whose remaining room is tightest, or opens a new one.
    their ids, on block and length, of which none is hot; the plan is a few rows for each
    length.
 
-Words are cut as the tokenizer cuts them, and each distinct one is encoded once by it in a
-worker's table of bounded size. Texts with characters on which the pattern's engines
+Words are cut as the tokenizer cuts them, and each distinct one is encoded once in a
+worker's table of bounded size: by the tokenizer, or, where its merges give ids in rising
+order, by merging the pair of the least id first, which is the same and faster for short
+words. Texts with characters on which the pattern's engines
 differ, or with the name of a special token (which the tokenizer takes for that token, as
 it does by default), are encoded whole; long texts are cut where a single space stands
 between two other characters, which is always a border of words.
@@ -35,7 +37,9 @@ and place in it, so that reruns over the same files agree.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -49,7 +53,7 @@ from wordmill.llm.shared import modest, written
 
 CAPACITY, END, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Characters that are cut into words at once; words that a worker keeps, and the longest of these.
-AT_ONCE, KEPT, LONGEST = 1 << 20, 1 << 18, 64
+AT_ONCE, KEPT, LONGEST = 1 << 20, 1 << 19, 64
 # Fixed value: the pattern that the tokenizer cuts words by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -125,43 +129,58 @@ def placed(plan: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 
 
 @cache
-def _tokenizer(source: str):
-    import tokenizers
-
-    return tokenizers.Tokenizer.from_str(source)
-
-
-@cache
-def differing() -> str:
-    """The characters on which the tokenizer's pattern engine and ours differ (newer ones, mostly), as the inside of a character class."""
+def engines() -> tuple[str, str]:
+    """The characters on which the tokenizer's pattern engine and ours differ (newer ones, mostly), as the inside of a character class; and the pattern for Latin-1 texts, its classes spelled out."""
     import regex
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     odd = np.zeros(len(every) + 1, np.int64)
+    latin = PATTERN
     for kind in (r"\p{L}", r"\p{N}", r"\s"):
         theirs, ours = np.zeros(len(every) + 1, np.int64), np.zeros(len(every) + 1, np.int64)
-        for _, (first, end) in Split(Regex(f"(?:(?!{kind}).)+" if kind != r"\s" else r"\S+"), "removed").pre_tokenize_str(every):
+        for _, (first, end) in Split(Regex(f"[^{kind}]+"), "removed").pre_tokenize_str(every):
             theirs[first:end] = 1
         for m in regex.finditer(f"{kind}+", every):
             ours[m.start() : m.end()] = 1
         odd |= theirs ^ ours
+        listed = "".join(f"\\x{c:02x}" for c in np.flatnonzero(theirs[:256]).tolist())
+        latin = latin.replace(r"\S", f"[^{listed}]") if kind == r"\s" else latin
+        latin = latin.replace(f"{kind}+", f"[{listed}]+").replace(kind, listed)
     edges = np.flatnonzero(np.diff(odd, prepend=0))
-    return "".join(f"\\U{ord(every[a]):08x}-\\U{ord(every[b - 1]):08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+    return "".join(f"\\U{ord(every[a]):08x}-\\U{ord(every[b - 1]):08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())), latin
+
+
+def merge_ranks(source: str) -> dict[bytes, int] | None:
+    """The ids of all byte strings, if merging by the least id is what the tokenizer does: its merges give ids in rising order."""
+    model = json.loads(source)["model"]
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])) or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word)}
 
 
 class Encoder:
     """Texts to ids as four bytes each; words that were met stay, up to ``KEPT`` of them."""
 
-    def __init__(self, source: str, odd: str):
+    def __init__(self, source: str, odd: str, latin: str):
+        import re
+
         import regex
+        import tiktoken
+        import tokenizers
 
-        self.tokenizer = _tokenizer(source)
-        self.words = regex.compile(PATTERN).findall
+        self.tokenizer = tokenizers.Tokenizer.from_str(source)
+        self.words, self.latin_words = regex.compile(PATTERN).findall, re.compile(latin).findall
         self.border = regex.compile(r"(?<=\S) (?=\S)").search
         self.odd = regex.compile(f"[{odd}]").search if odd else lambda text: None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = merge_ranks(source)
+        self.short = ranks and tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -169,16 +188,16 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that aren't known yet."""
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
         if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(words)
-        self.known.update(zip(new, self._whole(new)))
+            self.known, new = {}, words
+        new = [w for w in new if len(w) <= LONGEST]
+        self.known.update(zip(new, (array("I", self.short(w)).tobytes() for w in new) if self.short else self._whole(new)))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; texts of some megabytes together."""
         cut = [self._cut(t) if t else [] for t in texts]
-        self.learn({w for words in cut if words is not None for w in words if len(w) <= LONGEST})
+        self.learn(set().union(*(words for words in cut if words is not None)))
         known = self.known
         for text, words in zip(texts, cut):
             if words is None:
@@ -190,8 +209,13 @@ class Encoder:
                 yield b"".join(known[w] if w in known else self._whole([w])[0] for w in words)
 
     def _cut(self, text: str) -> list[str] | None:
-        whole = any(name in text for name in self.special) or not text.isascii() and self.odd(text)
-        return None if whole else self.words(text)
+        if any(name in text for name in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if self.odd(text) else self.words(text)
+        return self.latin_words(text)
 
     def parts(self, text: str | None) -> Iterator[str | None]:
         """A long text in parts that are encoded like the whole."""
@@ -202,6 +226,12 @@ class Encoder:
         yield text[first:] if first else text
 
 
+@cache
+def _encoder(source: str, odd: str, latin: str) -> Encoder:
+    """A worker's encoder, whose words serve its later tasks, too."""
+    return Encoder(source, odd, latin)
+
+
 def tokenizer_source(name: str = VOCABULARY) -> str:
     """The file of a public tokenizer, read on the driver; executors get it by broadcast."""
     import public_tokenizers
@@ -216,7 +246,7 @@ def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, ids: bool = F
     """doc_id, piece, start, length, ids_crc32, block, within (and ids) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     modest(spark)
-    shared = spark.sparkContext.broadcast((source, differing()))  # as large as the vocabulary
+    shared = spark.sparkContext.broadcast((source, *engines()))  # as large as the vocabulary
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, within long" + ", ids array<int>" * ids
     end = np.array([END], "<u4").tobytes()
@@ -226,7 +256,7 @@ def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, ids: bool = F
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-        encoder = Encoder(*shared.value)
+        encoder = _encoder(*shared.value)
         met = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows, piece, starts, lengths, sums, flat = [], [], [], [], [], []
