@@ -18,14 +18,14 @@ BAD_SCHEME = 255
 LONGEST = 47
 
 # Token patterns. Words of letters; Russian letters; words with hyphens and apostrophes.
-LETTERS, RUSSIAN, HYPHENATED = r"(\p{L}+)", "([а-яА-ЯёЁ]+)", r"(\p{L}[\p{L}'-]*)"
+LETTERS, RUSSIAN, HYPHENATED = r"\p{L}+", "[а-яА-ЯёЁ]+", r"\p{L}[\p{L}'-]*"
 # What single-byte tokenizers take for words. Anything beyond ASCII is a letter in all but CYRILLIC.
-EXTENDED, CYRILLIC, UPPER_HALF = r"([A-Za-z\x{80}-\x{10FFFF}]+)", "([А-Яа-яЁё][А-Яа-яЁё-]*)", r"([A-\x{10FFFF}][A-\x{10FFFF}'-]*)"
+EXTENDED, CYRILLIC, UPPER_HALF = r"[A-Za-z\x{80}-\x{10FFFF}]+", "[А-Яа-яЁё][А-Яа-яЁё-]*", r"[A-\x{10FFFF}][A-\x{10FFFF}'-]*"
 
 
 def tokens(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a token of ``least`` characters or more, with the columns in ``keep``."""
-    return table.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("token")).where(F.length("token") >= least)
+    """One row a token (a whole match of ``pattern``) of ``least`` characters or more, with the columns in ``keep``."""
+    return table.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("token")).where(F.length("token") >= least)
 
 
 def words(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 1) -> DataFrame:
