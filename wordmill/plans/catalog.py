@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,24 @@ from wordmill.sources import lexicon, words
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+_chosen: ContextVar[DataFrame | None] = ContextVar("forms of the queries that are being planned", default=None)
+
+
+def forms_of(spark: SparkSession) -> DataFrame:
+    """The word forms that a query is planned over: those of ``planned_over``, else the lexicon that comes with the package."""
+    chosen = _chosen.get()
+    return lexicon.forms(spark) if chosen is None else chosen
+
+
+@contextmanager
+def planned_over(forms: DataFrame):
+    """Queries planned within look up these forms."""
+    token = _chosen.set(forms)
+    try:
+        yield
+    finally:
+        _chosen.reset(token)
+
 
 def _articles_sql() -> str:
     """The lexicon's lines as VALUES, cut into fields by SQL."""
@@ -82,12 +103,12 @@ def distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lex_expand", "select lexeme_id, pos, form_id, ending, form, surface, lemma, min_cap from forms")
 def lex_expand(spark, sf_dir):
-    return lexicon.forms(spark).select("lexeme_id", "pos", "form_id", "ending", "form", "surface", "lemma", "min_cap")
+    return forms_of(spark).select("lexeme_id", "pos", "form_id", "ending", "form", "surface", "lemma", "min_cap")
 
 
 @register("lex_lexemes", "select * from lexemes")
 def lex_lexemes(spark, sf_dir):
-    return lexicon.lexemes(lexicon.forms(spark))
+    return lexicon.lexemes(forms_of(spark))
 
 
 @register("tok_tokens", "select lang, token, folded, n from tokens where length(token) >= 2", lex=False, tok=True)
@@ -118,7 +139,7 @@ KNOWN = "select distinct form from forms"
 
 @register("lex_coverage", f"select lang, cast(sum(n) as bigint) as total, cast(sum(case when folded in ({KNOWN}) then n else 0 end) as bigint) as known from tokens group by lang", tok=True)
 def lex_coverage(spark, sf_dir):
-    return stats.coverage(corpus(spark, sf_dir), lexicon.forms(spark), "lang")
+    return stats.coverage(corpus(spark, sf_dir), forms_of(spark), "lang")
 
 
 for _name, _text in (("conversations", "text"), ("benchmark", "text"), ("pages", "html")):
@@ -130,17 +151,17 @@ for _name, _text in (("conversations", "text"), ("benchmark", "text"), ("pages",
     )
     def _coverage(spark, sf_dir, name=_name, text=_text):
         rows = table(spark, sf_dir, name).select(F.lit(name).alias("source"), (T.without_tags(F.col(text)) if name == "pages" else F.col(text)).alias("text"))
-        return stats.coverage(T.counted(T.tokens(rows, least=1, keep=("source",)), "source"), lexicon.forms(spark), "source")
+        return stats.coverage(T.counted(T.tokens(rows, least=1, keep=("source",)), "source"), forms_of(spark), "source")
 
 
 @register("check_word", f"select distinct token from tokens where folded in ({KNOWN})", tok=True)
 def check_word(spark, sf_dir):
-    return exact.check_word(distinct_tokens(spark, sf_dir), lexicon.forms(spark)).select("token")
+    return exact.check_word(distinct_tokens(spark, sf_dir), forms_of(spark)).select("token")
 
 
 @register("unknown_words", f"select token, cast(sum(n) as bigint) as n from tokens where folded not in ({KNOWN}) group by token", tok=True)
 def unknown_words(spark, sf_dir):
-    return exact.unknown_words(distinct_tokens(spark, sf_dir), lexicon.forms(spark)).select("token", "n")
+    return exact.unknown_words(distinct_tokens(spark, sf_dir), forms_of(spark)).select("token", "n")
 
 
 @register(
@@ -149,12 +170,12 @@ def unknown_words(spark, sf_dir):
     tok=True,
 )
 def check_word_casesens(spark, sf_dir):
-    return exact.check_word(distinct_tokens(spark, sf_dir), lexicon.forms(spark), ignore_case=False).select("token")
+    return exact.check_word(distinct_tokens(spark, sf_dir), forms_of(spark), ignore_case=False).select("token")
 
 
 @register("lemmatize", "select distinct token, lexeme_id, lemma, pos, form_id from tokens join forms on folded = form", tok=True)
 def lemmatize(spark, sf_dir):
-    return exact.lemmatize(distinct_tokens(spark, sf_dir), lexicon.forms(spark))
+    return exact.lemmatize(distinct_tokens(spark, sf_dir), forms_of(spark))
 
 
 @register(
@@ -163,64 +184,64 @@ def lemmatize(spark, sf_dir):
     tok=True,
 )
 def lemmatize_nested(spark, sf_dir):
-    return exact.lemmatize_nested(distinct_tokens(spark, sf_dir), lexicon.forms(spark)).withColumn("grams", F.array_join(F.transform("grams", lambda x: x.cast("string")), ","))
+    return exact.lemmatize_nested(distinct_tokens(spark, sf_dir), forms_of(spark)).withColumn("grams", F.array_join(F.transform("grams", lambda x: x.cast("string")), ","))
 
 
 @register("part_of_speech", "with ids as (select unnest(range(0, 9000)) as lexeme_id) select lexeme_id, coalesce(pos, 0) as pos from ids left join lexemes using (lexeme_id)")
 def part_of_speech(spark, sf_dir):
-    return exact.part_of_speech(spark.range(9000).withColumnRenamed("id", "lexeme_id"), lexicon.lexemes(lexicon.forms(spark)))
+    return exact.part_of_speech(spark.range(9000).withColumnRenamed("id", "lexeme_id"), lexicon.lexemes(forms_of(spark)))
 
 
 @register("build_form", "select lexeme_id, form_id, surface from forms where form_id = 1")
 def build_form(spark, sf_dir):
-    return exact.build_form(lexicon.forms(spark), form_id=1)
+    return exact.build_form(forms_of(spark), form_id=1)
 
 
 @register("build_paradigm", "select lexeme_id, form_id, surface from forms where lexeme_id = 100")
 def build_paradigm(spark, sf_dir):
-    return exact.build_form(lexicon.forms(spark), lexeme_id=100)
+    return exact.build_form(forms_of(spark), lexeme_id=100)
 
 
 @register("find_forms", "with own as (select distinct token, lexeme_id from tokens join forms on folded = form) select token, own.lexeme_id, surface from own join forms f on f.lexeme_id = own.lexeme_id and f.form_id = 3", tok=True)
 def find_forms(spark, sf_dir):
-    return exact.find_forms(distinct_tokens(spark, sf_dir), lexicon.forms(spark), 3).select("token", "lexeme_id", "surface")
+    return exact.find_forms(distinct_tokens(spark, sf_dir), forms_of(spark), 3).select("token", "lexeme_id", "surface")
 
 
 @register("lemma_frequency", "with own as (select distinct form, lexeme_id, lemma from forms) select lexeme_id, lemma, cast(sum(n) as bigint) as n from tokens join own on folded = form group by all", tok=True)
 def lemma_frequency(spark, sf_dir):
-    return stats.frequency(distinct_tokens(spark, sf_dir), lexicon.forms(spark))
+    return stats.frequency(distinct_tokens(spark, sf_dir), forms_of(spark))
 
 
 @register("pos_by_lang", "with own as (select distinct form, pos from forms) select lang, pos, cast(sum(n) as bigint) as n from tokens join own on folded = form group by all", tok=True)
 def pos_by_lang(spark, sf_dir):
-    return stats.pos_by(corpus(spark, sf_dir), lexicon.forms(spark), "lang")
+    return stats.pos_by(corpus(spark, sf_dir), forms_of(spark), "lang")
 
 
 for _name, _pattern in (("prefix", "s*"), ("infix", "a*ed"), ("single", "?a?"), ("double", "w**k*")):
 
     @register(f"find_match_{_name}", f"select distinct lexeme_id, form, form_id from forms where form like '{wildcard.like(_pattern)}' escape '\\'")
     def _match(spark, sf_dir, pattern=_pattern):
-        return wildcard.find_match(lexicon.forms(spark), pattern)
+        return wildcard.find_match(forms_of(spark), pattern)
 
 
 @register("find_first_match", "select lexeme_id, min(form) as form from forms where form like 'p%' group by lexeme_id")
 def find_first_match(spark, sf_dir):
-    return wildcard.first_matches(lexicon.forms(spark), "p*")
+    return wildcard.first_matches(forms_of(spark), "p*")
 
 
 @register("enumerate_words", "select distinct lexeme_id, form_id from forms where form like '%ing'")
 def enumerate_words(spark, sf_dir):
-    return wildcard.enumerate_words(lexicon.forms(spark), "*ing")
+    return wildcard.enumerate_words(forms_of(spark), "*ing")
 
 
 @register("next_chars", "select distinct substr(form, 3, 1) as next_char from forms where form like 'pa_%'")
 def next_chars(spark, sf_dir):
-    return wildcard.next_chars(lexicon.forms(spark), "pa")
+    return wildcard.next_chars(forms_of(spark), "pa")
 
 
 @register("letters_filter", "select distinct lexeme_id, form, form_id from forms where form like '_____' and contains(form, 'e') and not regexp_matches(form, '[so]')")
 def letters_filter(spark, sf_dir):
-    return wildcard.letters_filter(lexicon.forms(spark), "?????", "e", "so")
+    return wildcard.letters_filter(forms_of(spark), "?????", "e", "so")
 
 
 CLASSES = """g as (select lexeme_id, pos, min(form) as low, max(form) as high, min(lemma) as sample from forms where form_id <> 255 group by lexeme_id, pos),
@@ -238,10 +259,12 @@ _tables: dict = {}
 
 def _fuzzy(spark):
     """Tables as large as the lexicon at most; made and cached once a session, since hypotheses read each several times."""
-    session = spark.sparkContext.applicationId
+    forms = forms_of(spark)
+    session = spark.sparkContext.applicationId, forms.semanticHash()
     if session not in _tables:
-        _tables.clear()
-        extracted = fuzzy.extract(lexicon.forms(spark)).cache()
+        for gone in [k for k in _tables if k[0] != session[0]]:
+            del _tables[gone]
+        extracted = fuzzy.extract(forms).cache()
         classed = fuzzy.classes(extracted).cache()
         model, ending = fuzzy.models(extracted, classed).cache(), fuzzy.endings(classed).cache()
         _tables[session] = extracted, classed, model, ending, fuzzy.suffix_index(model, ending).cache()
@@ -302,12 +325,12 @@ form_prior as (select pos, form_id, round(n / sum(n) over (partition by pos), 6)
 
 @register("pos_prior", f"with {PRIORS} select pos, share from pos_prior", tok=True)
 def pos_prior(spark, sf_dir):
-    return stats.pos_prior(stats.fractions(distinct_tokens(spark, sf_dir), lexicon.forms(spark)))
+    return stats.pos_prior(stats.fractions(distinct_tokens(spark, sf_dir), forms_of(spark)))
 
 
 @register("form_prior", f"with {PRIORS} select pos, form_id, share from form_prior", tok=True)
 def form_prior(spark, sf_dir):
-    return stats.form_prior(stats.fractions(distinct_tokens(spark, sf_dir), lexicon.forms(spark)))
+    return stats.form_prior(stats.fractions(distinct_tokens(spark, sf_dir), forms_of(spark)))
 
 
 HYPOTHESES = f"""{CLASSES}, {PRIORS},
@@ -325,7 +348,7 @@ ranked as (select *, cast(row_number() over (partition by word order by weight d
 
 def _hypotheses(spark, sf_dir, words=None):
     """Hypotheses for unknown words. One table of distinct words gives the priors and the words; its scan is shared."""
-    forms = lexicon.forms(spark)
+    forms = forms_of(spark)
     words = T.words(table(spark, sf_dir, "documents")) if words is None else words
     _, classed, _, ending, index = _fuzzy(spark)
     found = stats.fractions(words, forms)
@@ -350,7 +373,7 @@ def fuzzy_top1(spark, sf_dir):
 )
 def exact_then_fuzzy(spark, sf_dir):
     words = T.words(table(spark, sf_dir, "documents"))
-    lemmas = lexicon.forms(spark).select(F.col("form").alias("word"), "lexeme_id", "lemma").distinct()
+    lemmas = forms_of(spark).select(F.col("form").alias("word"), "lexeme_id", "lemma").distinct()
     known = words.join(lexicon.for_join(lemmas), F.col("folded") == F.col("word"))
     return known.select("word", "lemma", F.lit(True).alias("exact")).unionByName(_hypotheses(spark, sf_dir, words).where("rank = 1").select("word", "lemma", F.lit(False).alias("exact")))
 
@@ -395,12 +418,12 @@ def duplicate_ids(spark, sf_dir):
     select lexeme_id, stem, array_to_string(list_transform(f, lambda x: x[len(stem) + 1:]), ',') as forms from p""",
 )
 def dict_dump(spark, sf_dir):
-    return stats.dump(lexicon.forms(spark))
+    return stats.dump(forms_of(spark))
 
 
 @register("dict_diff", "with o as (select distinct lexeme_id, form from forms where pos <> 3), w as (select distinct lexeme_id, form from forms where pos <> 1) (select '<<' as side, * from (from o except all from w)) union all (select '>>' as side, * from (from w except all from o))")
 def dict_diff(spark, sf_dir):
-    forms = lexicon.forms(spark).select("lexeme_id", "form", "pos").distinct()
+    forms = forms_of(spark).select("lexeme_id", "form", "pos").distinct()
     return stats.diff(forms.where("pos <> 3").select("lexeme_id", "form"), forms.where("pos <> 1").select("lexeme_id", "form"))
 
 

@@ -368,12 +368,12 @@ def plural_filter(spark, sf_dir):
 # --- lookups ----------------------------------------------------------------------------------------------------------
 @register("lemmatize_ids", "select distinct token, lexeme_id from tokens join forms on folded = form", tok=True)
 def lemmatize_ids(spark, sf_dir):
-    return exact.lemmatize(distinct_tokens(spark, sf_dir), lexicon.forms(spark), lemma=False, grammar=False)
+    return exact.lemmatize(distinct_tokens(spark, sf_dir), catalog.forms_of(spark), lemma=False, grammar=False)
 
 
 @register("lemmatize_first", "select token, arg_min(lexeme_id, (lexeme_id, form_id)) as lexeme_id, arg_min(form_id, (lexeme_id, form_id)) as form_id from tokens join forms on folded = form group by token", tok=True)
 def lemmatize_first(spark, sf_dir):
-    return exact.first_only(distinct_tokens(spark, sf_dir), lexicon.forms(spark))
+    return exact.first_only(distinct_tokens(spark, sf_dir), catalog.forms_of(spark))
 
 
 @register(
@@ -383,7 +383,7 @@ def lemmatize_first(spark, sf_dir):
     tok=True,
 )
 def lemmatize_json(spark, sf_dir):
-    return exact.as_json(distinct_tokens(spark, sf_dir), lexicon.forms(spark))
+    return exact.as_json(distinct_tokens(spark, sf_dir), catalog.forms_of(spark))
 
 
 @register(
@@ -393,28 +393,28 @@ def lemmatize_json(spark, sf_dir):
     tok=True,
 )
 def lexeme_order(spark, sf_dir):
-    hits = exact.hits(distinct_tokens(spark, sf_dir), lexicon.forms(spark)).groupBy("token", "lexeme_id").agg(F.max(F.length("form") - F.length("ending")).alias("stem_len"))
+    hits = exact.hits(distinct_tokens(spark, sf_dir), catalog.forms_of(spark)).groupBy("token", "lexeme_id").agg(F.max(F.length("form") - F.length("ending")).alias("stem_len"))
     return resolver.ordered(hits)
 
 
 @register("find_match_grouped", "with m as (select distinct lexeme_id, form, form_id from forms where form like 's%') select lexeme_id, string_agg(form || ':' || form_id, ',' order by form, form_id) as matches from m group by lexeme_id")
 def find_match_grouped(spark, sf_dir):
-    return wildcard.grouped_matches(lexicon.forms(spark), "s*").select("lexeme_id", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["form"], m["form_id"].cast("string"))), ",").alias("matches"))
+    return wildcard.grouped_matches(catalog.forms_of(spark), "s*").select("lexeme_id", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["form"], m["form_id"].cast("string"))), ",").alias("matches"))
 
 
 @register("find_match_callback", "with m as (select distinct lexeme_id, form, form_id from forms where form like '%ed') select lexeme_id, cast(count(*) as bigint) as n, min(form) as first from m group by lexeme_id")
 def find_match_callback(spark, sf_dir):
-    return wildcard.each_match(lexicon.forms(spark), "*ed", lambda lexeme, found: [(lexeme, len(found), found[0][0])], "lexeme_id long, n long, first string")
+    return wildcard.each_match(catalog.forms_of(spark), "*ed", lambda lexeme, found: [(lexeme, len(found), found[0][0])], "lexeme_id long, n long, first string")
 
 
 @register("nouns_by_mask", "select distinct lexeme_id, form, form_id from forms where pos = 1 and form_id in (0, 255) and form like '____' and contains(form, 'e') and not regexp_matches(form, '[xz]')")
 def nouns_by_mask(spark, sf_dir):
-    return wildcard.nouns_by_mask(lexicon.forms(spark), "????", "e", "xz", pos=(1, 1))
+    return wildcard.nouns_by_mask(catalog.forms_of(spark), "????", "e", "xz", pos=(1, 1))
 
 
 @register("without_range", "select lexeme_id, lemma from lexemes where lexeme_id < 2000 or lexeme_id > 4999")
 def without_range(spark, sf_dir):
-    return exact.without_range(lexicon.lexemes(lexicon.forms(spark)).select("lexeme_id", "lemma"), 2000, 4999)
+    return exact.without_range(lexicon.lexemes(catalog.forms_of(spark)).select("lexeme_id", "lemma"), 2000, 4999)
 
 
 @register("wildcard_kind", "select * from (values ('*', true, true), ('***', true, true), ('a*', true, false), ('a?b', true, false), ('abc', false, false), ('', false, false)) t(pattern, wildcard, asterisk)", lex=False)
@@ -424,7 +424,7 @@ def wildcard_kind(spark, sf_dir):
 
 @register("normal_form_min", "with f as (select lexeme_id, form, form_id, min(form_id) over (partition by lexeme_id) as low from forms) select lexeme_id, min(form) as normal from f where form_id = low group by lexeme_id")
 def normal_form_min(spark, sf_dir):
-    own = lexicon.forms(spark).groupBy("lexeme_id", "form_id").agg(F.min("form").alias("form"))
+    own = catalog.forms_of(spark).groupBy("lexeme_id", "form_id").agg(F.min("form").alias("form"))
     return own.groupBy("lexeme_id").agg(F.min(F.struct("form_id", "form"))["form"].alias("normal"))
 
 
@@ -456,12 +456,12 @@ def suffix_reversed(spark, sf_dir):
     select distinct key, class_id, form_id, power from suffix_index where ends_with(key, 'king') or key in ('ing', 'ng') and (key = 'ing' and 'kin' in (select t from tri) or key = 'ng' and 'ing' in (select t from tri)) or key = 'g'""",
 )
 def fuzzy_wildcard(spark, sf_dir):
-    return fuzzy.wild_probe(catalog._fuzzy(spark)[4], "w*king", fuzzy.trigraphs(lexicon.forms(spark)))
+    return fuzzy.wild_probe(catalog._fuzzy(spark)[4], "w*king", fuzzy.trigraphs(catalog.forms_of(spark)))
 
 
 @register("trigraphs", "select distinct unnest(list_transform(range(1, length(form) - 1), lambda i: form[i:i + 2])) as tri from forms where length(form) >= 3")
 def trigraphs(spark, sf_dir):
-    return fuzzy.trigraphs(lexicon.forms(spark))
+    return fuzzy.trigraphs(catalog.forms_of(spark))
 
 
 @register(
@@ -521,7 +521,7 @@ samples as (select e.n, f[2]::bigint as power, cast(f[3] as integer) as ending_l
 
 
 def _samples(spark, sf_dir):
-    forms = lexicon.forms(spark)
+    forms = catalog.forms_of(spark)
     words = T.words(table(spark, sf_dir, "documents"))
     known = words.where(F.col("size").between(2, T.LONGEST)).join(lexicon.for_join(forms.select("form").distinct()), F.col("folded") == F.col("form"), "left_semi")
     _, classed, _, ending, index = catalog._fuzzy(spark)
@@ -559,7 +559,7 @@ def id_pages(spark, sf_dir):
 # --- marks and games --------------------------------------------------------------------------------------------------
 @register("marked_stems", "select form, left(form, length(form) - length(ending)) || '|' || right(form, length(ending)) as marked from (select distinct form, ending, pos from forms where form_id = 2)")
 def marked_stems(spark, sf_dir):
-    own = lexicon.forms(spark).where("form_id = 2").select("form", "ending", "pos").distinct()
+    own = catalog.forms_of(spark).where("form_id = 2").select("form", "ending", "pos").distinct()
     return own.select("form", T.marked_stem(F.col("form"), F.length("form") - F.length("ending")).alias("marked"))
 
 
@@ -575,7 +575,7 @@ def fold_yo(spark, sf_dir):
     select form, array_to_string(list_transform(range(1, 6), lambda i: case when 'order'[i] = form[i] then form[i] when contains('order', form[i]) then '+' else '-' end), '') as marks from w""",
 )
 def letter_marks(spark, sf_dir):
-    own = lexicon.forms(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
+    own = catalog.forms_of(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
     return own.select("form", letters.marked(F.lit("order"), F.col("form")).alias("marks"))
 
 
@@ -584,7 +584,7 @@ def letter_marks(spark, sf_dir):
     "select distinct form from forms where regexp_matches(form, '^[a-z]{5}$') and form[4:5] = 'er' and form[1] <> 'e' and not regexp_matches(form, '[nt]') and form[2] <> 'n'",
 )
 def letter_narrowed(spark, sf_dir):
-    own = lexicon.forms(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
+    own = catalog.forms_of(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
     return letters.narrowed(own, [("enter", "+--er")])
 
 
@@ -594,7 +594,7 @@ def letter_narrowed(spark, sf_dir):
     s as (select form, cast(sum(n) as bigint) as rank from (select distinct form, l from c) join r using (l) group by form) select form, rank from s order by rank desc, form limit 1""",
 )
 def letter_best(spark, sf_dir):
-    own = lexicon.forms(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
+    own = catalog.forms_of(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
     return letters.best(own, letters.letter_ranks(own))
 
 
@@ -604,5 +604,5 @@ def letter_best(spark, sf_dir):
     d as (select cast(i as bigint) as draw, i / 20.0::double as u from (select unnest(range(20)) as i)) select draw, min(l) as letter from d, s where floor(u * total) <= up group by draw""",
 )
 def letter_picked(spark, sf_dir):
-    own = lexicon.forms(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
+    own = catalog.forms_of(spark).where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
     return letters.picked(letters.letter_ranks(own), spark.range(20).select(F.col("id").alias("draw"), (F.col("id") / 20.0).alias("u")))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,5 +112,5 @@ def once(spark: SparkSession, what: str, make) -> Stored:
 def _dropped(stored: Stored) -> None:
     try:
         stored.drop()
-    except (PySparkException, OSError):  # the session has ended before
+    except (PySparkException, Py4JError, OSError):  # the session has ended before
         pass
