@@ -7,7 +7,7 @@ import sys
 
 import pytest
 
-from wordmill.plans import catalog, documents  # noqa: F401
+from wordmill.plans import catalog, documents, russian  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

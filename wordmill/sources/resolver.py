@@ -55,8 +55,11 @@ def normal_grammar(wd: Column, stem: Column) -> Column:
     return F.when(G.is_verb(wd), G.INFINITIVE | G.REFLEXIVE).when(code.isin(*notation.BY_GENDER), gender).otherwise(0) + plural
 
 
-def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame) -> DataFrame:
-    """line, normal, index, wd, stem, postfix, table, alternation (its place in the table, or null), cases, reject."""
+def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame, strip=None) -> DataFrame:
+    """line, normal, index, wd, stem, postfix, table, alternation (its place in the table, or null), cases, reject.
+
+    ``strip(words, keys)``, if given, tells how many letters of words(keys, table, base, normal, verb) go off.
+    """
     cut = tables.russian_lines(lines)
     key = F.concat_ws(" ", "marks", "kind")
     known = cut.join(F.broadcast(pos_map(lines.sparkSession)), key == F.col("key"), "left")  # the keys are a fixed list
@@ -77,7 +80,10 @@ def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame) -> D
     mask = F.when(G.is_verb(F.col("wd")), 0x7FFF).otherwise(0xFFFF)
     fits = (F.col("table") == F.col("of_table")) & F.col("inflected") & F.col("base").endswith(F.col("ending"))
     fits = fits & (F.col("grammar").bitwiseAND(mask) == F.col("grammar_of").bitwiseAND(mask))
-    longest = known.join(tails, fits).groupBy("id").agg(F.max(F.length("ending")).alias("off"))
+    if strip is None:
+        longest = known.join(tails, fits).groupBy("id").agg(F.max(F.length("ending")).alias("off"))
+    else:
+        longest = strip(known.where("inflected").select("id", "table", "base", F.col("grammar_of").alias("normal"), G.is_verb(F.col("wd")).alias("verb")), ["id"])
     known = known.join(longest, "id", "left")
     at = F.instr("base", "@")
     stem = F.when(at > 0, F.expr("substring(base, 1, instr(base, '@') - 1)")).when(F.col("inflected"), F.expr("substring(base, 1, length(base) - coalesce(off, 0))")).otherwise(F.col("base"))
