@@ -13,7 +13,7 @@ from wordmill.functions import text as T
 from wordmill.operators import exact, patterns
 from wordmill.plans import catalog, compilers  # noqa: F401 - the second registers its queries in the first
 from wordmill.plans.catalog import ORACLES, QUERIES, table
-from wordmill.sources import derived, lexicon, stored
+from wordmill.sources import derived, files, lexicon, stored
 
 _ENDINGS = ", ".join(f"({i}, '{e}')" for i, e in enumerate(derived.ENDINGS) if e)
 #: What ``derived`` makes of the documents, under the names of the catalog's common tables.
@@ -145,10 +145,47 @@ def find_match_table_grouped(spark, sf_dir):
 
 @register(
     "fuzzy_wildcard_table",
-    f"""with {ASKED}, {catalog.CLASSES}, tails as (select pattern, string_split(pattern, '*')[-1] as tail, contains(pattern, '*') as open from asked)
+    f"""with {ASKED}, {catalog.CLASSES}, tails as (select pattern, string_split(pattern, '*')[-1] as tail, contains(pattern, '*') as open from asked where pattern like '*____')
     select distinct pattern, key, class_id, form_id, power from tails join suffix_index on (open or length(key) <= length(tail)) and right(key, least(length(key), length(tail))) like replace(right(tail, least(length(key), length(tail))), '?', '_')""",
 )
 def fuzzy_wildcard_table(spark, sf_dir):
-    """Suffix keys that words of each pattern may end with."""
+    """Suffix keys that words with the ends of the benchmark's words may have."""
     with catalog.planned_over(documents_lexicon(spark, sf_dir).forms):
-        return patterns.key_probes(catalog._fuzzy(spark)[4], asked(spark, sf_dir))
+        return patterns.key_probes(catalog._fuzzy(spark)[4], asked(spark, sf_dir).where(F.col("pattern").like("*____")))
+
+
+#: Dictionary files in two code pages, made of the documents' words: article lines with a Cyrillic postfix, some without a number.
+PAGES = ("windows-1251", "koi8")
+FILES = """lines as (
+  select folded, lexeme_id, cast(lexeme_id % 2 as integer) as page, 'по-' || translate(folded, 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхийклмнопярстувшжыз') as postfix, lexeme_id % 10 = 7 as bad
+  from (select stem as folded, cast('0x' || left(md5(stem), 15) as bigint) as lexeme_id from doc_stems where regexp_matches(stem, '^[a-z]+$')))"""
+
+
+def dictionary_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Writes the lines of ``FILES`` to a folder for each code page."""
+    words = documents_lexicon(spark, sf_dir).forms.where("form_id = 0").where(F.col("form").rlike("^[a-z]+$")).select("lexeme_id", F.col("form").alias("w"))
+    cyrillic = F.translate("w", "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшжыз")
+    number = F.when(F.col("lexeme_id") % 10 == 7, "").otherwise(F.concat(F.lit("\tLID:"), F.col("lexeme_id").cast("string")))
+    lines = words.withColumn("line", F.concat("w", F.lit("|0|s\tN"), number, F.lit("\tpost:по-"), cyrillic))
+    out = []
+    for i, page in enumerate(PAGES):
+        out.append(files.scratch(spark))
+        files.save(lines.where(F.col("lexeme_id") % 2 == i), out[-1], page)
+    return out
+
+
+@register("article_files", f"with {FILES} select page, lexeme_id, folded as raw, '0|s' as spec, postfix, 1 as pos from lines where not bad")
+def article_files(spark, sf_dir):
+    """Articles of dictionary files in two code pages, read by the data source."""
+    read = [files.load(spark, path, page).withColumn("page", F.lit(i)) for i, (path, page) in enumerate(zip(dictionary_files(spark, sf_dir), PAGES))]
+    return read[0].unionByName(read[1]).select("page", "lexeme_id", "raw", "spec", "postfix", "pos")
+
+
+@register("article_rejects", f"with {FILES} select page, folded || '|0|s' || chr(9) || 'N' || chr(9) || 'post:' || postfix as line from lines where bad")
+def article_rejects(spark, sf_dir):
+    """What was no article, from the sinks that loading wrote in the files' code pages."""
+    out = []
+    for i, (path, page) in enumerate(zip(dictionary_files(spark, sf_dir), PAGES)):
+        files.load(spark, path, page, rejects_to=f"{path}-rejects")
+        out.append(files.article_lines(spark, f"{path}-rejects", page).select(F.lit(i).alias("page"), "line"))
+    return out[0].unionByName(out[1])

@@ -29,8 +29,8 @@ def article_lines(spark: SparkSession, paths: str | list[str] | None = None, enc
     return read.select(F.translate("line", upper.decode("latin-1"), upper.decode(CODE_PAGES.get(encoding.lower(), encoding), "replace")).alias("line"))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Adds lexeme_id, raw, spec, pos, postfix and ``reject``: null, or why a line is no article."""
+def parse(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns in ``keep``, line, lexeme_id, raw, spec, pos, postfix and ``reject``: null, or why a line is no article."""
     line = F.trim(F.col("line"))
     number = F.regexp_extract(line, r"[\t ]LID:([0-9]+)", 1)
     body = F.regexp_extract(line, r"^([^\t ]+)[\t ]+([A-Z_]+)[\t ]", 1)
@@ -45,6 +45,7 @@ def parse(lines: DataFrame) -> DataFrame:
     )
     ok = reason.isNull()
     return lines.select(
+        *keep,
         "line",
         F.when(ok, number.try_cast("long")).alias("lexeme_id"),
         F.when(ok, F.regexp_extract(body, r"^([^|]*)", 1)).alias("raw"),
