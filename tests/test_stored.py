@@ -121,3 +121,35 @@ def test_key_probes_equal_single_probes(spark, forms):
     for r in patterns.key_probes(index, spark.createDataFrame([(p,) for p in asked], "pattern string")).collect():
         got.setdefault(r["pattern"], set()).add(tuple(r)[1:])
     assert got == {p: m for p in asked if (m := {tuple(r) for r in fuzzy.wild_probe(index, p).collect()})}
+
+
+def test_runs_of_bitmaps(spark):
+    import random
+
+    from wordmill.operators import stats
+
+    rnd = random.Random(3)
+    ids = sorted({rnd.randint(-70_000, 70_000) for _ in range(500)} | set(range(32_700, 32_900)) | set(range(-20, 5)) | {32_768, 65_536, -32_768, -65_536})
+    table = spark.createDataFrame([(i,) for i in [*ids, ids[0]]], "lexeme_id long")
+    found = {i for r in stats.runs(stats.pages(table)).collect() for i in range(r["first"], r["last"] + 1)}
+    assert sorted(found) == ids
+    free = {i for r in stats.runs(stats.complement(stats.pages(table))).collect() for i in range(r["first"], r["last"] + 1)}
+    assert not free & found and {i for i in range(ids[0], ids[-1] + 1)} <= free | found
+    assert {tuple(r) for r in stats.page_gaps(table).collect()} == {tuple(r) for r in stats.id_gaps(table).collect()}
+
+
+def test_contained_classes_against_sets(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = {}
+    for i in range(10_000):
+        e = sorted({f"{rnd.randint(0, 6)}:{rnd.choice(['', 'a', 'b', 'ab'])}" for _ in range(rnd.randint(1, 4))})
+        rows.setdefault((rnd.randint(1, 2), ",".join(e)), i)
+    classed = spark.createDataFrame([(i, p, e) for (p, e), i in rows.items()], "class_id int, pos int, endings string")
+    sets = {i: (p, frozenset(e.split(","))) for (p, e), i in rows.items()}
+    want = {(b, a) for b, (p, x) in sets.items() for a, (q, y) in sets.items() if p == q and x < y}
+    got = fuzzy.contained(classed)
+    assert {(r["class_id"], r["into"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

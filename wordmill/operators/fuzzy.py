@@ -62,19 +62,32 @@ def suffix_index(model: DataFrame, ending: DataFrame) -> DataFrame:
     return model.join(ending, "class_id").select(F.concat("suffix", "ending").alias("key"), "class_id", F.col("weight").alias("power"), "form_id", F.length("ending").alias("ending_len"))
 
 
+def contained(classed: DataFrame) -> DataFrame:
+    """class_id, into, size: pairs of classes of one part of speech where ``into`` has all endings of the first and more.
+
+    A set-containment join: a class is joined with those that have its rarest ending, of
+    all it has, and only these are compared as sets.
+    """
+    own = classed.select("class_id", "pos", F.array_distinct(F.split("endings", ",")).alias("set"))
+    posted = own.select("class_id", "pos", F.explode("set").alias("e"))
+    counts = posted.groupBy("pos", "e").agg(F.count(F.lit(1)).alias("n"))
+    rarest = posted.join(counts, ["pos", "e"]).groupBy("class_id", "pos").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
+    other = posted.select(F.col("class_id").alias("into"), "pos", "e")
+    candidates = rarest.join(other, ["pos", "e"]).where("class_id <> into").select("class_id", "into")
+    less, more = own.select("class_id", F.col("set").alias("less")), own.select(F.col("class_id").alias("into"), F.col("set").alias("more"))
+    both = candidates.join(less, "class_id").join(more, "into").where(F.size(F.array_except("less", "more")) == 0)
+    return both.select("class_id", "into", F.size("less").alias("size"))
+
+
 def merge_classes(classed: DataFrame, pos: int = 1, most_rounds: int = 64) -> DataFrame:
     """absorbed, into: classes of a part of speech whose endings another has all of, until none is left.
 
-    In a round each class that none covers takes the covered class with the most endings
-    (of equal ones the first); a class that several would take goes to the first of them.
-    Covering is found once, by a join on endings; only its pairs of classes, as few as
+    In a round the classes, in their order, each take the covered class with the most
+    endings (of equal ones the first) of those that are left; a class that was taken takes
+    none. Covering is found by a containment join; only its pairs of classes, as few as
     paradigms are, are walked through on the driver.
     """
-    own = endings(classed.where(F.col("pos") == pos)).distinct()
-    sizes = own.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
-    other = own.select(F.col("class_id").alias("into"), "form_id", "ending")
-    shared = own.join(other, ["form_id", "ending"]).where("class_id <> into").groupBy("class_id", "into").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared.join(sizes, "class_id").where("n = size").select("class_id", "into", "size").orderBy("into", F.desc("size"), "class_id").collect()
+    pairs = contained(classed.where(F.col("pos") == pos)).orderBy("into", F.desc("size"), "class_id").collect()
     merged: list[tuple[int, int]] = []
     gone: set[int] = set()
     for _ in range(most_rounds):

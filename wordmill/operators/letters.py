@@ -30,9 +30,10 @@ def letter_ranks(words: DataFrame, column: str = "form") -> DataFrame:
     return words.select(F.explode(_chars(F.col(column))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
 
-def best(words: DataFrame, ranks: DataFrame, column: str = "form") -> DataFrame:
-    """The word with the greatest sum of its different letters' ranks; of equal ones the first."""
-    own = words.select(column, F.explode(F.array_distinct(_chars(F.col(column)))).alias("letter")).distinct()
+def best(words: DataFrame, ranks: DataFrame, column: str = "form", repeats: bool = False) -> DataFrame:
+    """The word with the greatest sum of its letters' ranks, of different ones or, with ``repeats``, of all; of equal words the first."""
+    letters = _chars(F.col(column)) if repeats else F.array_distinct(_chars(F.col(column)))
+    own = words.select(column).distinct().select(column, F.explode(letters).alias("letter"))
     # letters of an alphabet: a few dozen rows whatever the words
     told = own.join(F.broadcast(ranks), "letter").groupBy(column).agg(F.sum("n").alias("rank"))
     return told.orderBy(F.desc("rank"), column).limit(1)

@@ -56,6 +56,48 @@ def id_pages(ids: DataFrame) -> DataFrame:
     return bits.select("page", F.bitmap_count("bits").alias("used"), (F.lit(1 << 15) - F.bitmap_count("bits")).alias("free"))
 
 
+#: Numbers in a page of a bitmap.
+PAGE = 1 << 15
+
+
+def pages(ids: DataFrame) -> DataFrame:
+    """page, bits: which of a page's 32,768 numbers are used; page 1 begins with number 1, page 0 goes down from 0."""
+    return ids.groupBy(F.bitmap_bucket_number("lexeme_id").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("lexeme_id")).alias("bits"))
+
+
+def complement(of: DataFrame) -> DataFrame:
+    """page, bits of pages(page, bits) with every bit turned over."""
+    return of.select("page", F.unhex(F.translate(F.hex("bits"), "0123456789ABCDEF", "FEDCBA9876543210")).alias("bits"))
+
+
+def runs(of: DataFrame) -> DataFrame:
+    """page, first, last: the runs of set bits of pages(page, bits), as numbers.
+
+    A page is written out as a string of noughts and ones, the lowest first, and cut into
+    runs; their places are running sums of their lengths. No number is listed by itself.
+    """
+    lowest_first = F.translate(F.regexp_replace(F.hex("bits"), "(.)(.)", "$2$1"), "0123456789ABCDEF", "abcdefghijklmnop")
+    for i in range(16):
+        lowest_first = F.replace(lowest_first, F.lit("abcdefghijklmnop"[i]), F.lit(f"{i:04b}"[::-1]))
+    cut = of.select("page", F.posexplode(F.regexp_extract_all(lowest_first, F.lit("0+|1+"), F.lit(0))).alias("i", "run"))
+    before = Window.partitionBy("page").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("at", F.coalesce(F.sum(F.length("run")).over(before), F.lit(0))).where(F.col("run").startswith("1"))
+    up, low, high = F.col("page") > 0, F.col("at"), F.col("at") + F.length("run") - 1
+    base = (F.col("page") - 1) * PAGE + 1
+    first = F.when(up, base + low).otherwise(F.col("page") * PAGE - high)
+    last = F.when(up, base + high).otherwise(F.col("page") * PAGE - low)
+    return placed.select("page", first.alias("first"), last.alias("last"))
+
+
+def page_gaps(ids: DataFrame) -> DataFrame:
+    """after, gap: what ``id_gaps`` gives, from the runs of bitmaps."""
+    used = runs(pages(ids))
+    inside = used.select(F.lag("last").over(Window.partitionBy("page").orderBy("first")).alias("after"), "first")
+    ends = used.groupBy("page").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    across = ends.select(F.lag("last").over(Window.orderBy("page")).alias("after"), "first")  # a row for each page
+    return inside.union(across).select("after", (F.col("first") - F.col("after") - 1).alias("gap")).where("gap > 0")
+
+
 def duplicate_ids(ids: DataFrame) -> DataFrame:
     return ids.groupBy("lexeme_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

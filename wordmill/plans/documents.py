@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordmill import sql
 from wordmill.functions import text as T
-from wordmill.operators import exact, patterns
+from wordmill.operators import exact, fuzzy, letters, patterns, stats
 from wordmill.plans import catalog, compilers  # noqa: F401 - the second registers its queries in the first
 from wordmill.plans.catalog import ORACLES, QUERIES, table
 from wordmill.sources import derived, files, lexicon, stored
@@ -189,3 +190,92 @@ def article_rejects(spark, sf_dir):
         files.load(spark, path, page, rejects_to=f"{path}-rejects")
         out.append(files.article_lines(spark, f"{path}-rejects", page).select(F.lit(i).alias("page"), "line"))
     return out[0].unionByName(out[1])
+
+
+# --- classes, numbers, SQL functions ----------------------------------------------------------------------------------
+@register(
+    "docs_class_contained",
+    f"""with {catalog.CLASSES}, e as (select distinct class_id, pos, unnest(string_split(endings, ',')) as e from classes), sized as (select *, count(*) over (partition by class_id) as size from e)
+    select b.class_id, a.class_id as "into", cast(any_value(b.size) as integer) as size from sized b join sized a on a.pos = b.pos and a.e = b.e and a.class_id <> b.class_id group by b.class_id, a.class_id having count(*) = any_value(b.size)""",
+)
+def docs_class_contained(spark, sf_dir):
+    """Classes of the documents' lexicon that another one covers."""
+    with catalog.planned_over(documents_lexicon(spark, sf_dir).forms):
+        return fuzzy.contained(catalog._fuzzy(spark)[1])
+
+
+@register("docs_letter_best", """with w as (select distinct form from forms where regexp_matches(form, '^[a-z]{5}$')), c as (select form, unnest(regexp_extract_all(form, '.')) as l from w), r as (select l, count(*) as n from c group by l)
+    select form, cast(sum(n) as bigint) as rank from c join r using (l) group by form order by rank desc, form limit 1""")
+def docs_letter_best(spark, sf_dir):
+    """The five-letter word whose letters, repeated ones too, have the greatest ranks together."""
+    own = documents_lexicon(spark, sf_dir).forms.where(F.col("form").rlike("^[a-z]{5}$")).select("form").distinct()
+    return letters.best(own, letters.letter_ranks(own), repeats=True)
+
+
+def _order_keys(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("lexeme_id"))
+
+
+def register_plain(name: str, statement: str):
+    """Registers a query whose SQL needs no lexicon."""
+
+    def add(f):
+        QUERIES[name], ORACLES[name] = f, statement
+        return f
+
+    return add
+
+
+@register_plain("order_key_gaps", "with p as (select k, lag(k) over (order by k) as after from (select distinct l_orderkey::bigint as k from lineitem)) select after, k - after - 1 as gap from p where k - after > 1")
+def order_key_gaps(spark, sf_dir):
+    """Orders without lines: the gaps of the keys, from the runs of bitmaps."""
+    return stats.page_gaps(_order_keys(spark, sf_dir))
+
+
+_PAGE = "case when k > 0 then (k - 1) // 32768 + 1 else 0 end"
+
+
+@register_plain("order_key_runs", f"with p as (select k, k - row_number() over (order by k) as g, {_PAGE} as page from (select distinct l_orderkey::bigint as k from lineitem)) select page, min(k) as first, max(k) as last from p group by page, g")
+def order_key_runs(spark, sf_dir):
+    """Runs of keys without a gap, cut at pages."""
+    return stats.runs(stats.pages(_order_keys(spark, sf_dir)))
+
+
+@register_plain("order_key_free", f"""with used as (select distinct l_orderkey::bigint as k from lineitem), pages as (select distinct {_PAGE} as page from used),
+  every as (select unnest(range(-32767, (select max(page) from pages) * 32768 + 1)) as k), free as (select k, {_PAGE} as page from every where k not in (select k from used) and {_PAGE} in (select page from pages)),
+  p as (select k, page, k - row_number() over (order by k) as g from free) select page, min(k) as first, max(k) as last from p group by page, g""")
+def order_key_free(spark, sf_dir):
+    """Runs of unused numbers in the pages of the keys, from the complements of their bitmaps."""
+    return stats.runs(stats.complement(stats.pages(_order_keys(spark, sf_dir))))
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A statement over ``tokens``, the distinct tokens of the conversations, and the functions over the documents' lexicon."""
+    sql.register(spark, documents_lexicon(spark, sf_dir).forms)
+    tokens = T.tokens(table(spark, sf_dir, "conversations"), least=1).select("token").distinct()
+    return spark.sql(text, tokens=tokens)
+
+
+TALKED = "t as (select distinct unnest(regexp_extract_all(text, '\\p{L}+')) as token from conversations)"
+
+
+@register("sql_check_word", f"with {TALKED} select token from t where lower(token) in (select form from forms)")
+def sql_check_word(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT token FROM {tokens} WHERE check_word(token)")
+
+
+@register("sql_lemmatize", f"with {TALKED} select token, lexeme_id, min(lemma) as lemma, min(pos) as pos, string_agg(distinct cast(form_id as varchar), ',' order by cast(form_id as varchar)) as grams from t join forms on form = lower(token) group by token, lexeme_id")
+def sql_lemmatize(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT t.token, l.lexeme_id, l.lemma, l.pos, array_join(array_sort(transform(l.grams, g -> cast(g AS string))), ',') AS grams FROM {tokens} t, LATERAL lemmatize(t.token) l")
+
+
+@register("sql_find_forms", f"with {TALKED}, own as (select distinct token, lexeme_id from t join forms on form = lower(token)) select distinct token, lexeme_id, surface from own join forms using (lexeme_id) where form_id = 3")
+def sql_find_forms(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT t.token, f.lexeme_id, f.surface FROM {tokens} t, LATERAL find_forms(t.token, 3) f")
+
+
+@register("sql_build_form", "with ids as (select distinct lexeme_id from forms) select lexeme_id, (select min(surface) from forms f where f.lexeme_id = ids.lexeme_id and f.form_id = 1) as plural, (select min(pos) from forms f where f.lexeme_id = ids.lexeme_id) as pos from ids")
+def sql_build_form(spark, sf_dir):
+    forms = documents_lexicon(spark, sf_dir).forms
+    sql.register(spark, forms)
+    return spark.sql("SELECT lexeme_id, build_form(lexeme_id, 1) AS plural, part_of_sp(lexeme_id) AS pos FROM {ids}", ids=forms.select("lexeme_id").distinct())
