@@ -23,9 +23,26 @@ LETTERS, RUSSIAN, HYPHENATED = r"\p{L}+", "[а-яА-ЯёЁ]+", r"\p{L}[\p{L}'-]*
 EXTENDED, CYRILLIC, UPPER_HALF = r"[A-Za-z\x{80}-\x{10FFFF}]+", "[А-Яа-яЁё][А-Яа-яЁё-]*", r"[A-\x{10FFFF}][A-\x{10FFFF}'-]*"
 
 
+#: Tables of more files than this are never dealt out: a table that is large has many.
+FEW_FILES = 16
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table of few files, fewer than cores, dealt out to all cores.
+
+    A file's row groups are its only parts, and cutting texts costs far more than moving
+    them once. A table of many files is left as it is.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if 0 < len(table.inputFiles()) <= min(FEW_FILES, cores - 1) else table
+
+
 def tokens(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a token (a whole match of ``pattern``) of ``least`` characters or more, with the columns in ``keep``."""
-    return table.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("token")).where(F.length("token") >= least)
+    texts = dealt(table.select(*keep, text))
+    return texts.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("token")).where(F.length("token") >= least)
 
 
 def words(table: DataFrame, text: str = "text", pattern: str = LETTERS, least: int = 1) -> DataFrame:

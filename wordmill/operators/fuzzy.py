@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmill.functions import grammar as G
+from wordmill.functions import text as T
+from wordmill.operators import training
 from wordmill.operators.wildcard import like
 from wordmill.sources.lexicon import for_join
 
@@ -24,8 +27,29 @@ def common_prefix(low: Column, high: Column) -> Column:
     return F.substring(low, F.lit(1), F.coalesce(F.array_max(same), F.lit(0)))
 
 
-def extract(forms: DataFrame, least: int = 2) -> DataFrame:
-    """lexeme_id, pos, stem, suffix, endings ('form_id:ending,...'), sample of every inflected lexeme whose forms share a stem."""
+def extract(forms: DataFrame, least: int = 2, accents: bool = False) -> DataFrame:
+    """lexeme_id, pos, stem, suffix, endings ('form_id:ending,...'), sample of every inflected lexeme whose forms share a stem.
+
+    With ``accents`` there is a column ``accent``, whether the paradigm is stressed on its
+    endings, and paradigms that differ in it make classes of their own.
+    """
+    out = _extract(forms, least)
+    return out.join(training.accents(forms), "lexeme_id") if accents else out
+
+
+def prepared(forms: DataFrame, mandatory: list[int] = (), optional: list[int] = (), as_well: dict[int, int] | None = None, numbers: dict[int, int] | None = None) -> DataFrame:
+    """Forms as classes are trained on them: of lexemes with all mandatory ones, those of equal sound under both ids, ids renumbered."""
+    out = training.selected(forms, list(mandatory), list(optional)) if mandatory else forms
+    out = training.expanded(out, as_well) if as_well else out
+    return training.renumbered(out, numbers) if numbers else out
+
+
+def _key(table: DataFrame) -> list[str]:
+    """What paradigm classes are told apart by."""
+    return [c for c in ("pos", "endings", "accent") if c in table.columns]
+
+
+def _extract(forms: DataFrame, least: int) -> DataFrame:
     group = forms.where("form_id <> 255").groupBy("lexeme_id", "pos").agg(
         F.min("form").alias("low"), F.max("form").alias("high"), F.min("lemma").alias("sample"), F.array_sort(F.collect_set(F.struct("form_id", "form"))).alias("all")
     )
@@ -35,14 +59,27 @@ def extract(forms: DataFrame, least: int = 2) -> DataFrame:
 
 
 def classes(extracted: DataFrame) -> DataFrame:
-    """class_id, pos, endings, n: paradigm classes by how many lexemes they have."""
-    rank = F.dense_rank().over(Window.orderBy("pos", "endings"))  # a row for each class, not each word
-    return extracted.groupBy("pos", "endings").agg(F.count(F.lit(1)).alias("n")).select(rank.alias("class_id"), "pos", "endings", "n")
+    """class_id, pos, endings (and accent), n: paradigm classes by how many lexemes they have."""
+    key = _key(extracted)
+    rank = F.dense_rank().over(Window.orderBy(*key))  # a row for each class, not each word
+    return extracted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(rank.alias("class_id"), *key, "n")
+
 
+def models(extracted: DataFrame, classed: DataFrame, wishes: DataFrame | None = None) -> DataFrame:
+    """class_id, suffix, sample, weight: which stem ends a class has, with a sample word.
 
-def models(extracted: DataFrame, classed: DataFrame) -> DataFrame:
-    """class_id, suffix, sample, weight: which stem ends a class has, with a sample word."""
-    return extracted.join(classed.select("class_id", "pos", "endings"), ["pos", "endings"]).groupBy("class_id", "suffix").agg(F.min("sample").alias("sample"), F.count(F.lit(1)).alias("weight"))
+    ``wishes`` (lexeme_id, wish) marks lexemes whose words are wanted as samples ('+') or
+    are to be avoided ('-'), where there is any other.
+    """
+    key = _key(extracted)
+    own = extracted.join(classed.select("class_id", *key), key)
+    if wishes is None:
+        sample = F.min("sample")
+    else:
+        one = wishes.groupBy("lexeme_id").agg(F.max(F.when(F.col("wish") == "-", 2).otherwise(0)).alias("rank"))
+        own = own.join(one, "lexeme_id", "left")
+        sample = F.min(F.struct(F.coalesce("rank", F.lit(1)).alias("rank"), F.col("sample").alias("sample")))["sample"]
+    return own.groupBy("class_id", "suffix").agg(sample.alias("sample"), F.count(F.lit(1)).alias("weight"))
 
 
 def endings(classed: DataFrame) -> DataFrame:
@@ -177,13 +214,27 @@ def candidates(words: DataFrame, index: DataFrame, ending: DataFrame) -> DataFra
     )
 
 
-def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: DataFrame, pos_prior: DataFrame, form_prior: DataFrame) -> DataFrame:
-    """word, class_id, stem_len, pos, grams, lemma, weight, rank: hypotheses for words (folded, each once), best first."""
-    told = candidates(words, index, ending).join(for_join(classed.select("class_id", "pos")), "class_id")
+def lemmatize(words: DataFrame, index: DataFrame, classed: DataFrame, ending: DataFrame, pos_prior: DataFrame, form_prior: DataFrame, capitals: bool = False) -> DataFrame:
+    """word, class_id, stem_len, pos, grams, lemma, weight, rank: hypotheses for words (folded, each once), best first.
+
+    Classes with ``accent`` weigh less where it is true. With ``capitals`` words have a
+    column ``scheme`` (their capitalization, each word and scheme once): hypotheses whose
+    part of speech would be written otherwise go, and lemmas are written as theirs is.
+    """
+    own = [c for c in ("class_id", "pos", "accent") if c in classed.columns]
+    plain = words.select("word").distinct() if capitals else words
+    told = candidates(plain, index, ending).join(for_join(classed.select(own)), "class_id")
     # a row for each part of speech (64 at most) and each of its forms (256 at most), whatever the corpus
     told = told.join(F.broadcast(pos_prior.select("pos", F.col("share").alias("pos_share"))), "pos", "left").join(F.broadcast(form_prior.select("pos", "form_id", F.col("share").alias("form_share"))), ["pos", "form_id"], "left")
-    weighed = told.select("word", "class_id", "stem_len", "pos", "grams", "lemma", F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share")), 6).alias("weight"))
-    return weighed.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "class_id", "stem_len")))
+    accent = F.col("accent") if "accent" in own else None
+    weight = F.round(score(F.col("ending_len"), F.col("power"), F.col("pos_share"), F.col("form_share"), accent), 6)
+    by = ["word"]
+    if capitals:
+        least = G.min_capitals(F.col("pos"))
+        told = told.join(words.select("word", "scheme"), "word").where(T.cap_allowed(F.col("scheme"), least)).withColumn("lemma", T.with_capitals(F.col("lemma"), least))
+        by = ["word", "scheme"]
+    weighed = told.select(*by, "class_id", "stem_len", "pos", "grams", "lemma", weight.alias("weight"))
+    return weighed.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), "class_id", "stem_len")))
 
 
 def build_form(stems: DataFrame, ending: DataFrame, form_id: int) -> DataFrame:

@@ -204,6 +204,25 @@ def docs_class_contained(spark, sf_dir):
         return fuzzy.contained(catalog._fuzzy(spark)[1])
 
 
+@register(
+    "docs_fuzzy_intersection",
+    f"""with {catalog.CLASSES}, w as (select distinct lower(unnest(regexp_extract_all(text, '\\p{{L}}+'))) as word from benchmark), asked as (select word from w where length(word) between 2 and 47),
+    found as (select word, class_id, cast(length(word) - ending_len as integer) as stem_len, list_sort(list(distinct form_id)) as grams from asked join suffix_index on ends_with(word, key) group by all),
+    pairs as (select a.word, b.word as other_word from asked a join asked b on b.word in (a.word || 's', a.word || 'es', a.word || 'ed', a.word || 'ing', a.word || 'er', a.word || 'en', a.word || 'ly'))
+    select class_id, stem_len, word, other_word, array_to_string(list_sort(list_intersect(x.grams, y.grams)), ',') as grams from pairs join found x using (word) join (select word as other_word, class_id, stem_len, grams from found) y using (other_word, class_id, stem_len)""",
+)
+def docs_fuzzy_intersection(spark, sf_dir):
+    """Hypotheses that a word of the benchmark shares with the word that has an ending more."""
+    asked_for = T.words(table(spark, sf_dir, "benchmark")).where(F.col("size").between(2, T.LONGEST)).select(F.col("folded").alias("word"))
+    with catalog.planned_over(documents_lexicon(spark, sf_dir).forms):
+        _, _, _, ending, index = catalog._fuzzy(spark)
+        found = fuzzy.candidates(asked_for, index, ending)
+    longer = F.explode(F.transform(F.array(*map(F.lit, ("s", "es", "ed", "ing", "er", "en", "ly"))), lambda e: F.concat("word", e)))
+    pairs = asked_for.select("word", longer.alias("other_word")).join(asked_for.withColumnRenamed("word", "other_word"), "other_word")
+    both = fuzzy.intersection(pairs, found, found)
+    return both.withColumn("grams", F.array_join(F.transform(F.sort_array("grams"), lambda x: x.cast("string")), ","))
+
+
 @register("docs_letter_best", """with w as (select distinct form from forms where regexp_matches(form, '^[a-z]{5}$')), c as (select form, unnest(regexp_extract_all(form, '.')) as l from w), r as (select l, count(*) as n from c group by l)
     select form, cast(sum(n) as bigint) as rank from c join r using (l) group by form order by rank desc, form limit 1""")
 def docs_letter_best(spark, sf_dir):
