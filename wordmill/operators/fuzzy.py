@@ -65,6 +65,22 @@ def classes(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(rank.alias("class_id"), *key, "n")
 
 
+def classes_with(extracted: DataFrame, known: DataFrame) -> DataFrame:
+    """``classes`` of a batch added to classes known before, which keep their numbers; new ones go on behind the last, in their order.
+
+    known(class_id, pos, endings, n), or with accent, may be empty. Counts add up. Only
+    what is new is numbered, so an old class never moves, whatever comes later.
+    """
+    key = _key(extracted)
+    batch = extracted.groupBy(*key).agg(F.count(F.lit(1)).alias("more"))
+    both = known.select("class_id", *key, "n").join(batch, key, "full_outer").withColumn("n", F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).drop("more")
+    last = known.agg(F.coalesce(F.max("class_id"), F.lit(0)).alias("last"))
+    # a row for each class that is new
+    fresh = both.where("class_id is null").withColumn("place", F.row_number().over(Window.orderBy(*key))).join(F.broadcast(last), F.lit(True))
+    numbered = fresh.select((F.col("last") + F.col("place")).cast("int").alias("class_id"), *key, "n")
+    return both.where("class_id is not null").select("class_id", *key, "n").unionByName(numbered)
+
+
 def models(extracted: DataFrame, classed: DataFrame, wishes: DataFrame | None = None) -> DataFrame:
     """class_id, suffix, sample, weight: which stem ends a class has, with a sample word.
 
@@ -143,6 +159,11 @@ def merge_classes(classed: DataFrame, pos: int = 1, most_rounds: int = 64) -> Da
     return classed.sparkSession.createDataFrame([(b, last(a)) for b, a in merged], "absorbed int, into int")
 
 
+def added_models(old: DataFrame, new: DataFrame) -> DataFrame:
+    """class_id, suffix, sample, weight of two batches whose classes have the same numbers: weights add up, the first sample stays for all."""
+    return old.unionByName(new).groupBy("class_id", "suffix").agg(F.min("sample").alias("sample"), F.sum("weight").alias("weight"))
+
+
 def merged_models(model: DataFrame, merged: DataFrame) -> DataFrame:
     """class_id, suffix, sample, weight of ``models`` after classes were absorbed: their suffixes add up."""
     told = model.join(F.broadcast(merged), F.col("class_id") == F.col("absorbed"), "left")  # no more rows than there are classes

@@ -24,6 +24,22 @@ def fractions(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     return counts.join(for_join(shares), counts["folded"] == shares["form"]).groupBy("pos", "form_id").agg(F.sum(F.col("n") * F.col("share")).alias("n"))
 
 
+def added(*batches: DataFrame) -> DataFrame:
+    """pos, form_id, n of several batches' ``fractions``: sums, so batches merge in any order and any grouping."""
+    out = batches[0]
+    for other in batches[1:]:
+        out = out.unionByName(other)
+    return out.groupBy("pos", "form_id").agg(F.sum("n").alias("n"))
+
+
+def added_words(*batches: DataFrame) -> DataFrame:
+    """folded, n of several batches' words."""
+    out = batches[0].select("folded", "n")
+    for other in batches[1:]:
+        out = out.unionByName(other.select("folded", "n"))
+    return out.groupBy("folded").agg(F.sum("n").alias("n"))
+
+
 def pos_prior(found: DataFrame) -> DataFrame:
     """pos, share of all."""
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -298,3 +298,47 @@ def sql_build_form(spark, sf_dir):
     forms = documents_lexicon(spark, sf_dir).forms
     sql.register(spark, forms)
     return spark.sql("SELECT lexeme_id, build_form(lexeme_id, 1) AS plural, part_of_sp(lexeme_id) AS pos FROM {ids}", ids=forms.select("lexeme_id").distinct())
+
+
+# --- batches ----------------------------------------------------------------------------------------------------------
+def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """folded, n of the words of documents with even and with odd numbers."""
+    docs = table(spark, sf_dir, "documents")
+    return [T.words(docs.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
+
+
+@register(
+    "merged_fractions",
+    """with readings as (select form, lexeme_id, pos, list(distinct form_id) as ids from forms group by form, lexeme_id, pos), nl as (select form, count(*) as lexemes from readings group by form),
+    shares as (select form, pos, unnest(ids) as form_id, 1.0::double / lexemes / len(ids) as share from readings join nl using (form))
+    select pos, form_id, round(sum(n * share), 4) as n from doc_vocabulary join shares on folded = form group by pos, form_id""",
+)
+def merged_fractions(spark, sf_dir):
+    """Fractional frequencies of two halves of the documents, added up: those of the whole."""
+    forms = documents_lexicon(spark, sf_dir).forms
+    return stats.added(*[stats.fractions(half, forms) for half in _halves(spark, sf_dir)]).withColumn("n", F.round("n", 4))
+
+
+@register(
+    "merged_classes",
+    f"""with {catalog.CLASSES}, one as (select pos, endings, count(*) filter (lexeme_id % 2 = 0) as old, count(*) filter (lexeme_id % 2 = 1) as more from extracted group by pos, endings),
+    numbered as (select *, row_number() over (order by old = 0, pos, endings) as class_id from one) select cast(class_id as integer) as class_id, pos, endings, old + more as n from numbered""",
+)
+def merged_classes(spark, sf_dir):
+    """Classes of the lexemes with even numbers, to which those with odd ones are added: old numbers stay."""
+    with catalog.planned_over(documents_lexicon(spark, sf_dir).forms):
+        extracted = catalog._fuzzy(spark)[0]
+    return fuzzy.classes_with(extracted.where("lexeme_id % 2 = 1"), fuzzy.classes(extracted.where("lexeme_id % 2 = 0")))
+
+
+@register(
+    "merged_models",
+    f"""with {catalog.CLASSES}, one as (select pos, endings, count(*) filter (lexeme_id % 2 = 0) as old from extracted group by pos, endings),
+    numbered as (select *, row_number() over (order by old = 0, pos, endings) as class_id from one) select cast(class_id as integer) as class_id, suffix, min(sample) as sample, count(*) as weight from extracted join numbered using (pos, endings) group by class_id, suffix""",
+)
+def merged_models(spark, sf_dir):
+    with catalog.planned_over(documents_lexicon(spark, sf_dir).forms):
+        extracted = catalog._fuzzy(spark)[0]
+    even, odd = extracted.where("lexeme_id % 2 = 0"), extracted.where("lexeme_id % 2 = 1")
+    classed = fuzzy.classes_with(odd, fuzzy.classes(even))
+    return fuzzy.added_models(fuzzy.models(even, classed), fuzzy.models(odd, classed))
