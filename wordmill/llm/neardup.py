@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm.shared import components, dropped, written
+from wordmill.llm.shared import components, dropped, spread_join, written
 
 THRESHOLD, BLOCK = 0.98, 4096
 #: Numbers of pivots to choose from, and the classes that are looked at for that.
@@ -144,31 +144,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, numbers: t
         & F.exists("embedding", lambda v: v != 0)
     )
     one = vectors.where(usable).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
-    one = written(spark, one, "vectors")
-    classes = one.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("embedding"))
-    classes = written(spark, classes, "classes")
+    # a class is known by a digest, so that vectors are shuffled no more than once
+    one = written(spark, one.withColumn("same", F.sha2(F.to_json(F.struct("label", "embedding")), 256)), "vectors")
+    classes = one.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
+    classes = written(spark, classes.withColumn("dim", F.size("embedding")), "classes")
     cells = written(spark, dealt(classes, threshold, PIVOTS if numbers is None else numbers), "cells")
     again = spark.read.schema(cells.schema).parquet(cells._wordmill_path)  # a cogroup's sides need columns of their own
     key = ["label", "dim", "cell"]
-    blocks = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    blocks = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("in_cell")).withColumn("g", F.ceil(F.col("in_cell") / BLOCK).cast("int"))
+    blocks = written(spark, blocks, "blocks", packed=True)
     spot = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     names = [*key, "i", "j", "rep", "m", "embedding"]
-    left = cells.where("home").join(blocks, key).withColumn("i", spot).withColumn("j", every()).select(names)
-    right = again.join(blocks, key).withColumn("i", every()).withColumn("j", spot).select(names)
+    left = spread_join(cells.where("home"), blocks, key, "in_cell").withColumn("i", spot).withColumn("j", every()).select(names)
+    right = spread_join(again, blocks, key, "in_cell").withColumn("i", every()).withColumn("j", spot).select(names)
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         return join_cell(left, right, threshold)
 
     tiles = [*key, "i", "j"]
     found = written(spark, left.groupBy(*tiles).cogroup(right.groupBy(*tiles)).applyInArrow(task, "rep long, links long, low long"), "near")
-    dropped(spark, cells)
+    dropped(spark, cells, blocks)
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(spark, found.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
-    per_class = classes.join(sums, "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id")
+    per_class = classes.select("same", "rep", "m").join(sums, "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "same", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id")
     )
-    linked = one.join(per_class, ["label", "embedding"]).select(F.col("vec_id").alias("id"), F.col("links").cast("long").alias("n_links"), "component_id")
+    per_class = written(spark, per_class, "linked")
+    linked = spread_join(one.select("vec_id", "same"), per_class, ["same"], "m").select(F.col("vec_id").alias("id"), F.col("links").cast("long").alias("n_links"), "component_id")
     return vectors.select("vec_id").join(linked, F.col("vec_id") == F.col("id"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
