@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import blocks
-from wordmill.llm.shared import components, dropped, modest, released, written
+from wordmill.llm.shared import components, dropped, modest, released, spread_join, written
 
 #: Words of an n-gram, and the threshold as a fraction: 100 * intersection >= 80 * union.
 WORDS, PART, WHOLE = 5, 80, 100
@@ -418,15 +418,16 @@ def _groups(docs: DataFrame, k: int, part: int, whole: int, hot: int) -> DataFra
     feats = written(spark, features(docs, k, part, whole, frequent(docs, k, hot, HOT_LEAST)), "features")
     sets = feats.where("n > 0 and doc_id is not null")
     # a class: documents with equal sets; a doc_id in several classes ties them together below
-    classes = written(spark, sets.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    member = written(spark, sets.select("doc_id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"]).select("doc_id", "rep").distinct(), "members")
+    classes = written(spark, sets.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    member = written(spark, spread_join(sets.select("doc_id", "n", "set_a", "set_b"), classes, ["n", "set_a", "set_b"], "copies").select("doc_id", "rep").distinct(), "members")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     released(spark)
 
-    keys = sets.select("doc_id", "stars").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("stars").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    first = keys.join(leaders, "key").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    keys = written(spark, sets.select("doc_id", "stars").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("stars").alias("key")), "keys")
+    leaders = written(spark, keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1"), "leaders", packed=True)
+    first = spread_join(keys, leaders, ["key"], "m").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = roomy(written(spark, first, "stars"), sets, part, whole)
+    dropped(spark, keys, leaders)
     arrays = sets_of(docs, ends(pairs).distinct(), k)
     near = similar(pairs, arrays, part, whole)
     dropped(spark, pairs, arrays)

@@ -48,8 +48,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, packed: bool = False,
         atexit.register(_deleted, spark, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     rows = df.hint("rebalance") if packed else df
-    # nothing looks for a marker of success: only this application reads the table, after the write
-    rows.write.options(**(options or {})).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    rows.write.options(**(options or {})).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._wordmill_path = path
     return table
@@ -149,26 +148,29 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) ->
 
     Alternates two steps until nothing changes: each id is tied to the smallest of its
     larger-id neighbours' side (large star), then smaller neighbours are tied together
-    (small star). Both are a combinable minimum by id and a join, never a list of
-    neighbours, so an id with very many links is no problem. Each round is written to
-    the shared folder.
+    (small star). Both are a combinable minimum by id and a join with one row for each id,
+    never a list of neighbours. The ids with the most links are joined by broadcast, a
+    bounded number of them, so that no task gets all links of one id. Each round is
+    written to the shared folder.
     """
     edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(most_rounds):
         before = edges
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), F.lit(0).alias("k")).union(edges.select("v", "v", F.lit(1)))
+        low = written(spark, low.groupBy("c").agg(F.min("m").alias("m"), F.sum("k").alias("k")).where("k > 0"), "low", packed=True)
         both = edges.select(F.col("v").alias("c"), F.col("u").alias("n"))  # n > c
-        star = both.join(low, both["c"] == low["u"], "left").select(F.col("n").alias("u"), F.coalesce("m", "c").alias("v")).distinct()
+        star = spread_join(both, low, ["c"], "k").select(F.col("n").alias("u"), F.col("m").alias("v")).distinct()
         star = written(spark, star, "links")
+        dropped(spark, low)
         # small star: the smaller neighbours of u, and u, are tied to the smallest of them
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        rest = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(spark, star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), "low", packed=True)
+        rest = spread_join(star, low.where("k > 1"), ["u"], "k").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(spark, rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         # no row joins as a child and as a parent when every component is a star
         open_ends = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
         split = edges.groupBy("u").count().where("count > 1").limit(1).count()
-        dropped(spark, before, star)
+        dropped(spark, before, star, low)
         released(spark)
         if not open_ends and not split:
             break
