@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordmill import sql
 from wordmill.functions import text as T
-from wordmill.operators import exact, fuzzy, letters, patterns, stats
+from wordmill.operators import aligned, exact, fuzzy, letters, patterns, stats
 from wordmill.plans import catalog, compilers  # noqa: F401 - the second registers its queries in the first
 from wordmill.plans.catalog import ORACLES, QUERIES, table
 from wordmill.sources import derived, files, lexicon, stored
@@ -342,3 +342,25 @@ def merged_models(spark, sf_dir):
     even, odd = extracted.where("lexeme_id % 2 = 0"), extracted.where("lexeme_id % 2 = 1")
     classed = fuzzy.classes_with(odd, fuzzy.classes(even))
     return fuzzy.added_models(fuzzy.models(even, classed), fuzzy.models(odd, classed))
+
+
+# --- dumps ------------------------------------------------------------------------------------------------------------
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(place, line) of all lines of the conversations, and of a later state of them: some turns gone, some lines edited."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    place = (F.col("conv_id").cast("long") * 1000 + F.col("turn")) * 1_000_000 + F.col("i")
+    old = turns.select("conv_id", "turn", place.alias("place"), "line")
+    edited = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), F.concat(F.col("line"), F.lit(" (edited)"))).otherwise(F.col("line"))
+    new = old.where((F.col("conv_id") + F.col("turn")) % 7 != 3).select("place", edited.alias("line"))
+    return old.select("place", "line"), new
+
+
+@register_plain(
+    "dump_edits",
+    """with l as (select conv_id, turn, i, string_split(text, chr(10))[i + 1] as line from (select conv_id, turn, text, unnest(range(len(string_split(text, chr(10))))) as i from conversations)),
+    t as (select *, (conv_id + turn) % 7 = 3 as gone, conv_id % 5 = 0 and turn = 1 as edited from l)
+    select '<<' as side, line, count(*) as n from t where gone or edited group by line union all select '>>', line || ' (edited)', count(*) from t where edited and not gone group by line""",
+)
+def dump_edits(spark, sf_dir):
+    """Lines removed and added between two snapshots of the conversations, as their aligned comparison finds them."""
+    return aligned.edits(*snapshots(spark, sf_dir)).groupBy("side", "line").agg(F.count(F.lit(1)).alias("n"))
