@@ -14,7 +14,7 @@ from wordmill.functions import text as T
 from wordmill.operators import aligned, exact, fuzzy, letters, patterns, stats
 from wordmill.plans import catalog, compilers  # noqa: F401 - the second registers its queries in the first
 from wordmill.plans.catalog import ORACLES, QUERIES, table
-from wordmill.sources import derived, files, lexicon, stored
+from wordmill.sources import derived, files, lexicon, resolver, stored
 
 _ENDINGS = ", ".join(f"({i}, '{e}')" for i, e in enumerate(derived.ENDINGS) if e)
 #: What ``derived`` makes of the documents, under the names of the catalog's common tables.
@@ -110,6 +110,20 @@ def docs_without_range(spark, sf_dir):
     return exact.without_range(own, 500_000_000_000_000_000, 700_000_000_000_000_000)
 
 
+@register(
+    "docs_lexeme_order",
+    """with t as (select distinct lower(unnest(regexp_extract_all(text, '\\p{L}+'))) as token from conversations), h as (select token, lexeme_id, cast(max(length(form) - length(ending)) as integer) as stem_len from t join forms on token = form group by all),
+    r as (select lexeme_id, min(left(ending, 1)) as low, max(left(ending, 1)) as high from forms group by lexeme_id)
+    select token, lexeme_id, stem_len, cast(row_number() over (partition by token order by stem_len desc, high desc, low, lexeme_id) as integer) as place from h join r using (lexeme_id)""",
+)
+def docs_lexeme_order(spark, sf_dir):
+    """The lexemes of the conversations' tokens in the order of results: longest stem, then the range of their endings' first letters."""
+    forms = documents_lexicon(spark, sf_dir).forms
+    tokens = T.tokens(table(spark, sf_dir, "conversations"), least=1).select(F.lower("token").alias("token")).distinct().withColumn("folded", F.col("token"))
+    found = exact.hits(tokens, forms).groupBy("token", "lexeme_id").agg(F.max(F.length("form") - F.length("ending")).alias("stem_len"))
+    return resolver.ordered(found.join(resolver.letter_range(forms), "lexeme_id")).select("token", "lexeme_id", "stem_len", "place")
+
+
 #: Five kinds of patterns for every word of the benchmark's texts: beginnings, ends, both, a gap, and length alone.
 ASKED = """words as (select distinct lower(unnest(regexp_extract_all(text, '\\p{L}+'))) as w from benchmark),
 asked as (select w[:4] || '*' as pattern from words where length(w) > 4 union select '*' || w[-4:] from words where length(w) > 4 union select w[:2] || '*' || w[-2:] from words where length(w) > 4

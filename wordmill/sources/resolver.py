@@ -127,5 +127,17 @@ def normal_forms(forms: DataFrame) -> DataFrame:
 
 
 def ordered(hits: DataFrame) -> DataFrame:
-    """Adds ``place``: the lexemes of a token in the order of results, longest stem first, then by number."""
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("stem_len"), "lexeme_id")))
+    """Adds ``place``: the lexemes of a token in the order of results.
+
+    The longest stem comes first. Where ``hits`` has high and low, the greatest and least
+    first letter of a lexeme's endings (see ``letter_range``), the greater high and then
+    the lesser low come first, where it has postfix, the lesser one; then the number.
+    """
+    more = [F.desc("high")] * ("high" in hits.columns) + ["low"] * ("low" in hits.columns) + ["postfix"] * ("postfix" in hits.columns)
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("stem_len"), *more, "lexeme_id")))
+
+
+def letter_range(forms: DataFrame) -> DataFrame:
+    """lexeme_id, low, high: least and greatest first letter of a lexeme's endings; an empty ending counts as the least."""
+    letter = F.substring("ending", 1, 1)
+    return forms.groupBy("lexeme_id").agg(F.min(letter).alias("low"), F.max(letter).alias("high"))
