@@ -9,8 +9,10 @@ give the offsets (in code points, end exclusive).
 
 The patterns are written so that each run of characters is read once: a match may
 only begin where the character before cannot belong to it, or right behind the
-match before (``\\G``). This finds the same spans as the plain patterns, in time
-proportional to the text.
+match before (``\\G``). This finds the same spans as the plain patterns, and a pattern
+reads a text in time proportional to its length. Offsets are listed one by one, so that
+a single text with very many matches (tens of thousands) takes time that grows with
+their square.
 
 Account numbers may be followed by capitals and digits that could belong to them. So a
 pattern only says where one may begin; it ends at a word end, after as many characters
