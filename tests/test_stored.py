@@ -153,3 +153,29 @@ def test_contained_classes_against_sets(spark):
     assert {(r["class_id"], r["into"]) for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def table_queries(spark, forms, asked):
+    return {"find_match_table": patterns.find_matches(forms, asked), "find_first_match_table": patterns.first_matches(forms, asked), "find_match_table_grouped": patterns.grouped_matches(forms, asked)}
+
+
+def broadcast_columns(frame):
+    """What each broadcast of a plan sends."""
+    query = frame._jdf.queryExecution()
+    text = query.explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"BroadcastExchange *\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
+@pytest.mark.parametrize("name", ["find_first_match_table"])
+def test_postings_are_never_broadcast(spark, saved, name):
+    """The saved forms are few and small here, which made Spark send all their postings, whose size it can't tell."""
+    asked = spark.createDataFrame([("w*",), ("*ing",), ("?????????",)], "pattern string")
+    sent = broadcast_columns(table_queries(spark, saved.forms, asked)[name])
+    assert sent and not [x for x in sent if "form#" in x]
+
+
+@pytest.mark.parametrize("salts", [1, 5])
+def test_many_patterns_are_shuffled(spark, monkeypatch, salts):
+    monkeypatch.setattr(patterns, "is_small", lambda t: False)
+    monkeypatch.setattr(patterns, "for_join", lambda t: t.hint("merge"))
+    test_patterns_against_plain_matching(spark, salts)

@@ -4,8 +4,10 @@ Forms are posted under their n-grams, of one to ``LONGEST_GRAM`` letters, with m
 ends. A pattern's literal runs have n-grams as well, all of which a matching form must
 have; the pattern is joined with the postings of the rarest one, and LIKE decides. A
 pattern with an n-gram that no form has matches nothing. Patterns without a literal go to
-the forms by length and first letter. All joins are equi-joins; a frequent n-gram's
-postings are dealt into ``SALTS`` parts, to each of which its patterns go.
+the forms by length. All joins are equi-joins. Patterns are sent to all tasks where their
+rows and bytes are checked to be few (``lexicon.is_small``); the postings never are, whose
+size Spark can't tell, as they are cut from the forms. Where patterns are many, a frequent
+n-gram's postings are dealt into ``SALTS`` parts, to each of which its patterns go.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import LONGEST
+from wordmill.sources.lexicon import for_join, is_small
 
 LONGEST_GRAM, SALTS = 3, 16
 #: Marks of a word's beginning and end.
@@ -58,28 +61,37 @@ def _fits(found: DataFrame) -> DataFrame:
 
 
 def matching(forms: DataFrame, patterns: DataFrame, salts: int = SALTS, longest: int = LONGEST_GRAM) -> DataFrame:
-    """pattern, form: the distinct forms that each distinct pattern of patterns(pattern) matches."""
+    """pattern, form: the distinct forms that each distinct pattern of patterns(pattern) matches, each pair once."""
     told = patterns.select("pattern").where("pattern is not null").distinct().select("pattern", like_pattern(F.col("pattern")).alias("_like"), pattern_grams(F.col("pattern"), longest).alias("_grams"))
-    posted = postings(forms, salts, longest)
+    asked = told.where(F.size("_grams") > 0).select("pattern", "_like", F.explode("_grams").alias("gram"))
+    # only what a pattern has is posted; that is told to all tasks where the patterns are few
+    posted = postings(forms, salts, longest).join(for_join(asked.select("gram").distinct()), "gram", "left_semi")
     counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     # the rarest n-gram of each pattern; one that no form has counts 0 and joins nothing
-    asked = told.where(F.size("_grams") > 0).select("pattern", "_like", F.explode("_grams").alias("gram"))
-    rarest = asked.join(counts, "gram", "left").groupBy("pattern", "_like").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
-    dealt = rarest.where("r.n > 0").select("pattern", "_like", F.col("r.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
-    by_gram = _fits(posted.join(dealt, ["gram", "part"]))
-    # without a literal: by length, and by first letter, so that one length is many keys
+    rarest = asked.join(counts.hint("merge"), "gram", "left").groupBy("pattern", "_like").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
+    rarest = rarest.where("r.n > 0").select("pattern", "_like", F.col("r.gram").alias("gram"))
+    if is_small(asked):  # has a row at least for each of the rarest
+        by_gram = _fits(posted.join(F.broadcast(rarest), "gram"))
+    else:
+        dealt = rarest.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
+        by_gram = _fits(posted.join(dealt.hint("merge"), ["gram", "part"]))
+    # without a literal: by length, and, where such patterns are many, by first letter, so that one length is many keys
     sized = forms.select("form").where(F.length("form") <= LONGEST).distinct().select(F.length("form").alias("_size"), F.substring("form", 1, 1).alias("_first"), "form")
-    shapes = sized.select("_size", "_first").distinct()
     least = F.length(F.replace("_like", F.lit("%"), F.lit("")))
     lengths = F.when(F.contains("_like", F.lit("%")), F.sequence(least, F.greatest(least, F.lit(LONGEST)))).otherwise(F.array(least))
-    open_ = told.where(F.size("_grams") == 0).select("pattern", "_like", F.explode(lengths).alias("_size")).join(shapes, "_size")
-    by_shape = _fits(sized.join(open_, ["_size", "_first"]))
+    open_ = told.where(F.size("_grams") == 0).select("pattern", "_like", F.explode(lengths).alias("_size"))
+    if is_small(open_):
+        by_shape = _fits(sized.join(F.broadcast(open_), "_size"))
+    else:
+        shapes = sized.select("_size", "_first").distinct()
+        by_shape = _fits(sized.join(open_.join(shapes.hint("merge"), "_size").hint("merge"), ["_size", "_first"]))
     return by_gram.unionByName(by_shape)
 
 
 def find_matches(forms: DataFrame, patterns: DataFrame, salts: int = SALTS) -> DataFrame:
     """pattern, lexeme_id, form, form_id of matching forms, each once."""
-    return matching(forms, patterns, salts).join(forms.select("form", "lexeme_id", "form_id"), "form").select("pattern", "lexeme_id", "form", "form_id").distinct()
+    readings = forms.select("form", "lexeme_id", "form_id").distinct()
+    return matching(forms, patterns, salts).join(readings.hint("merge"), "form").select("pattern", "lexeme_id", "form", "form_id")
 
 
 def first_matches(forms: DataFrame, patterns: DataFrame) -> DataFrame:
