@@ -166,7 +166,7 @@ def broadcast_columns(frame):
     return re.findall(r"BroadcastExchange *\nInput \[\d+\]: \[([^\]]*)\]", text)
 
 
-@pytest.mark.parametrize("name", ["find_first_match_table", "find_match_table"])
+@pytest.mark.parametrize("name", ["find_first_match_table", "find_match_table", "find_match_table_grouped"])
 def test_postings_are_never_broadcast(spark, saved, name):
     """The saved forms are few and small here, which made Spark send all their postings, whose size it can't tell."""
     asked = spark.createDataFrame([("w*",), ("*ing",), ("?????????",)], "pattern string")
