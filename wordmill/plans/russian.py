@@ -14,7 +14,7 @@ from wordmill.functions import text as T
 from wordmill.operators import fuzzy, stats
 from wordmill.plans.catalog import ORACLES, QUERIES, table
 from wordmill.plans.compilers import _grammar
-from wordmill.sources import derived, paradigms, stored, tables
+from wordmill.sources import derived, files, paradigms, stored, tables
 
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшжыз"
 #: For each type the rest of the normal form, and the rest of the line.
@@ -87,12 +87,15 @@ def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stems of the articles, and the tables that they are built by."""
+    """Stems of the articles, and the tables that they are built by.
+
+    Lines and stems are written once: both are used several times, and the first are made of all documents.
+    """
     rows = paradigms.table_rows(spark, tables.parse_tables(ENDING_LINES, _grammar))
     alternations = spark.createDataFrame(tables.parse_alternations(ALTERNATION_LINES), "name string, place int, condition string, level int, text string")
-    lines = article_lines(spark, sf_dir)
+    lines = files.written(article_lines(spark, sf_dir))
     stems = paradigms.resolved(lines.select("line"), rows, alternations).where("reject is null")
-    return stems.withColumn("lexeme_id", derived.lexeme_id(F.col("line"))), rows, alternations
+    return files.written(stems.withColumn("lexeme_id", derived.lexeme_id(F.col("line")))), rows, alternations
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> stored.Stored:
@@ -168,9 +171,10 @@ models as (select class_id, right(word || case kind when 6 then 'ов' else '' e
 
 
 def _trained(spark: SparkSession, sf_dir: str):
-    extracted = fuzzy.extract(lexicon(spark, sf_dir).forms, accents=True)
-    classed = fuzzy.classes(extracted)
-    model, ending = fuzzy.models(extracted, classed), fuzzy.endings(classed)
+    """Each table is written once, since it is used by the next ones and by several joins."""
+    extracted = files.written(fuzzy.extract(lexicon(spark, sf_dir).forms, accents=True))
+    classed = files.written(fuzzy.classes(extracted))
+    model, ending = files.written(fuzzy.models(extracted, classed)), fuzzy.endings(classed)
     return extracted, classed, model, ending, fuzzy.suffix_index(model, ending)
 
 
@@ -212,6 +216,6 @@ def russian_fuzzy(spark, sf_dir):
     """The best hypothesis for each word of the benchmark in Cyrillic letters, by its capitalization; classes stressed on their endings weigh less."""
     _, classed, _, ending, index = _trained(spark, sf_dir)
     words = T.tokens(table(spark, sf_dir, "benchmark"), pattern="[A-Za-z]+", least=2).select(in_cyrillic(F.lower("token")).alias("word"), T.cap_scheme(F.col("token")).alias("scheme")).where(f"scheme <> {T.BAD_SCHEME}").distinct()
-    none = stats.fractions(words.select(F.col("word").alias("folded"), F.lit(0).cast("long").alias("n")).limit(0), lexicon(spark, sf_dir).forms)
+    none = spark.createDataFrame([], "pos int, form_id int, n double")  # no priors
     found = fuzzy.lemmatize(words, index, classed, ending, stats.pos_prior(none), stats.form_prior(none), capitals=True)
     return found.where("rank = 1").select("word", "scheme", "class_id", "lemma", "weight")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions import grammar as G
 from wordmill.functions.text import with_capitals
-from wordmill.sources import resolver, tables
+from wordmill.sources import files, resolver, tables
 from wordmill.sources.lexicon import PLAIN_FORM
 
 # The bits of a verb's grammar word that count at each level; nouns have all at once.
@@ -145,7 +145,7 @@ def forms(stems: DataFrame, rows: DataFrame, alternations: DataFrame) -> DataFra
     columns = ["lexeme_id", "wd", "grammar", "flags", F.concat("text", "ending").alias("ending"), F.concat("stem", "text", "ending", "postfix").alias("form")]
     both = plain.select(columns).unionByName(mixed.select(columns)).withColumn("form_id", G.pack(F.col("wd"), F.col("grammar"), F.col("flags")).cast("int"))
     none = stems.where("table is null").select("lexeme_id", "wd", F.lit(0).alias("grammar"), F.lit(0).alias("flags"), F.lit("").alias("ending"), F.concat("stem", "postfix").alias("form"), F.lit(PLAIN_FORM).alias("form_id"))
-    every = both.unionByName(none).distinct()
+    every = files.written(both.unionByName(none).distinct())  # for the normal forms, and for all forms
     cap = G.min_capitals(F.col("wd"))
     named = every.join(resolver.normal_forms(every).select("lexeme_id", "normal"), "lexeme_id").withColumn("min_cap", cap)
     return named.select(
