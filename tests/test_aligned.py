@@ -58,3 +58,32 @@ def test_longest_rising():
         found = [x[i] for i in aligned.longest_rising(x)]
         best = max((len(s) for m in range(1 << len(x)) if (s := [v for i, v in enumerate(x) if m >> i & 1]) == sorted(s)), default=0)
         assert found == sorted(found) and len(found) == best
+
+
+def test_repeated_lines_of_a_segment_stay(spark):
+    old = ["start", "p", "x", "q", "x", "r", "end"]
+    new = ["start", "P", "x", "x", "R", "end"]
+    assert [(s, line) for _, s, _, line in got(spark, old, new, 4)] == [("<<", "p"), ("<<", "q"), ("<<", "r"), (">>", "P"), (">>", "R")]
+    assert len(aligned.edits(*tables(spark, old, new), 4, most=1).collect()) == 9  # too many pairs for a task: a longer listing
+
+
+def test_repeated_lines_have_a_shortest_listing(spark):
+    rnd = random.Random(5)
+    old = [rnd.choice("abc") for _ in range(40)]
+    new = ["z" if rnd.random() < 0.2 else x for x in old if rnd.random() > 0.3]
+    row = [0] * (len(new) + 1)
+    for x in old:
+        before = row[:]
+        for j, y in enumerate(new):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    assert len(got(spark, old, new, 1 << 16)) == len(old) + len(new) - 2 * row[-1]
+
+
+def test_long_conversations_keep_their_order(spark, tmp_path):
+    """A turn beyond 1,000 is no turn of the next conversation."""
+    from wordmill.plans import documents
+
+    rows = [(1, t, f"one {t}") for t in range(995, 1010)] + [(2, t, f"two {t}") for t in range(10)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    old, _ = documents.snapshots(spark, str(tmp_path))
+    assert [r["line"] for r in aligned.ranked(old).orderBy("rank").collect()] == [x for _, _, x in rows]
