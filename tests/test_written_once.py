@@ -33,3 +33,21 @@ def test_written_equals(spark):
 def test_russian_tables_are_trained_from_written_ones(spark):
     """russian_fuzzy, russian_models, russian_classes."""
     assert not [x for frame in russian._trained(spark, SF) for x in reads(frame)]
+
+
+def behind(spark, made, name):
+    """The plan that a query, or the lexicon it reads, is made by."""
+    return made["russian"] if name in LEXICON else {**made, **dict.fromkeys(STEMS, russian.resolved(spark, SF)[0])}[name]
+
+
+#: Queries over the stems of the articles, and over the saved forms of the Russian chain.
+STEMS = ("russian_first_forms", "russian_article_stems")
+LEXICON = ("russian_find_forms", "russian_round_trip", "russian_lemmatize", "russian_forms", "russian_models", "russian_classes")
+SETTLED = [
+    "russian_models",
+]
+
+
+@pytest.mark.parametrize("name", SETTLED)
+def test_documents_are_read_once(spark, made, name):
+    assert not reads(behind(spark, made, name))
