@@ -44,6 +44,7 @@ def behind(spark, made, name):
 STEMS = ("russian_first_forms", "russian_article_stems")
 LEXICON = ("russian_find_forms", "russian_round_trip", "russian_lemmatize", "russian_forms", "russian_models", "russian_classes")
 SETTLED = [
+    "russian_article_stems",
     "russian_forms",
     "russian_classes",
     "russian_first_forms",
