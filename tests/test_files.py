@@ -73,3 +73,40 @@ def test_modes_and_failed_tasks(spark, tmp_path):
     assert len(read(spark, path)) == 1 and not [x for x in os.listdir(path) if x.startswith(".") and not x.endswith(".crc")]
     with pytest.raises(Exception, match="no column line"):
         spark.range(1).write.format(files.NAME).mode("append").save(path)
+
+
+@pytest.mark.parametrize("split", [1 << 30, 50_000])
+def test_a_part_is_read_once(tmp_path, monkeypatch, split):
+    """Not so many bytes for each line."""
+    from pyarrow import fs
+
+    path, count = tmp_path / "lines.dic", []
+    path.write_bytes(b"".join(b"line %d\r\n" % i for i in range(20_000)) + b"last")
+
+    class Counting:
+        def open_input_file(self, at):
+            f = fs.LocalFileSystem().open_input_file(at)
+
+            class Opened:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    f.close()
+
+                def read(self, n):
+                    data = f.read(n)
+                    count.append(len(data))
+                    return data
+
+                seek, tell = f.seek, f.tell
+
+            return Opened()
+
+    monkeypatch.setattr(files, "_files", lambda p: iter([(Counting(), str(path), path.stat().st_size)]))
+    reader = files.Reader({"path": str(path), "split": str(split)})
+    parts = reader.partitions()
+    lines = [x for part in parts for x in reader._lines(part)]
+    assert [x for _, x in lines] == [f"line {i}" for i in range(20_000)] + ["last"]
+    assert all(path.read_bytes()[at:].startswith(x.encode()) for at, x in lines[::997])
+    assert sum(count) <= path.stat().st_size + len(parts) * (1 << 18)
