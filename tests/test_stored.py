@@ -179,3 +179,11 @@ def test_many_patterns_are_shuffled(spark, monkeypatch, salts):
     monkeypatch.setattr(patterns, "is_small", lambda t: False)
     monkeypatch.setattr(patterns, "for_join", lambda t: t.hint("merge"))
     test_patterns_against_plain_matching(spark, salts)
+
+
+@pytest.mark.parametrize("name", ["lemmatize"])
+def test_filter_is_asked_for_distinct_words(corpus, saved, name):
+    """The filter's joins stand above the count, not below it."""
+    plan = getattr(saved, name)(corpus.select("token"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_page") < plan.index("Aggregate [folded")
+    assert "_page" not in plan[plan.rindex("Aggregate [folded") : plan.index("Generate explode")]
