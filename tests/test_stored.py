@@ -181,7 +181,7 @@ def test_many_patterns_are_shuffled(spark, monkeypatch, salts):
     test_patterns_against_plain_matching(spark, salts)
 
 
-@pytest.mark.parametrize("name", ["lemmatize"])
+@pytest.mark.parametrize("name", ["lemmatize", "check_word"])
 def test_filter_is_asked_for_distinct_words(corpus, saved, name):
     """The filter's joins stand above the count, not below it."""
     plan = getattr(saved, name)(corpus.select("token"))._jdf.queryExecution().optimizedPlan().toString()
