@@ -58,3 +58,18 @@ SETTLED = [
 @pytest.mark.parametrize("name", SETTLED)
 def test_documents_are_read_once(spark, made, name):
     assert not reads(behind(spark, made, name))
+
+
+@pytest.mark.parametrize("name", ["docs_find_match_double"])
+def test_documents_lexicon_is_made_of_written_words(made, name):
+    assert not reads(made["documents"])
+
+
+def test_weights_are_tuned_over_written_samples(spark, monkeypatch):
+    from wordmill.operators import training
+    from wordmill.plans import compilers
+
+    given = []
+    monkeypatch.setattr(training, "tuned", lambda samples, start, *a: (given.append(samples), (start, 0.0))[1])
+    compilers.tuned_weights(spark, SF)
+    assert given and not reads(given[0])

@@ -13,7 +13,7 @@ from wordmill.functions import text as T
 from wordmill.operators import exact, fuzzy, letters, stats, training, wildcard
 from wordmill.plans import catalog
 from wordmill.plans.catalog import CLASSES, HYPOTHESES, distinct_tokens, register, table
-from wordmill.sources import lexicon, notation, resolver, tables
+from wordmill.sources import files, lexicon, notation, resolver, tables
 
 
 def values(rows: list[tuple]) -> str:
@@ -543,7 +543,8 @@ def training_loss(spark, sf_dir):
 @register("tuned_weights")
 def tuned_weights(spark, sf_dir):
     """Weights found by descent from a fixed start, the loss there and the loss before."""
-    own = _samples(spark, sf_dir).withColumn("power", F.col("power") / 100.0).groupBy("power", "ending_len", "hit").agg(F.sum("n").alias("n"))
+    # written once: every step of the descent is an aggregation over these rows
+    own = files.written(_samples(spark, sf_dir).withColumn("power", F.col("power") / 100.0).groupBy("power", "ending_len", "hit").agg(F.sum("n").alias("n")))
     start = [0.3, 0.5, 1.0]
     weights, after = training.tuned(own, start, [0.0, 0.0, 0.0], [1.0, 5.0, 10.0])
     before = training.loss(own, [start])[0]
