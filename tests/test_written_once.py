@@ -60,7 +60,7 @@ def test_documents_are_read_once(spark, made, name):
     assert not reads(behind(spark, made, name))
 
 
-@pytest.mark.parametrize("name", ["docs_find_match_double", "docs_build_form"])
+@pytest.mark.parametrize("name", ["docs_find_match_double", "sql_lemmatize", "docs_build_form"])
 def test_documents_lexicon_is_made_of_written_words(made, name):
     assert not reads(made["documents"])
 
