@@ -2,7 +2,7 @@
 
 import pytest
 
-from wordmill.plans import documents, russian
+from wordmill.plans import catalog, documents, russian
 from wordmill.sources import files, stored
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,9 @@ def test_weights_are_tuned_over_written_samples(spark, monkeypatch):
     monkeypatch.setattr(training, "tuned", lambda samples, start, *a: (given.append(samples), (start, 0.0))[1])
     compilers.tuned_weights(spark, SF)
     assert given and not reads(given[0])
+
+
+@pytest.mark.parametrize("name", ["fuzzy_lemmatize", "docs_fuzzy_lemmatize", "exact_then_fuzzy"])
+def test_hypotheses_are_made_of_written_words(spark, name):
+    """The words whose counts give the priors, and those looked up, are one written table."""
+    assert not [x for x in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in x]
