@@ -79,3 +79,17 @@ def test_weights_are_tuned_over_written_samples(spark, monkeypatch):
 def test_hypotheses_are_made_of_written_words(spark, name):
     """The words whose counts give the priors, and those looked up, are one written table."""
     assert not [x for x in catalog.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in x]
+
+
+def test_words_are_counted_before_they_are_written_in_cyrillic(spark):
+    """russian_lemmatize: nothing below the first count rewrites every occurrence."""
+    plan = catalog.QUERIES["russian_lemmatize"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in plan and "translate" not in plan[plan.rindex("Aggregate") :]
+
+
+def test_counted_words_are_looked_up_with_their_counts(spark):
+    """Two that are one word when folded add up."""
+    own = russian.lexicon(spark, SF)
+    form = own.forms.first()["form"]
+    given = spark.createDataFrame([(form, 3), (form.upper(), 4)], "token string, n long")
+    assert {r["n"] for r in own.lemmatize(given, "n").collect()} == {7}

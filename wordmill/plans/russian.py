@@ -147,9 +147,11 @@ def russian_round_trip(spark, sf_dir):
     f", t as (select translate(lower(token), '{LATIN}', '{CYRILLIC}') as folded, count(*) as n from (select unnest(regexp_extract_all(text, '\\p{{L}}+')) as token from documents) group by 1) select folded, n, lexeme_id, lemma, form_id from t join russian on form = folded",
 )
 def russian_lemmatize(spark, sf_dir):
-    """The documents' words in Cyrillic letters, looked up among the forms that were built."""
-    tokens = T.tokens(table(spark, sf_dir, "documents"), least=1).select(in_cyrillic(F.lower("token")).alias("token"))
-    return lexicon(spark, sf_dir).lemmatize(tokens).select("folded", "n", "lexeme_id", "lemma", "form_id")
+    """The documents' words in Cyrillic letters, looked up among the forms that were built; they are counted before they are written so."""
+    # never null: else a filter would write every occurrence in Cyrillic letters to see that it is not null
+    token = F.coalesce(in_cyrillic(F.col("folded")), F.lit(""))
+    words = T.words(table(spark, sf_dir, "documents")).select(token.alias("token"), "n")
+    return lexicon(spark, sf_dir).lemmatize(words, "n").select("folded", "n", "lexeme_id", "lemma", "form_id")
 
 
 @register("russian_find_forms", " select r.form, o.lexeme_id, o.form as found from russian r join russian o using (lexeme_id) where r.form_id = 18 and o.form_id = 0")
