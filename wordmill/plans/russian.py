@@ -89,15 +89,26 @@ def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stems of the articles, and the tables that they are built by.
 
-    Lines and stems are written once: both are used several times, and the first are made of all documents.
+    Lines and stems are written once: else the filters of lines would move below the count of words, to every occurrence. The tables are those of all queries of an application, and so are their walks.
     """
-    rows = paradigms.table_rows(spark, tables.parse_tables(ENDING_LINES, _grammar))
-    alternations = spark.createDataFrame(tables.parse_alternations(ALTERNATION_LINES), "name string, place int, condition string, level int, text string")
+    rows, alternations = _tables(spark)
     lines = files.written(article_lines(spark, sf_dir))
     stems = paradigms.resolved(lines.select("line"), rows, alternations).where("reject is null")
     return files.written(stems.withColumn("lexeme_id", derived.lexeme_id(F.col("line")))), rows, alternations
 
 
+_parsed: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+
+def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ending tables, and alternations, as one table each for an application."""
+    session = spark.sparkContext.applicationId
+    if session not in _parsed:
+        rows = paradigms.table_rows(spark, tables.parse_tables(ENDING_LINES, _grammar))
+        _parsed[session] = rows, spark.createDataFrame(tables.parse_alternations(ALTERNATION_LINES), "name string, place int, condition string, level int, text string")
+    return _parsed[session]
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> stored.Stored:
     """The forms of all articles, saved once for an application."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions import grammar as G
 from wordmill.functions.text import with_capitals
-from wordmill.sources import files, resolver, tables
+from wordmill.sources import resolver, tables
 from wordmill.sources.lexicon import PLAIN_FORM
 
 # The bits of a verb's grammar word that count at each level; nouns have all at once.
@@ -126,7 +126,7 @@ def mix_kind(wd: Column) -> Column:
 
 def resolved(lines: DataFrame, rows: DataFrame, alternations: DataFrame) -> DataFrame:
     """What ``resolver.resolved`` gives, the normal form's ending taken off by the walk."""
-    return resolver.resolved(lines, whole_endings(rows).drop("steps"), alternations, lambda words, keys: stripped(words, normal_ends(rows), keys))
+    return resolver.resolved(lines, whole_endings(rows).drop("steps"), alternations, normal_ends(rows))
 
 
 def forms(stems: DataFrame, rows: DataFrame, alternations: DataFrame) -> DataFrame:
@@ -137,28 +137,33 @@ def forms(stems: DataFrame, rows: DataFrame, alternations: DataFrame) -> DataFra
     """
     ends = whole_endings(rows).select(F.col("name").alias("table"), "ending", "grammar", "flags")
     level = G.swap_level(mix_kind(F.col("wd")), F.col("wd"), F.col("grammar"), F.col("flags"))
-    inflected = stems.where("table is not null").join(ends, "table").withColumn("level", level)
-    inflected = inflected.where((G.x_and(F.col("wd"), G.PLURAL_ONLY) == 0) | G.only_plural(F.col("grammar")))
-    texts = alternations.select(F.col("name").alias("table"), F.col("place").alias("alternation"), "level", "text").distinct()
-    plain = inflected.where("alternation is null").withColumn("text", F.lit(""))
-    mixed = inflected.where("alternation is not null").join(texts, ["table", "alternation", "level"])
-    columns = ["lexeme_id", "wd", "grammar", "flags", F.concat("text", "ending").alias("ending"), F.concat("stem", "text", "ending", "postfix").alias("form")]
-    both = plain.select(columns).unionByName(mixed.select(columns)).withColumn("form_id", G.pack(F.col("wd"), F.col("grammar"), F.col("flags")).cast("int"))
-    none = stems.where("table is null").select("lexeme_id", "wd", F.lit(0).alias("grammar"), F.lit(0).alias("flags"), F.lit("").alias("ending"), F.concat("stem", "postfix").alias("form"), F.lit(PLAIN_FORM).alias("form_id"))
-    every = files.written(both.unionByName(none).distinct())  # for the normal forms, and for all forms
-    cap = G.min_capitals(F.col("wd"))
-    named = every.join(resolver.normal_forms(every).select("lexeme_id", "normal"), "lexeme_id").withColumn("min_cap", cap)
+    fits = (G.x_and(F.col("wd"), G.PLURAL_ONLY) == 0) | G.only_plural(F.col("grammar"))
+    # dealt by lexeme before they grow: what follows needs a lexeme's forms together
+    own = stems.where("lexeme_id is not null").repartition("lexeme_id")
+    # both tables were on the driver, spelled out
+    inflected = own.join(F.broadcast(ends), "table", "left").where(F.col("table").isNull() | (F.col("ending").isNotNull() & fits)).withColumn("level", level)
+    told = inflected.join(F.broadcast(_texts(alternations)), ["table", "alternation", "level"], "left").where("table is null or alternation is null or text is not null")
+    plain = F.col("table").isNull()
+    ending = F.concat(F.coalesce("text", F.lit("")), F.coalesce("ending", F.lit("")))
+    columns = ["lexeme_id", "wd", F.coalesce("grammar", F.lit(0)).alias("grammar"), F.coalesce("flags", F.lit(0)).alias("flags"), ending.alias("ending"), F.concat("stem", ending, "postfix").alias("form")]
+    form_id = F.when(plain, PLAIN_FORM).otherwise(G.pack(F.col("wd"), F.col("grammar"), F.col("flags")).cast("int"))
+    every = told.select(*columns, form_id.alias("form_id")).distinct()
+    named = resolver.with_normal(every).withColumn("min_cap", G.min_capitals(F.col("wd")))
     return named.select(
         "lexeme_id", G.pos(F.col("wd")).cast("int").alias("pos"), "form_id", "ending", "form", "min_cap",
         with_capitals(F.col("normal"), F.col("min_cap")).alias("lemma"), with_capitals(F.col("form"), F.col("min_cap")).alias("surface"), "wd", "grammar",
     )
 
 
+def _texts(alternations: DataFrame) -> DataFrame:
+    """table, alternation, level, text."""
+    return alternations.select(F.col("name").alias("table"), F.col("place").alias("alternation"), "level", "text").distinct()
+
+
 def first_forms(stems: DataFrame, rows: DataFrame, alternations: DataFrame) -> DataFrame:
     """lexeme_id, form: the first ending that a stem's table lists, with the alternation of its level before it; none where the alternation lacks that level."""
     first = whole_endings(rows).groupBy(F.col("name").alias("table")).agg(F.min_by(F.struct("ending", "grammar", "flags"), "steps").alias("e")).select("table", "e.*")
     level = G.swap_level(mix_kind(F.col("wd")), F.col("wd"), F.col("grammar"), F.col("flags"))
-    told = stems.join(first, "table", "left").withColumn("level", level)
-    texts = alternations.select(F.col("name").alias("table"), F.col("place").alias("alternation"), "level", "text").distinct()
-    built = told.join(texts, ["table", "alternation", "level"], "left").where("table is null or alternation is null or text is not null")
+    told = stems.join(F.broadcast(first), "table", "left").withColumn("level", level)
+    built = told.join(F.broadcast(_texts(alternations)), ["table", "alternation", "level"], "left").where("table is null or alternation is null or text is not null")
     return built.select("lexeme_id", F.concat("stem", F.coalesce("text", F.lit("")), F.coalesce("ending", F.lit("")), "postfix").alias("form"))

@@ -55,18 +55,24 @@ def normal_grammar(wd: Column, stem: Column) -> Column:
     return F.when(G.is_verb(wd), G.INFINITIVE | G.REFLEXIVE).when(code.isin(*notation.BY_GENDER), gender).otherwise(0) + plural
 
 
-def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame, strip=None) -> DataFrame:
+def tails_by_table(endings: DataFrame) -> DataFrame:
+    """of, tails array<struct<ending, grammar>>: the endings of each table."""
+    return endings.groupBy(F.col("name").alias("of")).agg(F.collect_set(F.struct("ending", "grammar")).alias("tails"))
+
+
+def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """line, normal, index, wd, stem, postfix, table, alternation (its place in the table, or null), cases, reject.
 
-    ``strip(words, keys)``, if given, tells how many letters of words(keys, table, base, normal, verb) go off.
+    ``ends``, if given, are what ``paradigms.normal_ends`` lists: the first that ends the word goes off.
+    The tables go to the lines, a row for each table, so that lines are never shuffled.
     """
     cut = tables.russian_lines(lines)
     key = F.concat_ws(" ", "marks", "kind")
     known = cut.join(F.broadcast(pos_map(lines.sparkSession)), key == F.col("key"), "left")  # the keys are a fixed list
-    known = known.withColumn("id", F.xxhash64("line", "index")).withColumn("table", F.concat_ws(" ", "kind", "index"))
+    known = known.withColumn("table", F.concat_ws(" ", "kind", "index"))
     code = G.pos(F.col("wd"))
-    has = endings.select(F.col("name").alias("of")).distinct()
-    known = known.join(has, F.col("table") == F.col("of"), "left")
+    told = tails_by_table(endings)
+    known = known.join(F.broadcast(told), F.col("table") == F.col("of"), "left")  # a row for each table, all of which were on the driver
     inflected = (code < notation.UNINFLECTED) & F.col("of").isNotNull()
     reject = F.when(F.col("wd").isNull(), "part of speech").when((code < notation.UNINFLECTED) & F.col("of").isNull() & (F.col("index") != "0"), "table")
     base = F.expr("substring(normal, 1, length(normal) - length(postfix))")
@@ -75,27 +81,28 @@ def resolved(lines: DataFrame, endings: DataFrame, alternations: DataFrame, stri
     mix = F.when(G.is_verb(F.col("wd")), verb_mix(F.col("index"))).otherwise(0)
     known = known.withColumn("grammar_of", normal_grammar(F.col("wd"), F.col("base")))
 
-    # the longest ending of the normal form's grammar
-    tails = endings.select(F.col("name").alias("of_table"), "ending", "grammar").distinct()
-    mask = F.when(G.is_verb(F.col("wd")), 0x7FFF).otherwise(0xFFFF)
-    fits = (F.col("table") == F.col("of_table")) & F.col("inflected") & F.col("base").endswith(F.col("ending"))
-    fits = fits & (F.col("grammar").bitwiseAND(mask) == F.col("grammar_of").bitwiseAND(mask))
-    if strip is None:
-        longest = known.join(tails, fits).groupBy("id").agg(F.max(F.length("ending")).alias("off"))
+    # the longest ending of the normal form's grammar, or the first listed one
+    verb = G.is_verb(F.col("wd"))
+    if ends is None:
+        mask = F.when(verb, 0x7FFF).otherwise(0xFFFF)
+        fits = F.filter("tails", lambda x: F.col("base").endswith(x["ending"]) & (x["grammar"].bitwiseAND(mask) == F.col("grammar_of").bitwiseAND(mask)))
+        off = F.array_max(F.transform(fits, lambda x: F.length(x["ending"])))
     else:
-        longest = strip(known.where("inflected").select("id", "table", "base", F.col("grammar_of").alias("normal"), G.is_verb(F.col("wd")).alias("verb")), ["id"])
-    known = known.join(longest, "id", "left")
+        tried = ends.groupBy(F.col("name").alias("of_ends"), "normal", "verb").agg(F.array_sort(F.collect_set(F.struct("steps", "ending"))).alias("tried")).withColumnRenamed("normal", "of_normal")
+        known = known.join(F.broadcast(tried), (F.col("table") == F.col("of_ends")) & (F.col("grammar_of") == F.col("of_normal")) & (verb == F.col("verb")), "left")  # no more rows than the tables have endings
+        off = F.length(F.get(F.filter("tried", lambda x: F.col("base").endswith(x["ending"])), F.lit(0))["ending"])
+    known = known.withColumn("off", off)
     at = F.instr("base", "@")
     stem = F.when(at > 0, F.expr("substring(base, 1, instr(base, '@') - 1)")).when(F.col("inflected"), F.expr("substring(base, 1, length(base) - coalesce(off, 0))")).otherwise(F.col("base"))
     unstripped = F.col("inflected") & (at == 0) & F.col("off").isNull() & ~F.col("index").contains(":")
     known = known.withColumn("stem", stem).withColumn("reject", F.coalesce("reject", F.when(unstripped, "ending")))
 
     # the first alternation whose condition holds
-    first = alternations.where("level = 1").select(F.col("name").alias("of_name"), "place", "condition", F.col("text").alias("gone"))
-    verb = F.col("condition").isin("о") | (F.col("condition") == F.col("remark"))
-    chosen = known.where("reject is null and inflected").join(first, F.col("table") == F.col("of_name")).where(F.col("stem").endswith(F.col("gone")) & F.when(G.is_verb(F.col("wd")), verb).otherwise(holds(F.col("condition"), F.col("stem"))))
-    chosen = chosen.groupBy("id").agg(F.min_by("gone", "place").alias("gone"), F.min("place").alias("alternation"))
-    known = known.join(chosen, "id", "left")
+    first = alternations.where("level = 1").groupBy(F.col("name").alias("of_name")).agg(F.array_sort(F.collect_set(F.struct("place", "condition", F.col("text").alias("gone")))).alias("listed"))
+    known = known.join(F.broadcast(first), F.col("table") == F.col("of_name"), "left")  # a row for each table
+    fits = lambda x: F.col("stem").endswith(x["gone"]) & F.when(verb, (x["condition"] == "о") | (x["condition"] == F.col("remark"))).otherwise(holds(x["condition"], F.col("stem")))
+    chosen = F.when(F.col("reject").isNull() & F.col("inflected"), F.get(F.filter("listed", fits), F.lit(0)))
+    known = known.withColumn("chosen", chosen).withColumn("gone", F.col("chosen.gone")).withColumn("alternation", F.col("chosen.place"))
     cases = F.when(code == notation.PREPOSITION, tables.case_scale(F.regexp_extract("index", notation.CASE_MARK + f"([{notation.CASE_LETTERS}]*)", 1), notation.CASE_LETTERS)).otherwise(0)
     return known.select(
         "line", "normal", "index",
@@ -117,13 +124,22 @@ def normal_forms(forms: DataFrame) -> DataFrame:
     Where a verb or an adjective has none, its reflexive one stands for it; else the form
     with the least ending.
     """
+    found = forms.groupBy("lexeme_id").agg(*[x.alias(name) for name, x in _candidates().items()])
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("back").isNotNull(), "reflexive").otherwise("first")
+    return found.select("lexeme_id", F.coalesce("exact", "back", "first.form").alias("normal"), how.alias("how"))
+
+
+def _candidates() -> dict[str, Column]:
+    """What may be a lexeme's normal form, the first that there is: aggregates over its forms. The last has ending and form."""
     want = G.dictionary_form(F.col("wd"), F.col("grammar"))
     back = (G.is_verb(F.col("wd")) | G.is_adjective(F.col("wd"))) & (F.col("grammar") == want + G.REFLEXIVE)
-    found = forms.groupBy("lexeme_id").agg(
-        F.min(F.when(F.col("grammar") == want, F.col("form"))).alias("exact"), F.min(F.when(back, F.col("form"))).alias("back"), F.min(F.struct("ending", "form"))["form"].alias("first")
-    )
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("back").isNotNull(), "reflexive").otherwise("first")
-    return found.select("lexeme_id", F.coalesce("exact", "back", "first").alias("normal"), how.alias("how"))
+    return {"exact": F.min(F.when(F.col("grammar") == want, F.col("form"))), "back": F.min(F.when(back, F.col("form"))), "first": F.min(F.struct("ending", "form"))}
+
+
+def with_normal(forms: DataFrame) -> DataFrame:
+    """Adds ``normal`` of ``normal_forms`` to each form; where forms are dealt by lexeme_id already, without another exchange."""
+    exact, back, first = (x.over(Window.partitionBy("lexeme_id")) for x in _candidates().values())
+    return forms.withColumn("normal", F.coalesce(exact, back, first["form"]))
 
 
 def ordered(hits: DataFrame) -> DataFrame:
