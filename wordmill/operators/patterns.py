@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import LONGEST
+from wordmill.sources import files
 from wordmill.sources.lexicon import for_join, is_small
 
 LONGEST_GRAM, SALTS = 3, 16
@@ -63,18 +64,20 @@ def _fits(found: DataFrame) -> DataFrame:
 def matching(forms: DataFrame, patterns: DataFrame, salts: int = SALTS, longest: int = LONGEST_GRAM) -> DataFrame:
     """pattern, form: the distinct forms that each distinct pattern of patterns(pattern) matches, each pair once."""
     told = patterns.select("pattern").where("pattern is not null").distinct().select("pattern", like_pattern(F.col("pattern")).alias("_like"), pattern_grams(F.col("pattern"), longest).alias("_grams"))
+    told = files.written(told)  # each step below is a plan of its own, which the driver holds while it runs
     asked = told.where(F.size("_grams") > 0).select("pattern", "_like", F.explode("_grams").alias("gram"))
-    # only what a pattern has is posted; that is told to all tasks where the patterns are few
-    posted = postings(forms, salts, longest).join(for_join(asked.select("gram").distinct()), "gram", "left_semi")
-    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    # only what a pattern has is counted; that is told to all tasks where the patterns are few
+    posted = postings(forms, salts, longest)
+    counts = posted.join(for_join(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     # the rarest n-gram of each pattern; one that no form has counts 0 and joins nothing
     rarest = asked.join(counts.hint("merge"), "gram", "left").groupBy("pattern", "_like").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
-    rarest = rarest.where("r.n > 0").select("pattern", "_like", F.col("r.gram").alias("gram"))
-    if is_small(asked):  # has a row at least for each of the rarest
+    rarest = files.written(rarest.where("r.n > 0").select("pattern", "_like", F.col("r.gram").alias("gram")))
+    if is_small(rarest):
         by_gram = _fits(posted.join(F.broadcast(rarest), "gram"))
     else:
         dealt = rarest.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
-        by_gram = _fits(posted.join(dealt.hint("merge"), ["gram", "part"]))
+        own = posted.join(for_join(rarest.select("gram").distinct()), "gram", "left_semi")
+        by_gram = _fits(own.join(dealt.hint("merge"), ["gram", "part"]))
     # without a literal: by length, and, where such patterns are many, by first letter, so that one length is many keys
     sized = forms.select("form").where(F.length("form") <= LONGEST).distinct().select(F.length("form").alias("_size"), F.substring("form", 1, 1).alias("_first"), "form")
     least = F.length(F.replace("_like", F.lit("%"), F.lit("")))
