@@ -64,6 +64,16 @@ def test_blocks_of_several_segments(spark):
     assert listed(spark, old, new, 4, pairs=3, block=4) == sum(len(a) + len(b) - 2 * longest(a, b) for a, b in parts)
 
 
+def test_lines_that_all_stand_in_order(spark):
+    """Lines only gone, lines only come, and both in a third segment, which the walk must leave to the comparison."""
+    rnd = random.Random(10)
+    full = [[rnd.choice("abc") for _ in range(n)] for n in (40, 33, 30)]
+    part = [[x for x in own if rnd.random() > 0.3] for own in full]
+    parts = [(full[0], part[0]), (part[1], full[1]), (part[2], part[2][::-1]), (["a", *full[0]], [*full[0][::-1], "b", "a"])]
+    old, new = ([x for k, own in enumerate(parts) for x in [f"anchor {k}", *own[i]]] for i in (0, 1))
+    assert listed(spark, old, new, 4, pairs=3, block=6) == sum(len(a) + len(b) - 2 * longest(a, b) for a, b in parts)
+
+
 def test_a_segment_of_many_pairs_is_compared(spark):
     rnd = random.Random(9)
     old = ["p", *(rnd.choice("xy") for _ in range(1700)), "q"]
